@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from saldo.functions.text import strip_space
-from saldo.functions.urls import resolve
 
 # Parts of a page whose text is not shown: comments, declarations, scripts, styles, templates.
 HIDDEN = (
@@ -17,29 +16,34 @@ HIDDEN = (
     r"|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<template\b[^>]*>.*?</template\s*>"
 )
 TAG = r"(?s)</?[A-Za-z][^>]*>"
-TOKEN = r"(?s)(&#?\w+;|[^&]+|&)"
+REFERENCE = r"(&#?\w+;)"
+AMPERSAND = r"&(?:amp|AMP|#0*38|#[xX]0*26);"
+# Marks where a tag was; a control character that no page shows.
+EDGE = "\x01"
 ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
 
 
-def _entity(token: Column) -> Column:
+def _character(reference: Column) -> Column:
+    """The character a reference stands for; unknown references stay as they are."""
     names = F.create_map(*[F.lit(x) for x in chain.from_iterable((n, chr(c)) for n, c in name2codepoint.items())])
-    body = F.regexp_extract(token, r"^&#?(\w+);$", 1)
-    is_hex = body.rlike("^[xX][0-9a-fA-F]{1,6}$")
-    is_dec = body.rlike("^[0-9]{1,7}$")
-    code = F.when(is_hex, F.conv(F.substring(body, 2, 6), 16, 10)).when(is_dec, body).try_cast("int")
-    wide = F.lpad(F.hex(code), 8, "0")
-    char = F.decode(F.unhex(wide), "UTF-32")
-    return (
-        F.when(token.startswith("&#") & code.between(1, 0x10FFFF), char)
-        .when(token.rlike(r"^&\w+;$"), F.coalesce(names[body], token))
-        .otherwise(token)
-    )
+    body = F.substring(reference, 2, F.length(reference) - 2)
+    is_hex = body.rlike("^#[xX][0-9a-fA-F]{1,6}$")
+    is_decimal = body.rlike("^#[0-9]{1,7}$")
+    digits = F.when(is_hex, F.conv(F.substring(body, 3, 6), 16, 10)).when(is_decimal, F.substring(body, 2, 7))
+    code = digits.try_cast("int")
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.coalesce(F.when(code.between(1, 0x10FFFF), char).when(~body.startswith("#"), names[body]), reference)
 
 
 def decode_entities(text: Column) -> Column:
-    """Replace character references in one pass, so ``&amp;lt;`` becomes ``&lt;`` and no more."""
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
-    return F.when(text.contains("&"), F.array_join(F.transform(tokens, _entity), "")).otherwise(text)
+    """Replace character references; a page has few different ones, each is replaced at once.
+
+    Ampersands come last, so that ``&amp;lt;`` becomes ``&lt;`` and no more.
+    """
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)))
+    others = F.filter(found, lambda r: ~r.rlike(AMPERSAND))
+    decoded = F.reduce(others, text, lambda acc, r: F.replace(acc, r, _character(r)))
+    return F.when(text.contains("&"), F.regexp_replace(decoded, AMPERSAND, "&")).otherwise(text)
 
 
 def visible(html: Column) -> Column:
@@ -49,41 +53,38 @@ def visible(html: Column) -> Column:
 
 def fragment_text(fragment: Column, separator: str) -> Column:
     """Text pieces between tags, each stripped, blank ones dropped, joined by ``separator``."""
-    pieces = F.transform(F.split(fragment, TAG), lambda p: strip_space(decode_entities(p)))
-    return F.array_join(F.filter(pieces, lambda p: p != ""), separator)
+    marked = decode_entities(F.regexp_replace(fragment, TAG, EDGE))
+    joined = F.regexp_replace(marked, rf"(?U)\s*{EDGE}[\s{EDGE}]*", EDGE)
+    return F.replace(strip_space(F.btrim(joined, F.lit(EDGE))), F.lit(EDGE), F.lit(separator))
 
 
-def element_text(html: Column, tag: str) -> Column:
+def element_text(shown: Column, tag: str) -> Column:
     """Text of the first ``tag`` element; NULL when there is none or it is blank."""
-    inner = F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
+    inner = F.regexp_extract(shown, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
     text = fragment_text(inner, "")
     return F.when(text != "", text)
 
 
-def page_text(html: Column) -> Column:
-    """All shown text of a page, pieces joined by one blank."""
-    return fragment_text(visible(html), " ")
+def page_text(shown: Column) -> Column:
+    """All text of a page, pieces joined by one blank. Takes what :func:`visible` gives."""
+    return fragment_text(shown, " ")
 
 
-def entity_name(html: Column) -> Column:
+def entity_name(shown: Column) -> Column:
     """The first heading, else the title, else NULL."""
-    shown = visible(html)
     return F.coalesce(element_text(shown, "h1"), element_text(shown, "title"))
 
 
-def anchors(html: Column) -> Column:
+def anchors(shown: Column) -> Column:
     """Every ``href`` of a link element, decoded, in page order."""
-    shown = visible(html)
-    def groups(k):
+
+    def quoted(k: int) -> Column:
         return F.regexp_extract_all(shown, F.lit(ANCHOR), F.lit(k))
 
-    together = F.zip_with(
-        F.zip_with(groups(1), groups(2), lambda a, b: F.concat(a, b)), groups(3), lambda ab, c: F.concat(ab, c)
-    )
-    return F.transform(together, decode_entities)
+    either = F.zip_with(quoted(1), quoted(2), lambda a, b: F.concat(a, b))
+    return F.zip_with(either, quoted(3), lambda a, b: decode_entities(F.concat(a, b)))
 
 
-def first_link(html: Column, base: Column, part: str) -> Column:
-    """The first link whose ``href`` contains ``part``, as an absolute address; else NULL."""
-    hit = F.get(F.filter(anchors(html), lambda href: href.contains(part)), 0)
-    return F.when(hit.isNotNull(), resolve(base, hit))
+def first_href(shown: Column, part: str) -> Column:
+    """The first ``href`` that contains ``part``; else NULL."""
+    return F.get(F.filter(anchors(shown), lambda href: href.contains(part)), 0)

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saldo.functions.html import entity_name, first_link, page_text
+from saldo.functions.html import entity_name, first_href, page_text, visible
 from saldo.functions.text import contains_ci, digits_only
+from saldo.functions.urls import resolve
 from saldo.operators.joins import only_new
 
 NUMBER_COLUMNS = ("vm_number", "vm_numer")
@@ -32,23 +33,33 @@ def entity_keys(df: DataFrame, column: str | None = None, limit: int = 0) -> Dat
     return keys.limit(limit) if limit > 0 else keys
 
 
+def read_names(pages: DataFrame, *keys: str) -> DataFrame:
+    """Entity name of every page, beside its key columns."""
+    shown = pages.select(*keys, visible(F.col("html")).alias("shown"))
+    return shown.select(*keys, entity_name(F.col("shown")).alias("name"))
+
+
 def read_search(captures: DataFrame, phrase: str, part: str) -> DataFrame:
     """What a search reply says: whether it found nothing, its detail link, and its heading.
 
     Pages become a few short columns here, before any join, so HTML is never shuffled.
     """
-    html = F.col("html")
-    return captures.select(
+    shown = F.col("shown")
+    facts = captures.select("vm_number", "url", visible(F.col("html")).alias("shown")).select(
         "vm_number",
         F.col("url").alias("search_url"),
-        contains_ci(page_text(html), phrase).alias("found_nothing"),
-        first_link(html, F.col("url"), part).alias("detail_url"),
-        entity_name(html).alias("search_name"),
+        contains_ci(page_text(shown), phrase).alias("found_nothing"),
+        first_href(shown, part).alias("href"),
+        entity_name(shown).alias("search_name"),
     )
+    link = F.when(F.col("href").isNotNull(), resolve(F.col("search_url"), F.col("href")))
+    return facts.withColumn("detail_url", link).drop("href")
 
 
 def read_detail(captures: DataFrame) -> DataFrame:
-    return captures.select("vm_number", F.lit(True).alias("has_detail"), entity_name(F.col("html")).alias("detail_name"))
+    return read_names(captures, "vm_number").select(
+        "vm_number", F.lit(True).alias("has_detail"), F.col("name").alias("detail_name")
+    )
 
 
 def classify(

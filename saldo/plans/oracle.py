@@ -269,10 +269,10 @@ ranked AS (
 
 def ingested(where: str) -> str:
     return with_(LEDGER) + f"""
-SELECT 'ledger_' || year || '12.csv' AS source_file, year, 12 AS period_month, samtala2,
-       CASE WHEN year < 1999 THEN samtala3 END AS samtala3, count(*) AS rows, count(vm_numer) AS numbered,
+SELECT 'ledger_' || (ledger.year + 20) || '12.csv' AS source_file, CAST(ledger.year + 20 AS INTEGER) AS year, 12 AS period_month, samtala2,
+       CASE WHEN ledger.year < 1999 THEN samtala3 END AS samtala3, count(*) AS rows, count(vm_numer) AS numbered,
        CAST(sum(raun) AS DOUBLE) AS total
-FROM ledger WHERE {where} GROUP BY ALL"""
+FROM ledger WHERE {where} GROUP BY ledger.year, samtala2, CASE WHEN ledger.year < 1999 THEN samtala3 END"""
 
 
 ORACLE: dict[str, str] = {

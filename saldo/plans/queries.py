@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from saldo.functions import numbers
-from saldo.functions.html import entity_name
 from saldo.functions.periods import file_month, file_year
 from saldo.operators import anomalies, drill, entities, explore, filters, harvest, joins, ordering, price_index, wages
 from saldo.plans.star import STAR_PROFILE as PROFILE
@@ -574,7 +573,7 @@ def entity_keys(spark, sf_dir):
 
 @query
 def entity_names(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", entity_name(F.col("html")).alias("name"))
+    return entities.read_names(pages(spark, sf_dir), "page_id")
 
 
 @query
@@ -635,7 +634,8 @@ def landed_files(spark: SparkSession, sf_dir: str) -> str:
     """The ledger as CSV data sets of two layouts, one per year, in a scratch folder."""
     folder = scratch_dir(spark, "landing")
     rows = star_ledger(spark, sf_dir, ["year", *EARLY], text_amounts=True)
-    name = F.format_string("ledger_%d12.csv", F.col("year"))
+    # Only names of this century carry a month, so the years are moved up by twenty.
+    name = F.format_string("ledger_%d12.csv", F.col("year") + 20)
     early = rows.filter(F.col("year") < 1999).select(name.alias("name"), *EARLY)
     late = rows.filter(F.col("year") >= 1999).select(name.alias("name"), *[F.col(c).alias(n) for n, c in LATE.items()])
 

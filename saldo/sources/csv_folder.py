@@ -27,10 +27,8 @@ DELIMITERS = (",", ";", "\t", "|")
 PROVENANCE = ("source_file", "source_url", "year", "ingested_at")
 MONTH = "period_month"
 
-# A data set is a file `x.csv`, or a folder `x.csv` of parts as Spark writes it.
-DATA_SET = r"([^/=]+\.csv)(?:/part-[^/]*)?$"
-
 UTF8, WINDOWS, LATIN = "utf-8", "cp1252", "latin-1"
+BYTE_ORDER_MARK = "\ufeff"
 # Bytes 0x80 to 0x9F are the only ones on which the two single-byte charsets differ.
 _HIGH = [bytes([b]) for b in range(0x80, 0xA0)]
 _DEFINED = [b for b in _HIGH if b.decode(WINDOWS, "ignore")]
@@ -63,7 +61,24 @@ class Ingest:
 
 
 def data_set_name(path: Column) -> Column:
-    return F.try_url_decode(F.regexp_replace(F.regexp_extract(path, DATA_SET, 1), r"\+", "%2B"))
+    """As :func:`data_set`, for a column of paths. Plain text functions, as it runs on every row."""
+    file = F.substring_index(path, "/", -1)
+    parent = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    raw = F.when(file.startswith("part-"), F.substring_index(parent, "=", -1)).otherwise(file)
+    decoded = F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
+    return F.when(raw.contains("%"), decoded).otherwise(raw)
+
+
+def data_set(path: str, folder: str) -> str | None:
+    """Name of the data set a file belongs to; None for a file that only lies somewhere below.
+
+    A data set is a file ``x.csv``, or a folder ``x.csv`` of parts as Spark writes it.
+    """
+    *_, parent, name = path.split("/")
+    if parent == folder.rstrip("/").split("/")[-1]:
+        return name
+    named = parent.split("=")[-1]
+    return named if name.startswith("part-") and named.endswith(".csv") else None
 
 
 def detect_delimiter(header_line: str) -> str:
@@ -108,21 +123,17 @@ def layouts(spark: SparkSession, folder: str) -> list[FileLayout]:
             F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block_start"), "value"
         )
     )
-    root = folder.rstrip("/").split("/")[-1]
-    # Below the folder itself, only parts of a folder that is named like a CSV file count.
-    direct = F.regexp_extract(F.col("path"), r"([^/]+)/[^/]+$", 1) == root
-    part = F.col("path").rlike(r"[^/=]+\.csv/part-[^/]*$")
-    lines = lines.filter(direct | part)
     profile = {row["path"]: row for row in detect_encoding(lines).collect()}
+    headers = {row["path"]: bytes(row["header"]) for row in first_lines(lines).collect()}
     found = []
-    for row in first_lines(lines).collect():
-        seen = profile[row["path"]]
+    for encoded, seen in profile.items():
+        path = unquote(encoded)
+        name = data_set(path, folder)
+        if name is None:
+            continue
         charset = UTF8 if seen["utf8"] else LATIN if seen["undefined"] else WINDOWS
-        line = bytes(row["header"]).decode(charset).removeprefix("﻿").rstrip("\r")
+        line = headers[encoded].decode(charset).removeprefix(BYTE_ORDER_MARK).rstrip("\r")
         delimiter = detect_delimiter(line)
-        path = unquote(row["path"])
-        segments = path.split("/")
-        name = segments[-2].split("=")[-1] if segments[-1].startswith("part-") else segments[-1]
         header = split_header(line, delimiter)
         found.append(FileLayout(path, name, charset, delimiter, header, bool(seen["open_quote"])))
     if not found:
