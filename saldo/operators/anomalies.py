@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from saldo.functions.numbers import format_number, format_percent, format_score, to_year
 from saldo.functions.numbers import measure as amount_of
-from saldo.operators.filters import apply_filters, fill_keys
-from saldo.operators.joins import rows_for_keys
+from saldo.operators.filters import apply_filters, fill_keys, filter_anomalies
+from saldo.operators.joins import attach_scalar, rows_for_keys
 from saldo.operators.ordering import Page, distinct_keys, page, tie_break
 from saldo.operators.price_index import deflate
 from saldo.settings import AnomalyConfig
@@ -128,6 +128,11 @@ def rank_anomalies(df: DataFrame) -> DataFrame:
     return df.orderBy(*tie_break(df, _ranking()))
 
 
+def export_anomalies(df: DataFrame, parents: Sequence[str], **wanted) -> DataFrame:
+    """All columns of the flagged rows that pass ``filter_anomalies``, highest score first."""
+    return rank_anomalies(filter_anomalies(df, parents, **wanted))
+
+
 def anomaly_page(df: DataFrame, columns: Sequence[str], number: int = 1, size: int = 100) -> Page:
     """One page of the flagged table, highest score first."""
     fixed = [
@@ -145,7 +150,7 @@ def anomaly_yearly(df: DataFrame, parent: str | None = None, value: str = "all")
         rows.groupBy("year")
         .agg(
             F.count(F.lit(1)).alias("anomalies_count"),
-            F.sum("abs_change_real").alias("abs_change_sum"),
+            F.coalesce(F.sum("abs_change_real"), F.lit(0.0)).alias("abs_change_sum"),
             F.sum(F.when(change > 0, size).otherwise(0.0)).alias("abs_change_increase"),
             F.sum(F.when(change < 0, size).otherwise(0.0)).alias("abs_change_decrease"),
         )
@@ -169,14 +174,14 @@ def nested_totals(totals: DataFrame, columns: Sequence[str]) -> DataFrame:
     return totals.groupBy(*columns).agg(F.array_sort(F.collect_list(entry)).alias("year_totals"))
 
 
-def attach_series_totals(page_rows: DataFrame, all_rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+def attach_series_totals(shown: Page, all_rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Each row of a page with the year list of its series; none gives an empty list.
 
-    A page has at most 500 rows, so its keys and lists may be broadcast.
+    A page is at most 500 rows, so its keys and their lists are small enough to broadcast.
     """
-    keys = distinct_keys(page_rows, columns)
+    keys = distinct_keys(shown.rows, columns)
     nested = nested_totals(series_totals(all_rows, F.broadcast(keys), columns), columns)
-    joined = page_rows.join(F.broadcast(nested), list(columns), "left")
+    joined = shown.rows.join(F.broadcast(nested), list(columns), "left")
     empty = F.array().cast(nested.schema["year_totals"].dataType)
     return joined.withColumn("year_totals", F.coalesce("year_totals", empty))
 
@@ -196,16 +201,16 @@ def with_display(df: DataFrame) -> DataFrame:
 
 def anomaly_summary(all_rows: DataFrame, index_annual: DataFrame, config: AnomalyConfig) -> DataFrame:
     """One row: table sizes, the years the index covers, and the thresholds."""
-    span = index_annual.agg(F.min("year").alias("first"), F.max("year").alias("last"))
-    return all_rows.agg(
-        F.count(F.lit(1)).alias("rows_total"), F.count_if("is_anomaly").alias("rows_flagged")
-    ).withColumns(
+    span = index_annual.agg(F.struct(F.min("year").alias("first"), F.max("year").alias("last")))
+    counts = all_rows.agg(F.count(F.lit(1)).alias("rows_total"), F.count_if("is_anomaly").alias("rows_flagged"))
+    covered = attach_scalar(counts, span, "_span")
+    return covered.withColumns(
         {
-            "year_from": span.select("first").scalar(),
-            "year_to": span.select("last").scalar(),
+            "year_from": F.col("_span.first"),
+            "year_to": F.col("_span.last"),
             "z_threshold": F.lit(float(config.z_threshold)),
             "pct_threshold": F.lit(float(config.pct_threshold)),
             "min_abs_real_change": F.lit(float(config.min_abs_real_change)),
             "min_prior_real_abs": F.lit(float(config.min_prior_real_abs)),
         }
-    )
+    ).drop("_span")

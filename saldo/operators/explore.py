@@ -64,10 +64,10 @@ def count_rows(
     return apply_filters(df, year, filters).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def _long(df: DataFrame, columns: Sequence[str], value: Mapping[str, Column], name: str) -> DataFrame:
+def _long(df: DataFrame, value: Mapping[str, Column], name: str) -> DataFrame:
     """One row per (column name, value), NULL values dropped."""
-    pairs = [F.struct(F.lit(c).alias(name), value[c].cast("string").alias("value")) for c in columns]
-    return df.select(F.inline(F.array(*pairs))).filter(F.col("value").isNotNull())
+    texts = df.select(*[v.cast("string").alias(c) for c, v in value.items()])
+    return texts.unpivot([], list(value), name, "value").filter(F.col("value").isNotNull())
 
 
 def category_profile(df: DataFrame, columns: Sequence[str], most: int = 200) -> DataFrame:
@@ -76,7 +76,7 @@ def category_profile(df: DataFrame, columns: Sequence[str], most: int = 200) ->
     All columns are profiled in one scan; each task reduces to distinct values before the shuffle.
     """
     present = [c for c in columns if c in df.columns]
-    pairs = _long(df, present, {c: F.col(c) for c in present}, "category").distinct()
+    pairs = _long(df, {c: F.col(c) for c in present}, "category").distinct()
     counts = pairs.groupBy("category").agg(F.count(F.lit(1)).alias("distinct_count"))
     return counts.filter((F.col("distinct_count") > 1) & (F.col("distinct_count") <= most)).orderBy("category")
 
@@ -108,7 +108,7 @@ def facet_options(
             value[c] = F.when((F.col("_fails") == 0) | (fails[c] == 1), F.col(c))
         else:
             value[c] = F.when(F.col("_fails") == 0, F.col(c))
-    options = _long(scope, present, value, "facet").distinct()
+    options = _long(scope, value, "facet").distinct()
     rank = F.row_number().over(Window.partitionBy("facet").orderBy("value"))
     return options.withColumn("position", rank).filter(F.col("position") <= most)
 

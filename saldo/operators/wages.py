@@ -79,6 +79,15 @@ def avg_yoy(df: DataFrame, by: str, value: str = "wage_sum") -> DataFrame:
     return growth.groupBy(by).agg(F.avg("yoy_pct").alias("avg_increase_pct"))
 
 
+def avg_yoy_scope(df: DataFrame, source: DataFrame, profile: LedgerProfile) -> DataFrame:
+    """Mean growth of all rows taken together, as one row; NULL when there is no growth figure.
+
+    The window sees one row per year, as the rows are summed before it.
+    """
+    yearly = wage_yearly(df.withColumn("_scope", F.lit("all")), source, profile, "_scope")
+    return yoy_pct(yearly, ["_scope"], "wage_sum").agg(F.avg("yoy_pct").alias("avg_increase_pct"))
+
+
 def cost_basis(df: DataFrame, profile: LedgerProfile, keys: Sequence[str], detail: Sequence[str]) -> DataFrame:
     """Net wages and net other costs per detail cell; NULL detail keys count as empty text."""
     cells = {f"k_{c}": F.coalesce(F.col(c), F.lit("")) for c in detail if c in df.columns}

@@ -267,9 +267,9 @@ ranked AS (
 )"""
 
 
-def ingested(where: str) -> str:
+def ingested(where: str, url: str) -> str:
     return with_(LEDGER) + f"""
-SELECT 'ledger_' || (ledger.year + 20) || '12.csv' AS source_file, CAST(ledger.year + 20 AS INTEGER) AS year, 12 AS period_month, samtala2,
+SELECT 'ledger_' || (ledger.year + 20) || '12.csv' AS source_file, {url} AS source_url, CAST(ledger.year + 20 AS INTEGER) AS year, 12 AS period_month, samtala2,
        CASE WHEN ledger.year < 1999 THEN samtala3 END AS samtala3, count(*) AS rows, count(vm_numer) AS numbered,
        CAST(sum(raun) AS DOUBLE) AS total
 FROM ledger WHERE {where} GROUP BY ledger.year, samtala2, CASE WHEN ledger.year < 1999 THEN samtala3 END"""
@@ -419,6 +419,13 @@ FROM shown p JOIN lists l ON l.samtala0 = p.samtala0 AND l.samtala2_canonical =
 SELECT year, samtala0, samtala2, direction, round(actual_real, 2) AS actual_real,
        round(anomaly_score, 6) AS anomaly_score
 FROM scored WHERE is_anomaly AND direction = 'increase' AND samtala2_canonical = 'HOME'""",
+    "anomaly_files": with_(LEDGER, INDEX, SCORED) + """
+SELECT 'anomalies_yoy_all' AS file, count(*) AS rows FROM scored
+UNION ALL SELECT 'anomalies_yoy_all_csv', count(*) FROM scored
+UNION ALL SELECT 'anomalies_flagged', count(*) FROM scored WHERE is_anomaly
+UNION ALL SELECT 'anomalies_flagged_csv', count(*) FROM scored WHERE is_anomaly
+UNION ALL SELECT 'index_monthly_csv', count(*) FROM index_monthly
+UNION ALL SELECT 'index_annual_csv', count(*) FROM index_annual""",
     "full_years": with_(LEDGER) + FULL,
     "wage_totals": with_(LEDGER) + f"""
 SELECT samtala2_canonical, CAST(sum({WAGE}) AS DOUBLE) AS actual_sum, count(*) AS row_count FROM ledger
@@ -427,6 +434,8 @@ WHERE {LISTED} AND year = 1998 GROUP BY 1""",
 SELECT samtala2_canonical, year, wage_sum, round(pct, 6) AS yoy_pct FROM grown""",
     "wage_growth_mean": with_(LEDGER, growth("samtala0", "TRUE")) + """
 SELECT samtala0, round(avg(pct), 6) AS avg_increase_pct FROM grown WHERE pct IS NOT NULL GROUP BY 1""",
+    "wage_growth_scope": with_(LEDGER, growth("", LISTED)) + """
+SELECT round(avg(pct), 6) AS avg_increase_pct FROM grown""",
     "cost_totals": with_(
         LEDGER,
         f"""basis AS (SELECT samtala2_canonical, year, sum({WAGE}) AS w, sum({OTHER}) AS o FROM ledger
@@ -506,8 +515,14 @@ SELECT page_id, position, link AS url, filename,
     "manifest_summary": with_(LINKS) + """
 SELECT count(*) AS count, count(*) FILTER (WHERE has IS NULL) AS errors,
        CAST(coalesce(sum(has), 0) AS BIGINT) AS bytes FROM ranked""",
-    "csv_ingest": ingested("TRUE"),
+    "csv_ingest": ingested(
+        "TRUE",
+        "CASE WHEN ledger.year < 1999 THEN 'http://data.example.org/download/ledger_' || (ledger.year + 20) || '12.csv' END",
+    ),
+    "ingest_metadata": with_(LEDGER) + """
+SELECT DISTINCT CAST((SELECT count(*) FROM ledger) AS BIGINT) AS rows, 'ledger_' || (year + 20) || '12.csv' AS file,
+       CAST(CASE WHEN year < 1999 THEN 10 ELSE 9 END AS INTEGER) AS columns FROM ledger""",
     "ledger_store_roundtrip": with_(LEDGER) + """
 SELECT year, samtala2_family, count(*) AS rows, CAST(sum(raun) AS DOUBLE) AS total FROM ledger GROUP BY 1, 2""",
-    "landing_ingest": ingested("year < 1999"),
+    "landing_ingest": ingested("ledger.year < 1999", "CAST(NULL AS VARCHAR)"),
 }

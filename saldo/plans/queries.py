@@ -13,8 +13,9 @@ from saldo.operators import anomalies, drill, entities, explore, filters, harves
 from saldo.plans.star import STAR_PROFILE as PROFILE
 from saldo.plans.star import star_ledger, table
 from saldo.settings import AnomalyConfig, LedgerProfile
-from saldo.sources import csv_folder, ledger as ledger_store
-from saldo.sources.scratch import scratch_dir
+from saldo.sources import csv_folder, results
+from saldo.sources import ledger as ledger_store
+from saldo.sources.scratch import scratch_dir, stored
 from saldo.streaming import landing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -374,10 +375,13 @@ def series_totals(spark, sf_dir):
 
 @query
 def anomaly_page(spark, sf_dir):
-    """The second page of flagged rows, as shown, with the year list of each series."""
-    rows = scored(spark, sf_dir)
+    """The second page of flagged rows, as shown, with the year list of each series.
+
+    Pages are browsed off a stored table, so the ledger is read once and not once per step.
+    """
+    rows = stored(scored(spark, sf_dir), "scored")
     hits = filters.filter_anomalies(rows.filter("is_anomaly"), BROWSE)
-    page = anomalies.anomaly_page(hits, BROWSE, number=2, size=25).rows
+    page = anomalies.anomaly_page(hits, BROWSE, number=2, size=25)
     shown = anomalies.with_display(anomalies.attach_series_totals(page, rows, BROWSE))
     years = F.array_join(F.transform("year_totals", lambda t: F.concat_ws(":", t["year"], t["actual_real_fmt"])), " ")
     return shown.select(
@@ -388,13 +392,26 @@ def anomaly_page(spark, sf_dir):
 
 @query
 def anomaly_export(spark, sf_dir):
-    hits = filters.filter_anomalies(
+    out = anomalies.export_anomalies(
         flagged_rows(spark, sf_dir), BROWSE, direction="increase", parent="samtala2_canonical", value="HOME"
     )
-    out = anomalies.rank_anomalies(hits)
     return out.select("year", *SERIES, "direction", money("actual_real"), ratio("anomaly_score"))
 
 
+@query
+def anomaly_files(spark, sf_dir):
+    """Row counts of the result files after one run."""
+    folder = scratch_dir(spark, "results")
+    results.write_anomalies(
+        scored(spark, sf_dir), index_months(spark, sf_dir), index_years(spark, sf_dir), folder, THRESHOLDS
+    )
+    tables = {name: spark.read.parquet(f"{folder}/{name}") for name in ("anomalies_yoy_all", "anomalies_flagged")}
+    for name in ("anomalies_yoy_all_csv", "anomalies_flagged_csv", "index_monthly_csv", "index_annual_csv"):
+        tables[name] = spark.read.option("header", True).csv(f"{folder}/{name}")
+    counts = [t.agg(F.lit(name).alias("file"), F.count(F.lit(1)).alias("rows")) for name, t in tables.items()]
+    return csv_folder.union_by_name(counts)
+
+
 # --- Wage report ------------------------------------------------------------------------
 
 REPORT_COLUMNS = ["year", "samtala0", "samtala2_canonical", "tegund0", *PROFILE.detail, "raun"]
@@ -433,6 +450,13 @@ def wage_growth_mean(spark, sf_dir):
     return wages.avg_yoy(yearly, "samtala0").select("samtala0", ratio("avg_increase_pct"))
 
 
+@query
+def wage_growth_scope(spark, sf_dir):
+    rows = ledger(spark, sf_dir, ["year", "samtala2_canonical", "tegund0", "raun"])
+    out = wages.avg_yoy_scope(wages.in_departments(rows, PROFILE), months(spark, sf_dir), PROFILE)
+    return out.select(ratio("avg_increase_pct"))
+
+
 @query
 def cost_totals(spark, sf_dir):
     """Net costs per detail cell, clamped at zero and summed by department and year."""
@@ -650,17 +674,37 @@ def landed_files(spark: SparkSession, sf_dir: str) -> str:
 
 def ingest_profile(rows: DataFrame) -> DataFrame:
     amount = numbers.measure(rows, "raun")
-    return rows.groupBy("source_file", "year", "period_month", "samtala2", "samtala3").agg(
+    return rows.groupBy("source_file", "source_url", "year", "period_month", "samtala2", "samtala3").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count("vm_numer").alias("numbered"),
         F.sum(amount).cast("double").alias("total"),
     )
 
 
+def landed_manifest(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """A manifest of the early files, written as JSON and read back. It has one entry per year."""
+    years = ordering.distinct_years(star_ledger(spark, sf_dir, ["year"])).filter(F.col("year") < 1999)
+    name = F.format_string("ledger_%d12.csv", F.col("year") + 20)
+    entry = F.struct(F.concat(F.lit("http://data.example.org/download/"), name).alias("url"), name.alias("filename"))
+    path = f"{folder}/manifest"
+    years.agg(F.collect_list(entry).alias("files")).coalesce(1).write.json(path)
+    return ledger_store.read_manifest(spark, path)
+
+
 @query
 def csv_ingest(spark, sf_dir):
-    """The ledger written as CSV files of two layouts, found again and combined."""
-    return ingest_profile(csv_folder.read_csv_folder(spark, landed_files(spark, sf_dir)).table)
+    """The ledger written as CSV files of two layouts, found again, combined, and given their addresses."""
+    folder = landed_files(spark, sf_dir)
+    manifest = landed_manifest(spark, sf_dir, folder)
+    return ingest_profile(ledger_store.with_source_url(csv_folder.read_csv_folder(spark, folder).table, manifest))
+
+
+@query
+def ingest_metadata(spark, sf_dir):
+    """Files, number of columns of each, and the row count of the whole run."""
+    ingest = csv_folder.read_csv_folder(spark, landed_files(spark, sf_dir))
+    metadata = ledger_store.ingest_metadata(spark, ingest).select("rows", F.explode("column_maps").alias("entry"))
+    return metadata.select("rows", F.col("entry.file").alias("file"), F.size("entry.columns").alias("columns"))
 
 
 @query

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
@@ -17,3 +17,14 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     if shared:
         return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     return tempfile.mkdtemp(prefix=f"run-{label}-", dir="/tmp")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The frame written once and read back, for results that several later steps read.
+
+    Lineage ends at the written files, so a lost executor costs no recomputation.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark, label)}/table"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from saldo.functions.periods import month_key
-from saldo.operators import anomalies, filters, price_index
+from saldo.operators import anomalies, filters, ordering, price_index
 from saldo.plans.star import STAR_PROFILE, star_ledger
 from saldo.settings import SERIES_KEYS, AnomalyConfig
 from saldo.sources import results
@@ -148,7 +148,7 @@ def test_page_lists_follow_the_displayed_department(spark):
     )
     mapped = filters.with_departments(rows, STAR_PROFILE)
     columns = ["samtala0", "samtala2_canonical"]
-    page = mapped.select(*columns).distinct()
+    page = ordering.page(mapped.select(*columns).distinct(), [F.asc("samtala0")])
     got = {r["samtala0"]: r["year_totals"] for r in anomalies.attach_series_totals(page, mapped, columns).collect()}
     assert [tuple(t) for t in got["i"]] == [(2020, 3.0, "3"), (2021, 4.5, "4,50")]
     assert got["j"] == []
