@@ -139,7 +139,8 @@ def anomaly_page(df: DataFrame, columns: Sequence[str], number: int = 1, size: i
         "year", "direction", "anomaly_score", "yoy_real_pct", "yoy_real_change",
         "actual_real", "prior_real", "abs_change_real",
     ]
-    return page(df.select(*fixed, *[c for c in columns if c not in fixed]), _ranking(), number, size)
+    rows = df.select(*fixed, *[c for c in columns if c not in fixed])
+    return page(rows, ["-anomaly_score", "-abs_change_real"], number, size)
 
 
 def anomaly_yearly(df: DataFrame, parent: str | None = None, value: str = "all") -> DataFrame:

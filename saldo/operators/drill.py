@@ -50,7 +50,7 @@ def records(
     size: int = 100,
 ) -> Page:
     """One page of the rows in scope, latest year first."""
-    return page(_scope_rows(df, scope, columns, year), [F.desc_nulls_last("year")], number, size)
+    return page(_scope_rows(df, scope, columns, year), ["-year"], number, size)
 
 
 def export_scope(

@@ -701,10 +701,9 @@ def csv_ingest(spark, sf_dir):
 
 @query
 def ingest_metadata(spark, sf_dir):
-    """Files, number of columns of each, and the row count of the whole run."""
+    """Rows and number of columns of every file."""
     ingest = csv_folder.read_csv_folder(spark, landed_files(spark, sf_dir))
-    metadata = ledger_store.ingest_metadata(spark, ingest).select("rows", F.explode("column_maps").alias("entry"))
-    return metadata.select("rows", F.col("entry.file").alias("file"), F.size("entry.columns").alias("columns"))
+    return ledger_store.ingest_metadata(spark, ingest).select("file", "rows", F.size("columns").alias("columns"))
 
 
 @query

@@ -97,11 +97,13 @@ def detect_encoding(lines: DataFrame) -> DataFrame:
     UTF-8 when every line is valid UTF-8; else windows-1252 unless a byte is undefined in it.
     """
     text = F.col("value")
+    valid = F.is_valid_utf8(text)
+    plain = valid & (F.octet_length(text) == F.char_length(text))
     as_latin = F.decode(text.cast("binary"), "ISO-8859-1")
-    undefined = as_latin.rlike(f"[{_C1_UNDEFINED}]")
-    quotes = F.length(as_latin) - F.length(F.replace(as_latin, F.lit('"'), F.lit("")))
+    undefined = F.when(plain, F.lit(False)).otherwise(as_latin.rlike(f"[{_C1_UNDEFINED}]"))
+    quotes = F.octet_length(text) - F.octet_length(F.replace(text, F.lit('"'), F.lit("")))
     return lines.groupBy("path").agg(
-        F.bool_and(F.is_valid_utf8(text)).alias("utf8"),
+        F.bool_and(valid).alias("utf8"),
         F.bool_or(undefined).alias("undefined"),
         F.bool_or(quotes % 2 == 1).alias("open_quote"),
     )

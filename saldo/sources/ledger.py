@@ -53,25 +53,17 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ingest_metadata(spark: SparkSession, ingest: Ingest) -> DataFrame:
-    """One row: run time, row count, files, and the column map of every file."""
-    schema = "file string, columns map<string,string>"
-    maps = spark.createDataFrame(ingest.column_maps, schema)
-    # The map frame lists every file once, so the row count joins one short table per file.
+    """One row per file: run time, row count, and the map from original to final column names."""
+    maps = spark.createDataFrame(ingest.column_maps, "file string, columns map<string,string>")
     counts = ingest.table.groupBy(F.col("source_file").alias("file")).agg(F.count(F.lit(1)).alias("n"))
-    entry = F.struct("file", "columns")
-    return maps.join(counts, "file", "left").agg(
-        F.lit(ingest.ingested_at).alias("generated_at"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.array_sort(F.collect_list("file")).alias("files"),
-        F.array_sort(
-            F.collect_list(entry),
-            lambda a, b: F.when(a["file"] < b["file"], -1).when(a["file"] > b["file"], 1).otherwise(0),
-        ).alias("column_maps"),
+    rows = F.coalesce("n", F.lit(0)).alias("rows")
+    return maps.join(counts, "file", "left").select(
+        F.lit(ingest.ingested_at).alias("generated_at"), "file", rows, "columns"
     )
 
 
 def write_metadata(metadata: DataFrame, path: str) -> None:
-    metadata.coalesce(1).write.mode("overwrite").json(path)
+    metadata.write.mode("overwrite").json(path)
 
 
 def register_views(spark: SparkSession, paths: Mapping[str, str], profile: LedgerProfile) -> None:

@@ -79,16 +79,32 @@ def test_preview_limit_is_clamped(spark):
     [(0, 100, 0, 100, 1), (1, 10, 0, 25, 1), (3, 100, 200, 100, 3), (99, 100, 600, 30, 7), (2, 9999, 500, 130, 2)],
 )
 def test_page(spark, number, size, first, count, shown):
-    page = ordering.page(spark.range(630).toDF("id"), [F.asc("id")], number, size)
+    page = ordering.page(spark.range(630).toDF("id"), ["id"], number, size)
     ids = [r[0] for r in page.rows.collect()]
     assert (ids[0], len(ids), page.number, page.total) == (first, count, shown, 630)
 
 
 def test_page_of_nothing(spark):
-    page = ordering.page(spark.range(0).toDF("id"), [F.asc("id")], 5)
+    page = ordering.page(spark.range(0).toDF("id"), ["id"], 5)
     assert (page.rows.count(), page.number, page.pages, page.total) == (0, 1, 1, 0)
 
 
+@pytest.mark.parametrize("number", [1, 2, 7, 8, 20, 33, 39, 40])
+def test_deep_pages(spark, number):
+    """Every way to a page gives the rows that slicing a sorted list gives."""
+    df = spark.range(1000).select(
+        F.when(F.col("id") % 9 != 0, F.col("id") % 7).alias("a"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 400).alias("b")
+    )
+    everything = sorted((tuple(r) for r in df.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    page = ordering.page(df, ["-a"], number, 25, reach=60)
+    assert rows(page.rows) == everything[(number - 1) * 25 : number * 25]
+
+
+def test_deep_page_of_equal_rows(spark):
+    df = spark.range(1000).select(F.lit(1).alias("a"))
+    assert rows(ordering.page(df, ["a"], 20, 25, reach=60).rows) == [(1,)] * 25
+
+
 def test_mixed_sort(spark):
     given = ["b", "1.200", "12,5%", "A", "", "-3", "1,2,3", "7 %", "9e2"]
     df = spark.createDataFrame([(v,) for v in given], "v string")

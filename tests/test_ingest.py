@@ -70,10 +70,12 @@ def test_read_csv_folder(spark, folder):
 def test_ingest_metadata(spark, folder, tmp_path):
     ingest = csv_folder.read_csv_folder(spark, str(folder), "now")
     ledger.write_metadata(ledger.ingest_metadata(spark, ingest), str(tmp_path / "meta"))
-    schema = "generated_at string, rows bigint, files array<string>, column_maps array<struct<file: string, columns: map<string,string>>>"
-    got = spark.read.schema(schema).json(str(tmp_path / "meta")).first()
-    assert (got["generated_at"], got["rows"], len(got["files"])) == ("now", 8, 6)
-    assert got["column_maps"][0]["file"] == "a_202001.csv"
+    schema = "generated_at string, file string, rows bigint, columns map<string,string>"
+    got = {r["file"]: r for r in spark.read.schema(schema).json(str(tmp_path / "meta")).collect()}
+    assert {f: r["rows"] for f, r in got.items()} == {
+        "a_202001.csv": 2, "b 202113.csv": 1, "c_1999.csv": 1, "d.csv": 1, "e_201912.csv": 2, "f_202002.csv": 1,
+    }
+    assert got["d.csv"]["generated_at"] == "now" and got["a_202001.csv"]["columns"]["Ár"] == "ar"
 
 
 def test_no_files(spark, tmp_path):

@@ -148,7 +148,7 @@ def test_page_lists_follow_the_displayed_department(spark):
     )
     mapped = filters.with_departments(rows, STAR_PROFILE)
     columns = ["samtala0", "samtala2_canonical"]
-    page = ordering.page(mapped.select(*columns).distinct(), [F.asc("samtala0")])
+    page = ordering.page(mapped.select(*columns).distinct(), ["samtala0"])
     got = {r["samtala0"]: r["year_totals"] for r in anomalies.attach_series_totals(page, mapped, columns).collect()}
     assert [tuple(t) for t in got["i"]] == [(2020, 3.0, "3"), (2021, 4.5, "4,50")]
     assert got["j"] == []
