@@ -25,9 +25,14 @@ def number_column(df: DataFrame) -> str:
 
 
 def entity_keys(df: DataFrame, column: str | None = None, limit: int = 0) -> DataFrame:
-    """Distinct numbers, digits only, in order. Raw values are made distinct before they are cleaned."""
+    """Distinct numbers, digits only, in order.
+
+    Raw values are made distinct before they are cleaned. The count keeps the two steps apart, as
+    Spark would merge two plain distincts and clean every row.
+    """
     source = column or number_column(df)
-    raw = df.select(F.col(source).alias("vm_number")).filter(F.col(source).isNotNull()).distinct()
+    present = df.select(F.col(source).alias("vm_number")).filter(F.col(source).isNotNull())
+    raw = present.groupBy("vm_number").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0)
     keys = raw.select(digits_only(F.col("vm_number")).alias("vm_number"))
     keys = keys.filter(F.col("vm_number").isNotNull()).distinct().orderBy("vm_number")
     return keys.limit(limit) if limit > 0 else keys

@@ -616,6 +616,7 @@ def entity_resolve(spark, sf_dir):
 
 
 def harvested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All links. Store them where they are read more than once: finding them is the costly part."""
     return harvest.harvest_links(pages(spark, sf_dir), ANY_LINK)
 
 
@@ -640,12 +641,13 @@ def listings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def manifest_status(spark, sf_dir):
-    return harvest.manifest(harvested(spark, sf_dir), *listings(spark, sf_dir))
+    return harvest.manifest(stored(harvested(spark, sf_dir), "links"), *listings(spark, sf_dir))
 
 
 @query
 def manifest_summary(spark, sf_dir):
-    return harvest.manifest_summary(harvest.manifest(harvested(spark, sf_dir), *listings(spark, sf_dir), force=True))
+    links = stored(harvested(spark, sf_dir), "links")
+    return harvest.manifest_summary(harvest.manifest(links, *listings(spark, sf_dir), force=True))
 
 
 # --- Ingest -----------------------------------------------------------------------------
