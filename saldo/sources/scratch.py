@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below the shared one the session names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Only a session without that setting, as in tests, gets a folder of this machine.
+    There is no fall-back: a folder of one machine would lose rows on a cluster.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"run-{label}-", dir="/tmp")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        raise ValueError("name a shared folder in spark.checkpoint.dir or with SparkContext.setCheckpointDir")
+    return shared.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new folder name below the shared folder."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -27,4 +31,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark, label)}/table"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete the files of stored frames that nothing reads any more."""
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = shared_folder(spark)
+    for frame in frames:
+        for folder in {name.rsplit("/", 1)[0] for name in frame.inputFiles()}:
+            if folder.startswith(root) or folder.startswith(f"file://{root}"):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(hadoop).delete(path, True)
