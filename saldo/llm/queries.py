@@ -5,14 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from saldo.llm import block_naming, simhash_bk
+from saldo.llm import block_naming, bpe_automaton, packing, simhash_bk
+from saldo.llm.encoder import tokenizer_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    decoded = bpe_automaton.decode(bpe_automaton.encode(_documents(spark, sf_dir), path), path)
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_duplicates(_documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
@@ -22,6 +39,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe_automaton": op1_bpe_automaton,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
