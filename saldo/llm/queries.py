@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saldo.llm import block_naming, bpe_automaton, packing, simhash_bk
+from saldo.llm import block_naming, bpe_automaton, packing, simhash_bk, token_store
 from saldo.llm.encoder import tokenizer_path
+from saldo.sources.scratch import scratch_dir
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +35,14 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_duplicates(_documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_dir(spark, "tokens")
+    manifest = token_store.write_tokens(_documents(spark, sf_dir), folder, tokenizer_path("word_bpe_49k.json"))
+    return token_store.read_tokens(spark, manifest).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_duplicates(_documents(spark, sf_dir)).drop("mark")
 
@@ -42,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_automaton": op1_bpe_automaton,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_token_store": op6_token_store,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
