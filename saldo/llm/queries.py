@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saldo.llm import block_naming, bpe_automaton, packing, simhash_bk, token_store
+from saldo.llm import block_naming, bpe_automaton, language_ppm, packing, simhash_bk, site_quality, token_store
 from saldo.llm.encoder import tokenizer_path
 from saldo.sources.scratch import scratch_dir
 
@@ -31,6 +31,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 3 == 1)
+    model = language_ppm.fit(docs.where(~F.coalesce("held_out", F.lit(False))))
+    found = language_ppm.predict_column(spark, model, F.col("text"))
+    return docs.select("doc_id", "held_out", found.alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_duplicates(_documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
@@ -43,6 +50,11 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = site_quality.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.drop("mark").withColumn("kept", F.col("quality") >= site_quality.LEAST_QUALITY)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_duplicates(_documents(spark, sf_dir)).drop("mark")
 
@@ -50,8 +62,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_automaton": op1_bpe_automaton,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_language_ppm": op3_language_ppm,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_token_store": op6_token_store,
+    "op8_site_quality": op8_site_quality,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
