@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saldo.llm import block_naming, simhash_bk
+from saldo.llm import block_naming, language_ppm, packing, simhash_bk, site_quality
+from saldo.llm.encoder import tokenizer_path
 from saldo.sources.scratch import scratch_dir
 from shared_folder import name_shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_ppm.keep_languages(docs)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return site_quality.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return block_naming.keep_first_copies(docs)
 
@@ -21,9 +30,17 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return simhash_bk.keep_first_of_components(docs)
 
 
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents with their places in training sequences."""
+    return packing.packed_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("quality_classifier", quality_classifier),
     ("exact_dedup", exact_dedup),
     ("simhash_near_dedup", simhash_near_dedup),
+    ("best_fit_packing", best_fit_packing),
 ]
 
 #: Statistical scores, fingerprints and packing are beyond SQL; tests hold them against brute force.
