@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saldo.llm import block_naming, bpe_automaton, language_ppm, packing, simhash_bk, site_quality, token_store
+from saldo.llm import block_naming, bpe_automaton, language_ppm, packing, simhash_bk, site_quality, token_store, url_trees, vector_tree, warc
 from saldo.llm.encoder import tokenizer_path
 from saldo.sources.scratch import scratch_dir
 
@@ -38,6 +38,26 @@ def op3_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "held_out", found.alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+#: The rules that decide before the judge does.
+URL_RULES = [
+    url_trees.Rule("block", "net", "/"),
+    url_trees.Rule("allow", "example.net", "/en/"),
+    url_trees.Rule("block", "example.com", "/de/"),
+    url_trees.Rule("allow", "org", "/fr/"),
+]
+
+
+def op4_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled are the URLs whose document, named by the number in the path, has a label: bad if poor or toxic."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    named = pages.withColumn("doc_id", F.expr("try_cast(regexp_extract(url, '/([0-9]+)[^/0-9]*/?(?:[?#].*)?$', 1) AS BIGINT)"))
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad")
+    labelled = named.join(labels, "doc_id").select("url", bad)
+    judged = url_trees.judge(pages, labelled, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "bad_probability")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_duplicates(_documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
@@ -50,6 +70,17 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_dir(spark, "warc")
+    warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    responses = warc.read_warc(spark, folder).where("record_type = 'response'")
+    # Revisits are read from their headers alone.
+    revisits = warc.read_warc(spark, folder, payload=False).where("record_type = 'revisit'")
+    return responses.select("page_id", F.octet_length("payload").cast("bigint").alias("payload_bytes"), "payload_digest", "record_type", "refers_to").unionByName(
+        revisits.select("page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    )
+
+
 def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = site_quality.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.drop("mark").withColumn("kept", F.col("quality") >= site_quality.LEAST_QUALITY)
@@ -59,14 +90,23 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_duplicates(_documents(spark, sf_dir)).drop("mark")
 
 
+def op10_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    queries = rows.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"))
+    return vector_tree.nearest(rows, queries)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_automaton": op1_bpe_automaton,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_ppm": op3_language_ppm,
+    "op4_url_trees": op4_url_trees,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_token_store": op6_token_store,
+    "op7_warc": op7_warc,
     "op8_site_quality": op8_site_quality,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_vector_tree": op10_vector_tree,
 }
 
 ORACLE: dict[str, str] = {
