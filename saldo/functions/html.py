@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 from itertools import chain
 
 from pyspark.sql import Column
@@ -10,38 +10,48 @@ from pyspark.sql import functions as F
 
 from saldo.functions.text import strip_space
 
-# Parts of a page whose text is not shown: comments, declarations, scripts, styles, templates.
+# Parts of a page whose text is not shown: comments, declarations, scripts, styles, templates. One that is not
+# closed hides the rest of the page.
 HIDDEN = (
-    r"(?is)<!--.*?-->|<![^>]*>"
-    r"|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<template\b[^>]*>.*?</template\s*>"
+    r"(?is)<!--.*?(?:-->|\z)|<![^>]*>"
+    r"|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|<template\b[^>]*>.*?(?:</template\s*>|\z)"
 )
 TAG = r"(?s)</?[A-Za-z][^>]*>"
-REFERENCE = r"(&#?\w+;)"
-AMPERSAND = r"&(?:amp|AMP|#0*38|#[xX]0*26);"
+# Elements that end a heading or title which is not closed.
+BLOCK = "address|article|aside|blockquote|body|div|dl|footer|form|h[1-6]|header|hr|main|nav|ol|p|pre|section|table|ul"
+# Old names count without a semicolon too.
+OLD_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+REFERENCE = rf"(&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{OLD_NAMES})))"
+AMPERSAND = r"&(?:(?:amp|AMP|#0*38);?|#[xX]0*26;?)"
 # Marks where a tag was; a control character that no page shows.
 EDGE = "\x01"
-ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+# Numbers 128 to 159 stand for the characters of the Windows charset.
+WINDOWS = "".join(bytes([b]).decode("cp1252", "replace") for b in range(128, 160))
 
 
 def _character(reference: Column) -> Column:
     """The character a reference stands for; unknown references stay as they are."""
-    names = F.create_map(*[F.lit(x) for x in chain.from_iterable((n, chr(c)) for n, c in name2codepoint.items())])
-    body = F.substring(reference, 2, F.length(reference) - 2)
+    names = F.create_map(*[F.lit(x) for x in chain.from_iterable((n.rstrip(";"), c) for n, c in html5.items() if n.endswith(";"))])
+    body = F.rtrim(F.substring(reference, 2, F.length(reference)), F.lit(";"))
     is_hex = body.rlike("^#[xX][0-9a-fA-F]{1,6}$")
     is_decimal = body.rlike("^#[0-9]{1,7}$")
     digits = F.when(is_hex, F.conv(F.substring(body, 3, 6), 16, 10)).when(is_decimal, F.substring(body, 2, 7))
     code = digits.try_cast("int")
     char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    return F.coalesce(F.when(code.between(1, 0x10FFFF), char).when(~body.startswith("#"), names[body]), reference)
+    windows = F.substring(F.lit(WINDOWS), code - 127, F.lit(1))
+    known = F.when(code.between(128, 159), windows).when(code.between(1, 0x10FFFF), char)
+    return F.coalesce(known.when(~body.startswith("#"), names[body]), reference)
 
 
 def decode_entities(text: Column) -> Column:
     """Replace character references; a page has few different ones, each is replaced at once.
 
-    Ampersands come last, so that ``&amp;lt;`` becomes ``&lt;`` and no more.
+    Long ones come first, as one may begin like another. Ampersands come last, so that ``&amp;lt;`` becomes
+    ``&lt;`` and no more.
     """
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)))
-    others = F.filter(found, lambda r: ~r.rlike(AMPERSAND))
+    others = F.array_sort(F.filter(found, lambda r: ~r.rlike(f"^{AMPERSAND}$")), lambda a, b: F.length(b) - F.length(a))
     decoded = F.reduce(others, text, lambda acc, r: F.replace(acc, r, _character(r)))
     return F.when(text.contains("&"), F.regexp_replace(decoded, AMPERSAND, "&")).otherwise(text)
 
@@ -54,15 +64,14 @@ def visible(html: Column) -> Column:
 def fragment_text(fragment: Column, separator: str) -> Column:
     """Text pieces between tags, each stripped, blank ones dropped, joined by ``separator``."""
     marked = decode_entities(F.regexp_replace(fragment, TAG, EDGE))
-    joined = F.regexp_replace(marked, rf"(?U)\s*{EDGE}[\s{EDGE}]*", EDGE)
-    return F.replace(strip_space(F.btrim(joined, F.lit(EDGE))), F.lit(EDGE), F.lit(separator))
+    pieces = F.transform(F.split(marked, EDGE), strip_space)
+    return F.array_join(F.filter(pieces, lambda piece: piece != ""), separator)
 
 
 def element_text(shown: Column, tag: str) -> Column:
-    """Text of the first ``tag`` element; NULL when there is none or it is blank."""
-    inner = F.regexp_extract(shown, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
-    text = fragment_text(inner, "")
-    return F.when(text != "", text)
+    """Text of the first ``tag`` element, up to its end, the next block or the end of the page; NULL when blank."""
+    inner = F.regexp_extract(shown, rf"(?is)<{tag}\b[^>]*>(.*?)(?:</{tag}\s*>|</?(?:{BLOCK})\b|\z)", 1)
+    return F.nullif(fragment_text(inner, ""), F.lit(""))
 
 
 def page_text(shown: Column) -> Column:
@@ -77,12 +86,8 @@ def entity_name(shown: Column) -> Column:
 
 def anchors(shown: Column) -> Column:
     """Every ``href`` of a link element, decoded, in page order."""
-
-    def quoted(k: int) -> Column:
-        return F.regexp_extract_all(shown, F.lit(ANCHOR), F.lit(k))
-
-    either = F.zip_with(quoted(1), quoted(2), lambda a, b: F.concat(a, b))
-    return F.zip_with(either, quoted(3), lambda a, b: decode_entities(F.concat(a, b)))
+    found = F.regexp_extract_all(shown, F.lit(ANCHOR), F.lit(1))
+    return F.transform(found, lambda href: decode_entities(F.regexp_replace(href, """^["']|["']$""", "")))
 
 
 def first_href(shown: Column, part: str) -> Column:

@@ -6,24 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Eighteen digits is the widest decimal Spark keeps in a long, so sums stay cheap and exact.
-AMOUNT_PRECISION = 18
+# Ten digits fewer than the widest decimal: Spark widens a sum by ten, so sums keep all digits.
+AMOUNT_PRECISION = 28
+PLAIN_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
-def parse_number(text: Column, scale: int = 2) -> Column:
-    """Text such as ``1.234,56`` as a decimal; NULL when it is not a number.
+def _fitted(value: Column, plain: Column, precision: int, scale: int) -> Column:
+    """The value as a decimal; a number that does not fit is an error and never a silent NULL."""
+    kind = T.DecimalType(precision, scale)
+    amount = value.try_cast(kind)
+    wide = F.raise_error(F.concat(F.lit(f"no decimal({precision},{scale}): "), value.cast("string"))).cast(kind)
+    return F.when(amount.isNull() & plain, wide).otherwise(amount)
+
+
+def parse_number(text: Column, scale: int = 2, precision: int = AMOUNT_PRECISION) -> Column:
+    """Text such as ``1.234,56`` as a decimal; NULL when it is not a number, an error when it is too wide.
 
     A decimal target accepts signs, ``,5``, ``12,`` and exponents, and turns ``inf``, ``nan``,
     ``1d`` and ``1_000`` into NULL. Digits beyond ``scale`` are rounded half up.
     """
-    return F.translate(text, ",.", ".").try_cast(T.DecimalType(AMOUNT_PRECISION, scale))
-
-
-def measure(df: DataFrame, name: str, scale: int = 2) -> Column:
-    """The measure column as a decimal: text is parsed, numeric columns pass through."""
-    if isinstance(df.schema[name].dataType, T.StringType):
-        return parse_number(F.col(name), scale)
-    return F.col(name).try_cast(T.DecimalType(AMOUNT_PRECISION, scale))
+    bare = F.translate(text, ",.", ".")
+    return _fitted(bare, bare.rlike(PLAIN_NUMBER), precision, scale)
+
+
+def measure(df: DataFrame, name: str, scale: int = 2, precision: int = AMOUNT_PRECISION) -> Column:
+    """The measure column as a decimal: text is parsed, narrower decimals and whole numbers pass through."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        return parse_number(F.col(name), scale, precision)
+    if isinstance(kind, T.DecimalType) and kind.scale <= scale and kind.precision <= precision:
+        return F.col(name)
+    # NaN and infinity are no amounts; they differ from themselves when taken from themselves.
+    finite = F.col(name).isNotNull() & (F.col(name).cast("double") - F.col(name).cast("double") == 0)
+    return _fitted(F.col(name), finite, precision, scale)
 
 
 def format_number(number: Column) -> Column:

@@ -17,7 +17,9 @@ def clean(col: Column) -> Column:
 
 def strip_space(col: Column) -> Column:
     """Trim every kind of white space on both sides."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    # Most texts have no such space, which is cheap to see; only the others go through the pattern.
+    edged = col.rlike(r"(?U)^\s|\s\z")
+    return F.when(edged, F.regexp_replace(col, r"(?U)^\s+|(?<!\s)\s+\z", "")).otherwise(col)
 
 
 def digits_only(col: Column) -> Column:

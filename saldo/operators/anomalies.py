@@ -24,10 +24,10 @@ SMALL = 1e-9
 MAD_SCALE = 0.6745
 
 
-def annual_actuals(df: DataFrame, keys: Sequence[str], measure: str = "raun") -> DataFrame:
+def annual_actuals(df: DataFrame, keys: Sequence[str], measure: str = "raun", scale: int = 2) -> DataFrame:
     """Nominal sum per series and year; missing keys become ``(missing)``."""
     present = [k for k in keys if k in df.columns]
-    rows = df.select(to_year(F.col("year")).alias("year"), *present, amount_of(df, measure).alias("_amount"))
+    rows = df.select(to_year(F.col("year")).alias("year"), *present, amount_of(df, measure, scale).alias("_amount"))
     rows = fill_keys(rows.dropna(subset=["year", "_amount"]), present)
     return rows.groupBy("year", *present).agg(F.sum("_amount").cast("double").alias("actual_nominal"))
 

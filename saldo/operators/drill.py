@@ -12,10 +12,10 @@ from saldo.operators.filters import apply_filters
 from saldo.operators.ordering import Page, page, tie_break, top_by_abs
 
 
-def yearly_sum(df: DataFrame, scope: Mapping[str, object], measure: str = "raun") -> DataFrame:
+def yearly_sum(df: DataFrame, scope: Mapping[str, object], measure: str = "raun", scale: int = 2) -> DataFrame:
     """Sum of the measure per year; a year without a usable amount counts as 0."""
     rows = apply_filters(df, filters=scope).filter(F.col("year").isNotNull())
-    total = F.coalesce(F.sum(amount_of(df, measure)).cast("double"), F.lit(0.0))
+    total = F.coalesce(F.sum(amount_of(df, measure, scale)).cast("double"), F.lit(0.0))
     return rows.groupBy("year").agg(total.alias("actual_sum")).orderBy("year")
 
 
@@ -26,11 +26,12 @@ def breakdown(
     year: int | str | None = None,
     measure: str = "raun",
     k: int = 500,
+    scale: int = 2,
 ) -> DataFrame:
     """Sum and row count by child value, largest absolute sum first."""
     rows = apply_filters(df, year, scope).filter(F.col(child).isNotNull())
     sums = rows.groupBy(F.col(child).alias("child_value")).agg(
-        F.sum(amount_of(df, measure)).cast("double").alias("actual_sum"),
+        F.sum(amount_of(df, measure, scale)).cast("double").alias("actual_sum"),
         F.count(F.lit(1)).alias("row_count"),
     )
     return top_by_abs(sums, "actual_sum", k)

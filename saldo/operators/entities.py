@@ -6,13 +6,14 @@ page its first detail link led to. A number without a capture is an error row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saldo.functions.html import entity_name, first_href, page_text, visible
 from saldo.functions.text import contains_ci, digits_only
 from saldo.functions.urls import resolve
 from saldo.operators.joins import only_new
+from saldo.sources.scratch import folder_exists, stored
 
 NUMBER_COLUMNS = ("vm_number", "vm_numer")
 
@@ -68,9 +69,13 @@ def read_detail(captures: DataFrame) -> DataFrame:
 
 
 def classify(
-    keys: DataFrame, searches: DataFrame, details: DataFrame, phrase: str, part: str
+    keys: DataFrame, searches: DataFrame, details: DataFrame, phrase: str, part: str, search_address: str | None = None
 ) -> DataFrame:
-    """``vm_number, status, name, url`` for every key."""
+    """``vm_number, status, name, url`` for every key.
+
+    A number without a search capture has the address that the search would have: ``search_address`` with
+    the number in place of ``{number}``.
+    """
     seen = keys.join(read_search(searches, phrase, part), "vm_number", "left")
     both = seen.join(read_detail(details), "vm_number", "left")
     no_search, no_detail = F.col("search_url").isNull(), F.col("has_detail").isNull()
@@ -84,17 +89,48 @@ def classify(
         .otherwise("missing_name")
     )
     name = F.when(no_search | nothing, None).when(unlinked, F.col("search_name")).otherwise(F.col("detail_name"))
-    url = F.when(nothing | unlinked, F.col("search_url")).otherwise(F.col("detail_url"))
+    built = F.lit(None).cast("string")
+    if search_address is not None:
+        before, _, after = search_address.partition("{number}")
+        built = F.concat(F.lit(before), F.url_encode("vm_number"), F.lit(after))
+    url = F.when(no_search, built).when(nothing | unlinked, F.col("search_url")).otherwise(F.col("detail_url"))
     return both.select("vm_number", status.alias("status"), name.alias("name"), url.alias("url"))
 
 
 def resolve_new(
-    keys: DataFrame, known: DataFrame, searches: DataFrame, details: DataFrame, phrase: str, part: str
+    keys: DataFrame,
+    known: DataFrame,
+    searches: DataFrame,
+    details: DataFrame,
+    phrase: str,
+    part: str,
+    search_address: str | None = None,
 ) -> DataFrame:
-    """Entity rows for all keys: known ones as they are, the others classified.
-
-    Write the rows that are not in ``known`` to the entity table to make them known next time.
-    """
-    fresh = classify(only_new(keys, known, "vm_number"), searches, details, phrase, part)
+    """Entity rows for all keys: known ones as they are, the others classified."""
+    fresh = classify(only_new(keys, known, "vm_number"), searches, details, phrase, part, search_address)
     kept = known.join(keys, "vm_number", "left_semi")
     return kept.select("vm_number", "status", "name", "url").unionByName(fresh)
+
+
+ENTITY_SCHEMA = "vm_number string, status string, name string, url string"
+
+
+def read_entities(spark: SparkSession, path: str) -> DataFrame:
+    """The stored entity table; empty where nothing was stored yet."""
+    return spark.read.schema(ENTITY_SCHEMA).parquet(path) if folder_exists(spark, path) else spark.createDataFrame([], ENTITY_SCHEMA)
+
+
+def append_new(
+    keys: DataFrame, path: str, searches: DataFrame, details: DataFrame, phrase: str, part: str, search_address: str | None = None
+) -> int:
+    """Classify the numbers that the stored table lacks and append them; returns how many there were.
+
+    The new rows are stored before they are appended, so the table is not read while it is written.
+    """
+    spark = keys.sparkSession
+    fresh = only_new(keys, read_entities(spark, path), "vm_number")
+    rows = stored(classify(fresh, searches, details, phrase, part, search_address), "new-entities")
+    count = rows.count()
+    if count:
+        rows.write.mode("append").parquet(path)
+    return count

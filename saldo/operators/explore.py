@@ -20,10 +20,11 @@ def summary_by(
     filters: Mapping[str, object] | None = None,
     year: int | str | None = None,
     k: int = 50,
+    scale: int = 2,
 ) -> DataFrame:
     """Sum of the measure by category, largest first; a NULL category is a group of its own."""
     rows = apply_filters(df, year, filters)
-    sums = rows.groupBy(category).agg(F.sum(amount_of(df, measure)).cast("double").alias(measure))
+    sums = rows.groupBy(category).agg(F.sum(amount_of(df, measure, scale)).cast("double").alias(measure))
     return top_k(sums, [F.desc_nulls_last(measure)], k)
 
 
@@ -32,9 +33,10 @@ def totals(
     measure: str = "raun",
     filters: Mapping[str, object] | None = None,
     year: int | str | None = None,
+    scale: int = 2,
 ) -> DataFrame:
     """One row: number of rows, sum, sum of the positive and of the negative amounts."""
-    amount = amount_of(df, measure)
+    amount = amount_of(df, measure, scale)
 
     def total(value: Column, name: str) -> Column:
         return F.coalesce(F.sum(value).cast("double"), F.lit(0.0)).alias(name)

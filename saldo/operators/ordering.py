@@ -8,11 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saldo.sources.scratch import stored
+from saldo.sources.scratch import discard, stored
 
 PAGE_SIZES = (25, 500)
-# Rows that a top-k may hold in one task.
-REACH = 100_000
 
 
 def clamp(value: int, low: int, high: int) -> int:
@@ -45,58 +43,40 @@ class Page:
     total: int
 
 
-def _sort(df: DataFrame, order: Sequence[str], backwards: bool = False) -> DataFrame:
-    """Sort by names (``-name`` for descending) and then by all columns; NULLs come last.
-
-    ``backwards`` turns the whole order round.
-    """
+def _sort(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Sort by names (``-name`` for descending) and then by all columns; NULLs come last."""
     leading = [n.removeprefix("-") for n in order]
     names = [*order, *[c for c in df.columns if c not in leading]]
-    turns = {
-        (False, False): F.asc_nulls_last, (False, True): F.desc_nulls_first,
-        (True, False): F.desc_nulls_last, (True, True): F.asc_nulls_first,
-    }
-    return df.orderBy(*[turns[n.startswith("-"), backwards](n.removeprefix("-")) for n in names])
-
-
-def _slice(df: DataFrame, order: Sequence[str], first: int, stop: int, total: int, reach: int) -> DataFrame:
-    """Rows ``first`` to ``stop`` of the sorted frame, without one task holding more than ``reach``.
-
-    Rows near either end are a short top-k from that end. Rows in the middle of a long frame are
-    found by sorting it into many parts, counting those, and going on with the parts in question.
-    """
-    if stop <= reach:
-        return _sort(df, order).offset(first).limit(stop - first)
-    if total - first <= reach:
-        tail = _sort(df, order, backwards=True).offset(total - stop).limit(stop - first)
-        return _sort(tail, order)
-    parts = stored(_sort(df, order).withColumn("_part", F.spark_partition_id()), "sorted")
-    before, chosen, start, held = 0, [], 0, 0
-    # One row per partition of the sort.
-    for row in parts.groupBy("_part").count().orderBy("_part").collect():
-        if before < stop and before + row["count"] > first:
-            start = start if chosen else before
-            chosen.append(row["_part"])
-            held += row["count"]
-        before += row["count"]
-    kept = parts.filter(F.col("_part").isin(chosen)).drop("_part")
-    # Parts that cannot be told apart any more hold equal rows, so the limit alone decides.
-    further = reach if held < total else held
-    return _slice(kept, order, first - start, stop - start, held, further)
+    turns = {False: F.asc_nulls_last, True: F.desc_nulls_last}
+    return df.orderBy(*[turns[n.startswith("-")](n.removeprefix("-")) for n in names])
 
 
-def page(df: DataFrame, order: Sequence[str], number: int = 1, size: int = 100, reach: int = REACH) -> Page:
+def page(df: DataFrame, order: Sequence[str], number: int = 1, size: int = 100) -> Page:
     """One page of ``df``, sorted by names (``-name`` for descending).
 
-    A number beyond the end gives the last page. Counts the rows.
+    A number beyond the end gives the last page. One plan serves every position: the rows are stored, sorted once
+    by range into parts, and counted by part, which also gives the total; only the parts that the page
+    lies in are read again. No task holds more than its part and a page.
     """
     size = clamp(size, *PAGE_SIZES)
-    total = df.count()
+    rows = stored(df, "page-rows")
+    parts = stored(_sort(rows, order).withColumn("_part", F.spark_partition_id()), "page-parts")
+    # One row for each partition of the sort.
+    counts = parts.groupBy("_part").count().orderBy("_part").collect()
+    discard(df.sparkSession, rows)
+    total = sum(row["count"] for row in counts)
     pages = max(1, -(-total // size))
     number = clamp(number, 1, pages)
     first = (number - 1) * size
-    rows = _slice(df, order, first, max(min(first + size, total), first + 1), max(total, 1), reach)
-    return Page(rows, number, pages, total)
+    stop = min(first + size, total)
+    before, chosen, start = 0, [], 0
+    for row in counts:
+        if before < stop and before + row["count"] > first:
+            start = start if chosen else before
+            chosen.append(row["_part"])
+        before += row["count"]
+    kept = parts.filter(F.col("_part").isin(chosen)).drop("_part")
+    return Page(_sort(kept, order).offset(first - start).limit(max(stop - first, 1)), number, pages, total)
 
 
 def distinct_values(df: DataFrame, column: str, cap: int) -> DataFrame:

@@ -12,6 +12,8 @@ from saldo.functions.periods import key_month, key_year, month_key
 from saldo.operators.joins import attach_scalar
 
 REPLY_SCHEMA = "data array<struct<key: array<string>, values: array<string>>>"
+# Digits of an index value, six of them after the comma.
+INDEX_PRECISION = 28
 MONTH_KEY = r"^\d{4}.*\d{2}$"
 
 
@@ -40,15 +42,21 @@ def month_keys(spark: SparkSession, first: int, last: int) -> DataFrame:
 
 
 def parse_index_json(df: DataFrame, body: str = "body") -> DataFrame:
-    """Index replies as rows: first key, first value; rows without a usable value are dropped."""
+    """Index replies as rows: first key, first value; rows without a usable value are dropped.
+
+    A value with a key that names no month is an error, as is a value too wide for its decimal.
+    """
     reply = F.from_json(F.col(body), REPLY_SCHEMA)
     items = df.select(F.explode(reply["data"]).alias("item"))
     cells = items.select(
         F.get(F.col("item.key"), 0).alias("month_key"),
-        parse_number(F.get(F.col("item.values"), 0), scale=6).cast("double").alias("cpi"),
+        parse_number(F.get(F.col("item.values"), 0), scale=6, precision=INDEX_PRECISION).cast("double").alias("cpi"),
     )
-    usable = cells.filter(F.col("month_key").rlike(MONTH_KEY) & F.col("cpi").isNotNull())
-    rows = usable.select(
+    usable = cells.filter(F.col("month_key").isNotNull() & F.col("cpi").isNotNull())
+    wrong = F.raise_error(F.concat(F.lit("no month key: "), F.col("month_key"))).cast("string")
+    key = F.when(F.col("month_key").rlike(MONTH_KEY), F.col("month_key")).otherwise(wrong)
+    keyed = usable.select(key.alias("month_key"), "cpi")
+    rows = keyed.select(
         key_year(F.col("month_key")).alias("year"), key_month(F.col("month_key")).alias("month"), "month_key", "cpi"
     )
     return rows.orderBy("year", "month")
@@ -68,8 +76,7 @@ def annual_index(monthly: DataFrame) -> DataFrame:
 def deflate(facts: DataFrame, annual: DataFrame) -> DataFrame:
     """Facts with the factor of their year; years without one are dropped.
 
-    The broadcast side is bounded by the number of four-digit years.
+    No hint: Spark broadcasts the annual table when its measured size allows it.
     """
     factors = annual.select("year", "deflator_to_latest").filter(F.col("deflator_to_latest").isNotNull())
-    bounded = factors.filter(F.col("year").between(0, 9999))
-    return facts.join(F.broadcast(bounded), "year", "inner")
+    return facts.join(factors, "year", "inner")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saldo.functions.numbers import format_number, format_percent, share_percent
+from saldo.functions.numbers import format_number, format_percent, share_percent, to_month
 from saldo.functions.numbers import measure as amount_of
 from saldo.operators.filters import apply_filters, differs, exclude_values, year_value
 from saldo.operators.joins import full_years, only_full_years
@@ -32,13 +32,13 @@ def in_department(df: DataFrame, profile: LedgerProfile, department: str) -> Dat
 
 
 def wage_amount(df: DataFrame, profile: LedgerProfile) -> Column:
-    amount = amount_of(df, profile.measure)
-    return F.when(F.col(profile.account_group) == profile.wage_group, amount).otherwise(F.lit(0).cast("decimal(18,2)"))
+    amount = amount_of(df, profile.measure, profile.scale, profile.precision)
+    return F.when(F.col(profile.account_group) == profile.wage_group, amount).otherwise(F.lit(0))
 
 
 def other_amount(df: DataFrame, profile: LedgerProfile) -> Column:
-    amount = amount_of(df, profile.measure)
-    return F.when(differs(profile.account_group, profile.wage_group), amount).otherwise(F.lit(0).cast("decimal(18,2)"))
+    amount = amount_of(df, profile.measure, profile.scale, profile.precision)
+    return F.when(differs(profile.account_group, profile.wage_group), amount).otherwise(F.lit(0))
 
 
 def wage_totals(df: DataFrame, profile: LedgerProfile, by: str, year: int | str | None = None) -> DataFrame:
@@ -99,7 +99,7 @@ def cost_basis(df: DataFrame, profile: LedgerProfile, keys: Sequence[str], detai
 
 
 def _clamped(net: str) -> Column:
-    return F.sum(F.greatest(F.col(net), F.lit(0).cast("decimal(28,2)")))
+    return F.sum(F.greatest(F.col(net), F.lit(0)))
 
 
 def cost_totals(basis: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -110,31 +110,60 @@ def cost_totals(basis: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def _by_group_and_year(rows: DataFrame, profile: LedgerProfile, by: str, detail: Sequence[str]) -> DataFrame:
-    basis = cost_basis(rows.withColumn("_group", F.col(by)), profile, ["_group", "year"], detail)
-    return basis.groupBy("_group", "year").agg(
+def _by_group_and_year(
+    rows: DataFrame, profile: LedgerProfile, by: str, detail: Sequence[str], scope: Column | None = None
+) -> DataFrame:
+    """Net and clamped costs per (group, year) of the rows in scope, and the greatest month of each.
+
+    Rows out of scope become one cell a year, which tells their months; ``_inside`` is false there.
+    """
+    inside = F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))
+    cells = {f"k_{c}": F.when(inside, F.coalesce(F.col(c), F.lit(""))) for c in detail if c in rows.columns}
+    month = F.max(to_month(F.col(profile.month))) if profile.month in rows.columns else F.lit(None).cast("int")
+    basis = rows.groupBy(
+        inside.alias("_inside"), F.when(inside, F.col(by)).alias("_group"), "year", *[v.alias(k) for k, v in cells.items()]
+    ).agg(
+        F.sum(wage_amount(rows, profile)).alias("wage_net"),
+        F.sum(other_amount(rows, profile)).alias("other_net"),
+        F.count(F.lit(1)).alias("row_count"),
+        month.alias("_month"),
+    )
+    return basis.groupBy("_inside", "_group", "year").agg(
         F.sum("wage_net").alias("wage_sum"),
         _clamped("wage_net").alias("wage_cost"),
         _clamped("other_net").alias("other_cost"),
         F.sum("row_count").alias("row_count"),
+        F.max("_month").alias("_month"),
     )
 
 
 def _report(
-    rows: DataFrame,
-    months: DataFrame,
+    df: DataFrame,
+    scope: Column,
+    months: DataFrame | None,
     profile: LedgerProfile,
     by: str,
     detail: Sequence[str],
     year: int | str | None,
 ) -> DataFrame:
-    """Group rows and the total row, told apart by ``is_total``."""
-    yearly = _by_group_and_year(rows, profile, by, detail)
-    if profile.month in months.columns:
-        marks = full_years(months, profile.month).withColumn("_full", F.lit(True))
-        yearly = yearly.join(marks, "year", "left").withColumn("_full", F.coalesce("_full", F.lit(False)))
+    """Group rows and the total row, told apart by ``is_total``.
+
+    The ledger is read once: the years that reach month 12 are read off the same few (group, year)
+    rows, before those out of scope are dropped. ``months`` is a smaller frame to look them up in instead.
+    """
+    dated = F.col("year").isNotNull()
+    if months is not None:
+        yearly = _by_group_and_year(df.filter(scope), profile, by, detail)
+        if profile.month in months.columns:
+            marks = full_years(months, profile.month).withColumn("_full", F.lit(True))
+            yearly = yearly.join(marks, "year", "left").withColumn("_full", F.coalesce("_full", F.lit(False)))
+        else:
+            yearly = yearly.withColumn("_full", dated)
     else:
-        yearly = yearly.withColumn("_full", F.col("year").isNotNull())
+        yearly = _by_group_and_year(df, profile, by, detail, scope)
+        last = F.max("_month").over(Window.partitionBy("year"))
+        full = dated & F.coalesce(last >= 12, F.lit(False)) if profile.month in df.columns else dated
+        yearly = yearly.withColumn("_full", full).filter("_inside")
 
     # The total is a second grouping of the same few rows; its growth is that of the whole scope.
     sums = yearly.groupingSets([["_group", "year", "_full"], ["year", "_full"]], "_group", "year", "_full").agg(
@@ -182,12 +211,14 @@ def _total(report: DataFrame) -> DataFrame:
 
 def _department(df: DataFrame, profile: LedgerProfile, year, months: DataFrame | None) -> DataFrame:
     detail = [profile.institution, *profile.detail]
-    return _report(in_departments(df, profile), df if months is None else months, profile, profile.department, detail, year)
+    known = F.col(profile.department)
+    scope = known.isNotNull() & ~known.isin(list(profile.excluded)) if profile.excluded else known.isNotNull()
+    return _report(df, scope, months, profile, profile.department, detail, year)
 
 
 def _institution(df: DataFrame, profile: LedgerProfile, department: str, year, months: DataFrame | None) -> DataFrame:
-    rows = in_department(df, profile, department)
-    return _report(rows, df if months is None else months, profile, profile.institution, profile.detail, year)
+    scope = (F.col(profile.department) == department) & F.col(profile.institution).isNotNull()
+    return _report(df, scope, months, profile, profile.institution, profile.detail, year)
 
 
 def department_report(
@@ -274,7 +305,7 @@ def wage_scope_yearly(
     if institution:
         scope[profile.institution] = institution
     rows = apply_filters(in_departments(df, profile), filters=scope).filter(F.col("year").isNotNull())
-    total = F.sum(amount_of(df, profile.measure)).cast("double").alias("actual_sum")
+    total = F.sum(amount_of(df, profile.measure, profile.scale, profile.precision)).cast("double").alias("actual_sum")
     return rows.groupBy("year").agg(total).orderBy("year")
 
 

@@ -414,7 +414,7 @@ def anomaly_files(spark, sf_dir):
 
 # --- Wage report ------------------------------------------------------------------------
 
-REPORT_COLUMNS = ["year", "samtala0", "samtala2_canonical", "tegund0", *PROFILE.detail, "raun"]
+REPORT_COLUMNS = ["year", "period_month", "samtala0", "samtala2_canonical", "tegund0", *PROFILE.detail, "raun"]
 
 
 def report_figures(df: DataFrame, *keys: str) -> DataFrame:
@@ -468,32 +468,32 @@ def cost_totals(spark, sf_dir):
 @query
 def wage_department_report(spark, sf_dir):
     rows = ledger(spark, sf_dir, REPORT_COLUMNS)
-    return report_figures(wages.department_report(rows, PROFILE, months=months(spark, sf_dir)), "department")
+    return report_figures(wages.department_report(rows, PROFILE), "department")
 
 
 @query
 def wage_department_report_year(spark, sf_dir):
     rows = ledger(spark, sf_dir, REPORT_COLUMNS)
-    return report_figures(wages.department_report(rows, PROFILE, 1999, months(spark, sf_dir)), "department")
+    return report_figures(wages.department_report(rows, PROFILE, 1999), "department")
 
 
 @query
 def wage_total_row(spark, sf_dir):
     rows = ledger(spark, sf_dir, REPORT_COLUMNS)
-    return report_figures(wages.department_total(rows, PROFILE, months=months(spark, sf_dir)), "label")
+    return report_figures(wages.department_total(rows, PROFILE), "label")
 
 
 @query
 def wage_institution_report(spark, sf_dir):
     rows = ledger(spark, sf_dir, REPORT_COLUMNS)
-    report = wages.institution_report(rows, PROFILE, DEPARTMENT, months=months(spark, sf_dir))
+    report = wages.institution_report(rows, PROFILE, DEPARTMENT)
     return report_figures(report, "institution")
 
 
 @query
 def wage_institution_total_row(spark, sf_dir):
     rows = ledger(spark, sf_dir, REPORT_COLUMNS)
-    return report_figures(wages.institution_total(rows, PROFILE, DEPARTMENT, 1999, months(spark, sf_dir)), "label")
+    return report_figures(wages.institution_total(rows, PROFILE, DEPARTMENT, 1999), "label")
 
 
 @query
@@ -508,7 +508,7 @@ def institution_expansion(spark, sf_dir):
 def report_display(spark, sf_dir):
     """The institution report as shown, first 120 rows."""
     rows = ledger(spark, sf_dir, REPORT_COLUMNS)
-    report = wages.institution_report(rows, PROFILE, DEPARTMENT, months=months(spark, sf_dir))
+    report = wages.institution_report(rows, PROFILE, DEPARTMENT)
     shown = wages.with_report_display(ordering.top_by(report, "actual_sum", 120))
     return shown.select("institution", "actual_sum_fmt", "other_sum_fmt", "avg_increase_fmt", "wage_share_pct_fmt")
 

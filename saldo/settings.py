@@ -70,6 +70,9 @@ class LedgerProfile:
     measure: str = "raun"
     year: str = "year"
     month: str = "period_month"
+    # Digits of amounts in all and after the comma; further decimals are rounded half up.
+    precision: int = 28
+    scale: int = 2
     wage_group: str = WAGE_GROUP
     canonical: Mapping[str, str] = field(default_factory=lambda: dict(CANONICAL_DEPARTMENTS))
     family: Mapping[str, str] = field(default_factory=lambda: dict(DEPARTMENT_FAMILIES))
@@ -93,7 +96,10 @@ class LedgerProfile:
 
     @property
     def category_columns(self) -> list[str]:
-        return self.filter_columns[:9]
+        return [
+            "fyrirtaeki", self.institution, "samtala1", self.department, "samtala3",
+            self.account_group, "tegund1", "tegund2", "tegund3",
+        ]
 
     @property
     def anomaly_parents(self) -> list[str]:

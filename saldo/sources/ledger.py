@@ -11,6 +11,7 @@ from saldo.functions.numbers import measure as amount_of
 from saldo.operators.filters import with_departments
 from saldo.settings import LedgerProfile
 from saldo.sources.csv_folder import Ingest
+from saldo.sources.scratch import folder_exists
 
 MANIFEST_SCHEMA = """
     dataset_url string, retrieved_at string, count bigint,
@@ -20,13 +21,35 @@ MANIFEST_SCHEMA = """
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """File name and address of every entry; a broken manifest has none. The last entry wins."""
+    """File name and address of every entry; a missing or broken manifest has none. The last entry wins."""
+    if not folder_exists(spark, path):
+        return spark.createDataFrame([], "filename string, url string")
     files = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(path)
     rows = files.select(F.posexplode("files").alias("position", "file")).select("position", "file.filename", "file.url")
     usable = rows.filter((F.col("filename") != "") & (F.col("url") != ""))
     return usable.groupBy("filename").agg(F.max_by("url", "position").alias("url"))
 
 
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Name and size of every file in a folder; no file is opened."""
+    files = spark.read.format("binaryFile").load(folder)
+    return files.select(F.substring_index("path", "/", -1).alias("filename"), F.col("length").alias("bytes"))
+
+
+def write_manifest(rows: DataFrame, path: str, dataset_url: str, retrieved_at: str) -> None:
+    """One JSON record of what was fetched, from rows of ``harvest.manifest`` in the order of their links.
+
+    ``etag`` and ``last_modified`` are taken where the rows have them. A manifest lists files, so one record holds it.
+    """
+    extra = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("etag", "last_modified")]
+    order = [c for c in ("page_id", "position") if c in rows.columns]
+    entry = F.struct("url", "filename", "status", F.col("bytes").cast("bigint").alias("bytes"), *extra)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(*order, entry.alias("entry")))), lambda x: x["entry"])
+    record = rows.agg(F.count(F.lit(1)).alias("count"), listed.alias("files"))
+    head = record.select(F.lit(dataset_url).alias("dataset_url"), F.lit(retrieved_at).alias("retrieved_at"), "count", "files")
+    head.write.mode("overwrite").json(path)
+
+
 def with_source_url(df: DataFrame, manifest: DataFrame) -> DataFrame:
     """Fill ``source_url`` by file name; NULL where the manifest does not list the file.
 
@@ -39,7 +62,7 @@ def with_source_url(df: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def prepare_ledger(df: DataFrame, profile: LedgerProfile) -> DataFrame:
     """Parse the measure once and store the department columns, so that filters on them reach the scan."""
-    typed = df.withColumn(profile.measure, amount_of(df, profile.measure))
+    typed = df.withColumn(profile.measure, amount_of(df, profile.measure, profile.scale, profile.precision))
     return with_departments(typed, profile)
 
 

@@ -34,6 +34,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, in whatever store it names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the files of stored frames that nothing reads any more."""
     jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()

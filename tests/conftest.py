@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.dirname(os.path.abspath(__file__))]
 
+from shared_folder import name_shared_folder  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -23,6 +25,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    name_shared_folder(session)
     yield session
     session.stop()
 

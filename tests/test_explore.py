@@ -96,13 +96,13 @@ def test_deep_pages(spark, number):
         F.when(F.col("id") % 9 != 0, F.col("id") % 7).alias("a"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 400).alias("b")
     )
     everything = sorted((tuple(r) for r in df.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
-    page = ordering.page(df, ["-a"], number, 25, reach=60)
+    page = ordering.page(df, ["-a"], number, 25)
     assert rows(page.rows) == everything[(number - 1) * 25 : number * 25]
 
 
 def test_deep_page_of_equal_rows(spark):
     df = spark.range(1000).select(F.lit(1).alias("a"))
-    assert rows(ordering.page(df, ["a"], 20, 25, reach=60).rows) == [(1,)] * 25
+    assert rows(ordering.page(df, ["a"], 20, 25).rows) == [(1,)] * 25
 
 
 def test_mixed_sort(spark):

@@ -5,9 +5,9 @@ from __future__ import annotations
 import pytest
 from compare import compare, duck
 
-from __spark_entry__ import entry, oracle_sql, queries
-
-QUERIES, ORACLE = queries(), oracle_sql()
+from __spark_entry__ import entry
+from saldo.plans.oracle import ORACLE
+from saldo.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
