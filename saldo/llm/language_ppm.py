@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from saldo.llm.rows import whole_rows
+
 UNKNOWN = "und"
 ORDER = 3
 #: Training texts of a language, at most on average.
@@ -45,7 +47,7 @@ def has_letter(text: str) -> bool:
 
 def plain_bytes(text: str) -> bytes:
     """Lower case, everything but letters (and all bytes beyond ASCII) as single spaces."""
-    return b" ".join(text.lower().encode().translate(_SPACED).split(b" ")) if "  " not in text else b" ".join(text.lower().encode().translate(_SPACED).split())
+    return b" ".join(text.lower().encode().translate(_SPACED).split())
 
 
 @dataclass
@@ -64,7 +66,6 @@ class Model:
 
     def lengths(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Code lengths in bits (texts, languages), and the number of bytes of each text."""
-        space = int(self.symbols[32])
         sizes = np.array([len(t) for t in texts], np.int64)
         total = np.zeros((len(texts), len(self.languages)))
         lead = b" " * ORDER
@@ -83,7 +84,6 @@ class Model:
             for k in range(len(self.languages)):
                 cost = np.where(real, self.bits[k].reshape(-1)[place], 0)
                 total[owner[cuts], k] += np.add.reduceat(cost, cuts, dtype=np.float64)
-        assert space or not len(self.languages)
         return total, sizes
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
@@ -220,6 +220,6 @@ def keep_languages(docs: DataFrame) -> DataFrame:
     Rejected are texts without letters and texts that their best language codes no better than bytes drawn alike.
     """
     model = fit(docs)
-    found = docs.withColumn("__found", predict_column(docs.sparkSession, model, F.col("text")))
-    known = (F.col("__found.lang_pred") != UNKNOWN) & (F.col("__found.bits") < float(np.log2(model.width)))
-    return found.where(known).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = docs.select(whole_rows(docs).alias("doc"), predict_column(docs.sparkSession, model, F.col("text")).alias("found"))
+    known = (F.col("found.lang_pred") != UNKNOWN) & (F.col("found.bits") < float(np.log2(model.width)))
+    return found.where(known).select("doc.*")

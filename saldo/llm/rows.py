@@ -11,13 +11,19 @@ def text_mark(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def whole_rows(df: DataFrame) -> Column:
+    """All columns of a row as one, so that working columns cannot clash with them; ``select(name.*)`` undoes it."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs named in kept (doc_id, mark), each once, with the columns of docs.
 
-    The join deals rows out by id and mark; the count of repeated rows uses the same partitions.
+    Of rows that repeat an id and a text one stays, which one is open. The join deals rows out by id and
+    mark; the count of repeated rows uses the same partitions.
     """
-    marked = docs.withColumn("__id", F.col(id_col)).withColumn("__mark", text_mark(F.col(text_col)))
-    names = kept.select(F.col("doc_id").alias("__kept_id"), F.col("mark").alias("__kept_mark"))
-    match = marked["__id"].eqNullSafe(names["__kept_id"]) & (marked["__mark"] == names["__kept_mark"])
-    again = F.row_number().over(Window.partitionBy("__id", "__mark").orderBy(F.lit(1)))
-    return marked.join(names, match, "left_semi").withColumn("__n", again).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.select(whole_rows(docs).alias("doc"), F.col(id_col).alias("id"), text_mark(F.col(text_col)).alias("text_mark"))
+    names = kept.select("doc_id", "mark")
+    match = marked["id"].eqNullSafe(names["doc_id"]) & (marked["text_mark"] == names["mark"])
+    again = F.row_number().over(Window.partitionBy("id", "text_mark").orderBy(F.lit(1)))
+    return marked.join(names, match, "left_semi").withColumn("n", again).where("n = 1").select("doc.*")

@@ -141,9 +141,9 @@ def score(
     taught = stored(read.select("doc_id", "mark", "features").join(truth, "doc_id").select("mark", "features", "label"), "taught")
     count = taught.count()
     edge = min(1 << 30, (sample_docs << 30) // max(1, count))
-    drawn = taught.where(F.pmod("mark", F.lit(1 << 30)) < edge).select("features", "label").toPandas()
-    rows = np.array(drawn["features"].tolist(), float).reshape(-1, len(FEATURES))
-    weights = fit_evidence(rows, drawn["label"].to_numpy(float)).tolist()
+    drawn = taught.where(F.pmod("mark", F.lit(1 << 30)) < edge).orderBy("mark").select("features", "label").toArrow()
+    rows = np.array(drawn.column("features").to_pylist(), float).reshape(-1, len(FEATURES))
+    weights = fit_evidence(rows, np.array(drawn.column("label").to_pylist(), float)).tolist()
     evidence = F.lit(weights[0])
     for k, weight in enumerate(weights[1:]):
         evidence = evidence + F.col("features")[k] * weight

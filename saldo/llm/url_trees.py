@@ -123,11 +123,11 @@ def bad_probability(urls: DataFrame, labelled: DataFrame, sample_urls: int = SAM
     known = stored(rows, "labelled-urls")
     edge = min(1 << 30, (sample_urls << 30) // max(1, known.count()))
     sample = known.where(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < edge)
-    drawn = sample.orderBy("url").toPandas()
-    bad = drawn["bad"].tolist()
+    drawn = sample.orderBy("url").toArrow()
+    bad = drawn.column("bad").to_pylist()
     if len(set(bad)) < 2:
         return urls.withColumn("bad_probability", F.lit(bad[0] if bad else 0.0))
-    rates = suffix_rates(drawn["url"].tolist(), bad)
+    rates = suffix_rates(drawn.column("url").to_pylist(), bad)
     taught = stored(sample.coalesce(4).select("bad", feature_column(F.col("url"), rates).alias("features")), "url-features")
     model = GBTClassifier(featuresCol="features", labelCol="bad", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=SEED).fit(taught)
     model = model.setProbabilityCol("__probability").setRawPredictionCol("__raw").setPredictionCol("__prediction").setFeaturesCol("__features")
