@@ -7,9 +7,10 @@ enough is calibrated: for ``TRIALS`` drawn vectors the true neighbours among all
 leaves is widened until they hold the wanted share of them.
 
 Of equal vectors only the smallest ids can be among the nearest, one more than asked for: the others are
-left out of the leaves, and equal query vectors are searched once. A leaf is cut into cells of bounded size and
-so are its queries, so that no task holds a crowded leaf. The tree and one row of figures for each leaf go to all
-tasks; both are bounded by ``SAMPLE``.
+left out of the leaves, and equal query vectors are searched once. Leaves that follow each other share a cell, and a
+crowded leaf is cut into several cells, so that a cell holds about ``CELL_ROWS`` vectors; its queries are cut likewise, so
+that no task holds a crowded leaf. A query that opens a leaf looks at its cells as a whole and keeps its nearest of each
+cell. The tree and one row of figures for each leaf go to all tasks; both are bounded by ``SAMPLE``.
 
 Cases: vectors that are null, empty or zero, or hold null or non-finite numbers, take no part, nor do those of
 another length than most; ties go to the smaller id; null ids take no part; repeated rows count as candidates of one
@@ -220,27 +221,32 @@ def nearest(
     asked = stored(queries.select("query_id").distinct().join(vectors.withColumnRenamed("vec_id", "query_id"), "query_id"), "queries")
     heads = stored(asked.groupBy("vec").agg(F.min("query_id").alias("head")), "query-heads")
 
+    # One row for each leaf, so the number of leaves bounds what is collected and sent.
+    cells = spark.sparkContext.broadcast(_cells({r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}, CELL_ROWS))
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for head, raw, unit in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _units(_matrix(batch.column(1))), strict=True):
-                leaves = sent.value.best_first(unit, visits)
+                opened = [cells.value[leaf] for leaf in sent.value.best_first(unit, visits) if leaf in cells.value]
+                looked = sorted({cell for first, count in opened for cell in range(first, first + count)})
                 yield pa.record_batch(
-                    [pa.array(leaves, pa.int64()), pa.array([head] * len(leaves), pa.int64()), pa.array([raw] * len(leaves), pa.binary())],
-                    names=["leaf", "head", "vec"],
+                    [pa.array(looked, pa.int64()), pa.array([head] * len(looked), pa.int64()), pa.array([raw] * len(looked), pa.binary())],
+                    names=["cell", "head", "vec"],
                 )
 
-    walks = stored(heads.select("head", "vec").mapInArrow(walk, "leaf bigint, head bigint, vec binary"), "walks")
-    # One row for each leaf, so the number of leaves bounds what is sent.
-    cells = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("cells"))
-    parts = walks.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).alias("parts"))
-    figures = F.broadcast(cells.join(parts, "leaf"))
-    left = placed.join(figures, "leaf").select(
-        "leaf", F.pmod(F.xxhash64("vec_id"), "cells").alias("cell"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), "vec_id", "vec"
-    )
-    right = walks.join(figures, "leaf").select(
-        "leaf", F.explode(F.expr("sequence(0L, cells - 1)")).alias("cell"), F.pmod(F.xxhash64("head"), "parts").alias("part"), "head", "vec"
-    )
-    keys = ("leaf", "cell", "part")
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [cells.value[leaf] for leaf in batch.column(0).to_pylist()]
+            # Within a crowded leaf the id decides, as any even deal would do.
+            at = [first + vec_id % count for (first, count), vec_id in zip(places, batch.column(1).to_pylist(), strict=True)]
+            yield pa.record_batch([pa.array(at, pa.int64()), batch.column(1), batch.column(2)], names=["cell", "vec_id", "vec"])
+
+    walks = stored(heads.select("head", "vec").mapInArrow(walk, "cell bigint, head bigint, vec binary"), "walks")
+    parts = walks.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).alias("parts"))
+    settled = placed.mapInArrow(settle, "cell bigint, vec_id bigint, vec binary")
+    left = settled.join(parts, "cell").select("cell", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), "vec_id", "vec")
+    right = walks.join(parts, "cell").select("cell", F.pmod(F.xxhash64("head"), "parts").alias("part"), "head", "vec")
+    keys = ("cell", "part")
 
     def meet(key: tuple, held: pa.Table, asked: pa.Table) -> pa.Table:
         ids, heads = held.column("vec_id").to_numpy(), asked.column("head").to_numpy()
@@ -262,6 +268,21 @@ def nearest(
     return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "hit.vec_id", "hit.score")
 
 
+def _cells(rows: dict[int, int], size: int) -> dict[int, tuple[int, int]]:
+    """For each leaf its first cell and how many it has; small leaves that follow each other share one."""
+    out, cell, room = {}, 0, size
+    for leaf in sorted(rows):
+        count = -(-rows[leaf] // size)
+        if count > 1:
+            cell += room < size
+            out[leaf], cell, room = (cell, count), cell + count, size
+            continue
+        if rows[leaf] > room:
+            cell, room = cell + 1, size
+        out[leaf], room = (cell, 1), room - rows[leaf]
+    return out
+
+
 def _calibrated(placed: DataFrame, drawn: pa.Table, tree: Tree, k: int, recall: float) -> int:
     """Leaves that hold the wanted share of the true neighbours of the first drawn vectors."""
     trials = drawn.slice(0, TRIALS)
