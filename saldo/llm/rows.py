@@ -22,8 +22,10 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col
     Of rows that repeat an id and a text one stays, which one is open. The join deals rows out by id and
     mark; the count of repeated rows uses the same partitions.
     """
-    marked = docs.select(whole_rows(docs).alias("doc"), F.col(id_col).alias("id"), text_mark(F.col(text_col)).alias("text_mark"))
-    names = kept.select("doc_id", "mark")
-    match = marked["id"].eqNullSafe(names["doc_id"]) & (marked["text_mark"] == names["mark"])
-    again = F.row_number().over(Window.partitionBy("id", "text_mark").orderBy(F.lit(1)))
-    return marked.join(names, match, "left_semi").withColumn("n", again).where("n = 1").select("doc.*")
+    key, absent = F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)), F.col(id_col).isNull()
+    marked = docs.select(whole_rows(docs).alias("doc"), key.alias("id"), absent.alias("absent"), text_mark(F.col(text_col)).alias("mark"))
+    names = kept.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("absent"), "mark")
+    # Plain keys, nulls told apart by a flag: the window below then finds the rows dealt out as it needs them.
+    keys = ["id", "absent", "mark"]
+    again = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
+    return marked.join(names, keys, "left_semi").withColumn("n", again).where("n = 1").select("doc.*")
