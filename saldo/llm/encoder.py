@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 
@@ -23,10 +24,20 @@ _ODD = re.compile(r" (?:\s|\Z)")
 #: change no result.
 HELD_PIECES = 500_000
 HELD_IDS = 4_000_000
+#: Runs that every tokenizer of this kind keeps apart: letters old enough to be letters everywhere, common marks, and
+#: single line ends. A piece of such runs alone has the ids of its runs.
+_RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?|]+|\n(?!\n)")
 #: Characters of a text that are looked at together.
 SEGMENT = 1 << 20
 
 
+def _gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The runs of the pool at these places, one after the other."""
+    sizes = sizes[places]
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(starts[places] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
     """Encodes texts with a function that encodes words; ``spaced`` says whether a word takes the space before it."""
 
@@ -49,21 +60,45 @@ class Encoder:
         first, rest, pool, starts, sizes = self.old
         known = rest if before or not self.spaced else first
         olds = [word for word in words if word in known]
+        fresh = [word for word in words if word not in known] if olds else words
+        # Pieces of several runs are put together from the ids of their runs.
+        split, runs_of, whole = [], [], []
+        for word in fresh:
+            runs = _RUNS.findall(word)
+            if len(runs) > 1 and sum(map(len, runs)) == len(word):
+                split.append(word)
+                runs_of.append(runs)
+            else:
+                whole.append(word)
+        if split:
+            heads, tails = self.rest if before or not self.spaced else self.first, self.first
+            self._meet({runs[0] for runs in runs_of}, heads, before)
+            self._meet({run for runs in runs_of for run in runs[1:]}, tails, "")
+            at = np.array([k for runs in runs_of for k in (heads[runs[0]], *(tails[run] for run in runs[1:]))])
+            counts = np.array([len(runs) for runs in runs_of])
+            self._hold(split, held, _gather(self.pool, self.starts, self.sizes, at), np.add.reduceat(self.sizes[at], np.cumsum(counts) - counts))
         if olds:
             at = np.array([known[word] for word in olds])
-            words = [word for word in words if word not in known]
-        fresh = self.encode_words([before + word for word in words]) if words else []
-        ids = [np.asarray(x, np.uint32) for x in fresh] + [pool[starts[k] : starts[k] + sizes[k]] for k in (at if olds else ())]
-        counts = np.array([len(x) for x in ids], np.int64)
-        total, n = int(counts.sum()), len(ids)
+            self._hold(olds, held, _gather(pool, starts, sizes, at), sizes[at])
+        if whole:
+            ids = self.encode_words([before + word for word in whole])
+            self._hold(whole, held, np.concatenate([np.asarray(x, np.uint32) for x in ids]), np.array([len(x) for x in ids], np.int64))
+
+    def _meet(self, words: set[str], held: dict[str, int], before: str) -> None:
+        fresh = words.difference(held)
+        if fresh:
+            self._learn(list(fresh), held, before)
+
+    def _hold(self, words: list[str], held: dict[str, int], ids: np.ndarray, counts: np.ndarray) -> None:
+        total, n = len(ids), len(words)
         if self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), total), np.uint32)])
         while self.count + n > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.starts, self.sizes))
-        self.pool[self.used : self.used + total] = np.concatenate(ids)
+        self.pool[self.used : self.used + total] = ids
         self.starts[self.count : self.count + n] = self.used + np.cumsum(counts) - counts
         self.sizes[self.count : self.count + n] = counts
-        held.update(zip(words + olds, range(self.count, self.count + n), strict=True))
+        held.update(zip(words, range(self.count, self.count + n), strict=True))
         self.used += total
         self.count += n
 
@@ -83,20 +118,20 @@ class Encoder:
             if self.spaced:
                 heads.append(cut[0])
             pieces += cut
-        fresh = set(pieces).difference(self.rest)
-        if fresh:
+        places = np.fromiter(map(self.rest.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missed = np.flatnonzero(places < 0).tolist()
+        if missed:
+            words = [pieces[k] for k in missed]
+            fresh = set(words).difference(self.rest)
             self._learn(list(fresh), self.rest, " " if self.spaced else "")
-        places = np.fromiter(map(self.rest.__getitem__, pieces), np.int64, len(pieces))
+            places[missed] = [self.rest[word] for word in words]
         if self.spaced and texts:
             fresh = set(heads).difference(self.first)
             if fresh:
                 self._learn(list(fresh), self.first, "")
             places[np.cumsum(counts) - counts] = [self.first[head] for head in heads]
-        sizes = self.sizes[places]
-        ends = np.cumsum(sizes)
-        ids = self.pool[np.repeat(self.starts[places] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(edges)
+        edges = np.concatenate([[0], np.cumsum(self.sizes[places])])[np.concatenate([[0], np.cumsum(counts)])]
+        return _gather(self.pool, self.starts, self.sizes, places), np.diff(edges)
 
     def encode_long(self, text: str) -> np.ndarray:
         """The ids of one text of any length, looked at in segments that end at a cut."""
