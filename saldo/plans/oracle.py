@@ -311,6 +311,10 @@ ORDER BY raun DESC, year NULLS LAST, samtala0 NULLS LAST, samtala3 NULLS LAST, t
                        WHEN n = 4 THEN CAST(trunc(raun) AS DECIMAL(18,2)) ELSE raun END AS amount FROM forms)""",
     ) + """SELECT form, n, count(*) AS rows, count(amount) AS usable, CAST(sum(amount) AS DOUBLE) AS total
 FROM amounts GROUP BY 1, 2""",
+    "wide_amounts": with_(LEDGER) + """
+SELECT year, count(*) AS usable,
+       CAST(sum(CAST(CAST(CAST(raun AS DECIMAL(20,2)) * 1000000000000 AS DECIMAL(30,0)) || '.1234' AS DECIMAL(38,4))) AS VARCHAR) AS total
+FROM ledger GROUP BY year""",
     "department_modes": with_(LEDGER) + """
 SELECT samtala2, samtala2_raw, samtala2_canonical, samtala2_family, count(*) AS rows FROM ledger GROUP BY ALL""",
     "department_dimension": with_(LEDGER) + """
@@ -334,6 +338,9 @@ SELECT DISTINCT vm_nafn FROM ledger WHERE vm_nafn IS NOT NULL ORDER BY 1 LIMIT 1
     "record_page": with_(LEDGER) + f"""
 SELECT {SCOPE_LIST} FROM ledger WHERE {STANDARD_1999} ORDER BY {SCOPE_ORDER} LIMIT 100
 OFFSET (SELECT greatest(CAST(ceil(count(*) / 100.0) AS BIGINT), 1) * 100 - 100 FROM ledger WHERE {STANDARD_1999})""",
+    "middle_page": with_(LEDGER) + f"""
+SELECT {SCOPE_LIST} FROM ledger ORDER BY {SCOPE_ORDER} LIMIT 100
+OFFSET (SELECT least(9900, greatest(CAST(ceil(count(*) / 100.0) AS BIGINT), 1) * 100 - 100) FROM ledger)""",
     "scope_export": with_(LEDGER) + f"""
 SELECT {SCOPE_LIST} FROM ledger WHERE tegund0 = 'STANDARD' AND samtala0 = 'NATION_7'""",
     "scope_rows": with_(LEDGER) + f"""
@@ -505,6 +512,7 @@ SELECT e.vm_number, CASE WHEN page_id < 50 THEN 'ok' ELSE status END AS status,
        CASE WHEN page_id < 50 THEN 'known' ELSE name END AS name,
        CASE WHEN page_id < 50 THEN p.url ELSE e.url END AS url
 FROM entities e JOIN pages p ON CAST(p.page_id AS VARCHAR) = e.vm_number""",
+    "entity_table": with_(STATUS) + "SELECT vm_number, status, name, url, CAST(0 AS INTEGER) AS added_last FROM entities",
     "link_harvest": with_(LINKS) + "SELECT page_id, position, link, filename FROM harvest",
     "link_first_page": with_(LINKS) + "SELECT link, min(page_id) AS page_id FROM harvest GROUP BY link",
     "manifest_status": with_(LINKS) + """
@@ -515,6 +523,12 @@ SELECT page_id, position, link AS url, filename,
     "manifest_summary": with_(LINKS) + """
 SELECT count(*) AS count, count(*) FILTER (WHERE has IS NULL) AS errors,
        CAST(coalesce(sum(has), 0) AS BIGINT) AS bytes FROM ranked""",
+    "manifest_roundtrip": with_(LINKS) + """
+SELECT 'http://data.example.org/' AS dataset_url, (SELECT count(*) FROM ranked) AS count, link AS url, filename,
+       CASE WHEN had IS NOT NULL OR (has IS NOT NULL AND turn > 1) THEN 'skipped'
+            WHEN has IS NOT NULL THEN 'downloaded' ELSE 'error: file has not landed' END AS status,
+       CAST(CASE WHEN had IS NOT NULL THEN had ELSE coalesce(has, 0) END AS BIGINT) AS bytes,
+       CAST(NULL AS VARCHAR) AS etag FROM ranked""",
     "csv_ingest": ingested(
         "TRUE",
         "CASE WHEN ledger.year < 1999 THEN 'http://data.example.org/download/ledger_' || (ledger.year + 20) || '12.csv' END",

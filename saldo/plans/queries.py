@@ -141,6 +141,16 @@ def number_parse(spark, sf_dir):
     )
 
 
+@query
+def wide_amounts(spark, sf_dir):
+    """Ledger amounts times a million millions, with four decimals, summed exactly."""
+    rows = star_ledger(spark, sf_dir, ["year", "raun"])
+    whole = (F.col("raun") * F.lit(10**12).cast("decimal(13,0)")).cast("decimal(28,0)").cast("string")
+    text = F.concat(whole, F.lit(",1234"))
+    amounts = rows.select("year", numbers.parse_number(text, scale=4).alias("amount"))
+    return amounts.groupBy("year").agg(F.count("amount").alias("usable"), F.sum("amount").cast("string").alias("total"))
+
+
 @query
 def department_modes(spark, sf_dir):
     columns = ["samtala2", "samtala2_raw", "samtala2_canonical", "samtala2_family"]
@@ -206,6 +216,13 @@ def record_page(spark, sf_dir):
     return _amount_as_double(drill.records(rows, SCOPE, PROFILE.scope_columns, 1999, number=10**9, size=100).rows)
 
 
+@query
+def middle_page(spark, sf_dir):
+    """A page deep inside the whole ledger."""
+    rows = ledger(spark, sf_dir, PROFILE.scope_columns)
+    return _amount_as_double(drill.records(rows, {}, PROFILE.scope_columns, number=100, size=100).rows)
+
+
 @query
 def scope_export(spark, sf_dir):
     rows = ledger(spark, sf_dir, PROFILE.scope_columns)
@@ -615,6 +632,16 @@ def entity_resolve(spark, sf_dir):
     return entities.resolve_new(keys, known, searches, details, NO_RESULT, DETAIL_PART)
 
 
+@query
+def entity_table(spark, sf_dir):
+    """The stored entity table after half of the numbers, then all of them twice, were asked for."""
+    keys, searches, details = captures(spark, sf_dir)
+    path = scratch_dir(spark, "entities") + "/table"
+    half = keys.filter(F.col("vm_number").cast("int") % 2 == 0)
+    added = [entities.append_new(k, path, searches, details, NO_RESULT, DETAIL_PART) for k in (half, keys, keys)]
+    return entities.read_entities(spark, path).withColumn("added_last", F.lit(added[-1]))
+
+
 def harvested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All links. Store them where they are read more than once: finding them is the costly part."""
     return harvest.harvest_links(pages(spark, sf_dir), ANY_LINK)
@@ -650,6 +677,18 @@ def manifest_summary(spark, sf_dir):
     return harvest.manifest_summary(harvest.manifest(links, *listings(spark, sf_dir), force=True))
 
 
+@query
+def manifest_roundtrip(spark, sf_dir):
+    """The manifest written as JSON and read back."""
+    links = stored(harvested(spark, sf_dir), "links")
+    path = scratch_dir(spark, "manifest") + "/json"
+    rows = harvest.manifest(links, *listings(spark, sf_dir))
+    ledger_store.write_manifest(rows, path, "http://data.example.org/", "2024-01-01T00:00:00Z")
+    record = spark.read.schema(ledger_store.MANIFEST_SCHEMA).json(path)
+    files = record.select("dataset_url", "count", F.explode("files").alias("f"))
+    return files.select("dataset_url", "count", "f.url", "f.filename", "f.status", "f.bytes", "f.etag")
+
+
 # --- Ingest -----------------------------------------------------------------------------
 
 EARLY = ["samtala0", "samtala2", "samtala3", "tegund0", "vm_numer", "raun"]

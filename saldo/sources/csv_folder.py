@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 from saldo.functions.names import plain_name, reader_names, unique_names
 from saldo.functions.periods import file_month, file_year, run_time
@@ -110,20 +110,28 @@ def detect_encoding(lines: DataFrame) -> DataFrame:
 
 
 def first_lines(lines: DataFrame) -> DataFrame:
-    """First line of each file as bytes: the smallest row id of the block that starts the file."""
-    head = lines.filter(F.col("block_start") == 0).withColumn("row_id", F.monotonically_increasing_id())
+    """First line of each file that is not blank, as bytes: the smallest row id of the block that starts the file."""
+    blank = F.btrim("value", F.lit(BYTE_ORDER_MARK + " \t\r")) == ""
+    head = lines.filter((F.col("block_start") == 0) & ~blank).withColumn("row_id", F.monotonically_increasing_id())
     return head.groupBy("path").agg(F.min_by(F.col("value").cast("binary"), "row_id").alias("header"))
 
 
 def layouts(spark: SparkSession, folder: str) -> list[FileLayout]:
     """Charset, delimiter and header of every data set in the folder, in order of name."""
+    found_in = {"pathGlobFilter": "*.csv", "recursiveFileLookup": True}
+    listed = spark.read.format("binaryFile").options(**found_in).load(folder).select("path", "length").where("length < 1")
+    for path in (unquote(row["path"]) for row in listed.collect()):
+        if data_set(path, folder) and not path.rsplit("/", 1)[-1].startswith("part-"):
+            raise ValueError(f"the file {path} is empty")
+    path = F.col("_metadata.file_path")
+    parent = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    # What only lies below the folder is left out before it is looked at.
+    own = (parent == quote(folder.rstrip("/").split("/")[-1])) | parent.endswith(".csv")
     lines = (
-        spark.read.option("pathGlobFilter", "*.csv")
-        .option("recursiveFileLookup", True)
+        spark.read.options(**found_in)
         .text(folder)
-        .select(
-            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block_start"), "value"
-        )
+        .filter(own)
+        .select(path.alias("path"), F.col("_metadata.file_block_start").alias("block_start"), "value")
     )
     profile = {row["path"]: row for row in detect_encoding(lines).collect()}
     headers = {row["path"]: bytes(row["header"]) for row in first_lines(lines).collect()}
@@ -133,6 +141,8 @@ def layouts(spark: SparkSession, folder: str) -> list[FileLayout]:
         name = data_set(path, folder)
         if name is None:
             continue
+        if encoded not in headers:
+            raise ValueError(f"the file {path} has no header")
         charset = UTF8 if seen["utf8"] else LATIN if seen["undefined"] else WINDOWS
         line = headers[encoded].decode(charset).removeprefix(BYTE_ORDER_MARK).rstrip("\r")
         delimiter = detect_delimiter(line)
@@ -175,8 +185,15 @@ def text_schema(width: int) -> T.StructType:
 
 
 def shape(raw: DataFrame, header: Sequence[str], charset: str, ingested_at: str) -> DataFrame:
-    """Final names, missing values and provenance for rows read with :func:`text_schema`."""
+    """Final names, missing values and provenance for rows read with :func:`text_schema`.
+
+    Rows with one column more than the header are checked: one that uses it is wider than the header, an error.
+    """
     names = column_names(header)
+    if f"_c{len(names)}" in raw.columns:
+        beyond = F.col(f"_c{len(names)}")
+        wide = F.raise_error(F.concat(F.lit("a row is wider than the header in "), F.col("_metadata.file_path"), F.lit(", at: "), beyond))
+        raw = raw.filter(F.when(beyond.isNotNull(), wide.cast("boolean")).otherwise(F.lit(True)))
     cells = [F.col(f"_c{i}").alias(final) for i, (_, final) in enumerate(names)]
     df = raw.select(F.col("_metadata.file_path").alias("_path"), *cells)
     finals = [final for _, final in names]
@@ -216,7 +233,7 @@ def read_csv_folder(spark: SparkSession, folder: str, ingested_at: str | None =
         groups.setdefault(f.group, []).append(f)
     frames = []
     for (charset, delimiter, header, multiline), members in groups.items():
-        raw = spark.read.schema(text_schema(len(header))).options(**reader_options(charset, delimiter, multiline))
+        raw = spark.read.schema(text_schema(len(header) + 1)).options(**reader_options(charset, delimiter, multiline))
         frames.append(shape(raw.csv([m.path for m in members]), header, charset, stamp))
     if len({f.schema[MONTH].dataType.simpleString() for f in frames}) > 1:
         frames = [f.withColumn(MONTH, F.col(MONTH).cast("string")) for f in frames]

@@ -75,3 +75,22 @@ def test_manifest(spark):
     assert run(False) == {"u/a": ("skipped", 5), "u/b": ("downloaded", 7), "v/b": ("skipped", 7), "u/c": ("error: file has not landed", 0)}
     assert run(True)["u/a"] == ("downloaded", 6)
     assert tuple(harvest.manifest_summary(harvest.manifest(links, before, after)).first()) == (4, 1, 19)
+
+
+def test_references_and_elements_that_are_not_closed(spark):
+    pages = [
+        "<h1>O&apos;Brien &#146;x &amp y &copy &notanentity; &eacute;</h1>",
+        "<title>T</title><h1>Open heading<p>text</p>",
+        "<title>T</title><script>hidden <h1>no</h1>",
+        "<h1>&amp;lt; &nbsp; </h1>",
+    ]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "n int, html string")
+    got = [r["name"] for r in entities.read_names(df, "n").orderBy("n").collect()]
+    assert got == ["O'Brien \u2019x & y \u00a9 &notanentity; \u00e9", "Open heading", "T", "&lt;"]
+
+
+def test_numbers_without_a_search_have_its_address(spark):
+    keys = spark.createDataFrame([("12",)], "vm_number string")
+    none = spark.createDataFrame([], "vm_number string, url string, html string")
+    row = entities.classify(keys, none, none, "none", "/d", "http://r/s?q={number}&x=1").first()
+    assert (row["status"], row["url"]) == ("error: no search capture", "http://r/s?q=12&x=1")

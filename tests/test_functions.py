@@ -138,3 +138,16 @@ def test_first_href(spark):
     assert cells(spark, [page], shown(lambda c: html.first_href(c, "/d/unit/"))) == ["/d/unit/5"]
     assert cells(spark, [page], shown(lambda c: html.first_href(c, "a=1&b"))) == ["/q?a=1&b=2"]
     assert cells(spark, [page], shown(lambda c: html.first_href(c, "/none"))) == [None]
+
+
+def test_wide_amounts_are_kept_and_too_wide_ones_are_errors(spark):
+    wide = "9" * 24
+    assert cells(spark, [f"{wide},25", "1e3", "inf"], numbers.parse_number) == [Decimal(f"{wide}.25"), Decimal("1000.00"), None]
+    with pytest.raises(Exception, match="no decimal"):
+        cells(spark, ["9" * 27], numbers.parse_number)
+
+
+def test_measure_of_numbers(spark):
+    df = spark.createDataFrame([(1.5, 2, None), (float("nan"), None, 3.25)], "a double, b int, c double")
+    got = df.select(*[numbers.measure(df, n).alias(n) for n in df.columns]).collect()
+    assert [tuple(r) for r in got] == [(Decimal("1.50"), Decimal("2.00"), None), (None, None, Decimal("3.25"))]

@@ -125,13 +125,17 @@ def test_ledger_store(spark, tmp_path):
 class Session:
     """Stands in for a session with or without the shared folder."""
 
-    def __init__(self, shared):
+    def __init__(self, shared, of_context=None):
         self.conf = {"spark.checkpoint.dir": shared} if shared else {}
+        self.sparkContext = self
+        self.getCheckpointDir = lambda: of_context
 
 
 def test_scratch_follows_the_session():
     assert scratch_dir(Session("hdfs://shared/marks/"), "x").startswith("hdfs://shared/marks/x-")
-    assert scratch_dir(Session(None), "x").startswith("/tmp/run-x-")
+    assert scratch_dir(Session(None, "hdfs://shared/of-context"), "x").startswith("hdfs://shared/of-context/x-")
+    with pytest.raises(ValueError, match="shared folder"):
+        scratch_dir(Session(None), "x")
 
 
 def test_incremental_ingest(spark, tmp_path):
@@ -148,3 +152,41 @@ def test_incremental_ingest(spark, tmp_path):
     assert run() == first
     (tmp_path / "raw" / "b_202102.csv").write_bytes(b"Samtala0;Raun\nx;NA\n")
     assert run() == first + [("b_202102.csv", 2021, 2, "x", None)]
+
+
+def test_blank_lines_before_the_header_are_skipped(spark, tmp_path):
+    (tmp_path / "x_202005.csv").write_text("\n  \nsamtala0,raun\na,1\n\nb,2\n")
+    rows = csv_folder.read_csv_folder(spark, str(tmp_path)).table
+    assert sorted((r["samtala0"], r["raun"]) for r in rows.collect()) == [("a", "1"), ("b", "2")]
+
+
+def test_rows_wider_than_the_header_are_an_error(spark, tmp_path):
+    (tmp_path / "x_202005.csv").write_text("samtala0,raun\na,1\nb,2,lost\nshort\n")
+    with pytest.raises(Exception, match="wider than the header.*x_202005.csv"):
+        csv_folder.read_csv_folder(spark, str(tmp_path)).table.count()
+
+
+@pytest.mark.parametrize("body", ["", "\n \n"])
+def test_files_without_a_header_are_an_error(spark, tmp_path, body):
+    (tmp_path / "x_202005.csv").write_text("samtala0,raun\na,1\n")
+    (tmp_path / "y_202005.csv").write_text(body)
+    with pytest.raises(ValueError, match="y_202005.csv"):
+        csv_folder.read_csv_folder(spark, str(tmp_path))
+
+
+def test_manifest_is_written_and_may_be_missing(spark, tmp_path):
+    assert ledger.read_manifest(spark, str(tmp_path / "none.json")).collect() == []
+    rows = spark.createDataFrame(
+        [(2, 0, "http://b", "b.csv", "downloaded", 5, "tag"), (1, 3, "http://a", "a.csv", "skipped", 7, None)],
+        "page_id bigint, position int, url string, filename string, status string, bytes bigint, etag string",
+    )
+    ledger.write_manifest(rows, str(tmp_path / "m"), "http://set", "now")
+    record = spark.read.schema(ledger.MANIFEST_SCHEMA).json(str(tmp_path / "m")).first()
+    assert (record["dataset_url"], record["retrieved_at"], record["count"]) == ("http://set", "now", 2)
+    assert [(f["filename"], f["etag"]) for f in record["files"]] == [("a.csv", None), ("b.csv", "tag")]
+    assert {r["filename"]: r["url"] for r in ledger.read_manifest(spark, str(tmp_path / "m")).collect()} == {"a.csv": "http://a", "b.csv": "http://b"}
+
+
+def test_list_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("12345")
+    assert [tuple(r) for r in ledger.list_files(spark, str(tmp_path)).collect()] == [("a.csv", 5)]

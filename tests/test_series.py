@@ -181,3 +181,14 @@ def test_write_anomalies(spark, sf_dir, tmp_path):
 
 def test_month_key_text(spark):
     assert spark.range(1).select(month_key(F.lit(2020), F.lit(3))).first()[0] == "2020M03"
+
+
+def test_index_values_and_years_are_not_dropped(spark):
+    body = spark.createDataFrame([('{"data":[{"key":["2020M01"],"values":["1234567890123,5"]}]}',)], "body string")
+    assert [r["cpi"] for r in price_index.parse_index_json(body).collect()] == [1234567890123.5]
+    odd = spark.createDataFrame([('{"data":[{"key":["January"],"values":["1"]}]}',)], "body string")
+    with pytest.raises(Exception, match="no month key"):
+        price_index.parse_index_json(odd).collect()
+    facts = spark.createDataFrame([(12020, 1.0)], "year int, v double")
+    annual = spark.createDataFrame([(12020, 2.0)], "year int, deflator_to_latest double")
+    assert price_index.deflate(facts, annual).count() == 1
