@@ -119,21 +119,21 @@ def first_lines(lines: DataFrame) -> DataFrame:
 def layouts(spark: SparkSession, folder: str) -> list[FileLayout]:
     """Charset, delimiter and header of every data set in the folder, in order of name."""
     found_in = {"pathGlobFilter": "*.csv", "recursiveFileLookup": True}
-    listed = spark.read.format("binaryFile").options(**found_in).load(folder).select("path", "length").where("length < 1")
-    for path in (unquote(row["path"]) for row in listed.collect()):
-        if data_set(path, folder) and not path.rsplit("/", 1)[-1].startswith("part-"):
-            raise ValueError(f"the file {path} is empty")
+    table = spark.read.options(**found_in).text(folder)
     path = F.col("_metadata.file_path")
     parent = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
     # What only lies below the folder is left out before it is looked at.
     own = (parent == quote(folder.rstrip("/").split("/")[-1])) | parent.endswith(".csv")
     lines = (
-        spark.read.options(**found_in)
-        .text(folder)
-        .filter(own)
+        table.filter(own)
         .select(path.alias("path"), F.col("_metadata.file_block_start").alias("block_start"), "value")
     )
     profile = {row["path"]: row for row in detect_encoding(lines).collect()}
+    # A file without any line is listed, but no row of the table is from it.
+    with_lines = {unquote(path).replace(":///", ":/") for path in profile}
+    for path in sorted({unquote(path).replace(":///", ":/") for path in table.inputFiles()} - with_lines):
+        if data_set(path, folder) and not path.rsplit("/", 1)[-1].startswith("part-"):
+            raise ValueError(f"the file {path} is empty")
     headers = {row["path"]: bytes(row["header"]) for row in first_lines(lines).collect()}
     found = []
     for encoded, seen in profile.items():
