@@ -44,6 +44,8 @@ END_ID = 2
 #: Bytes of text for each range of ids, and ids beyond which a range starts another file.
 RANGE_BYTES = 64 << 20
 FILE_IDS = 4 << 20
+#: Ranges at the most, as their edges go to all tasks; beyond it a range has more bytes and so more files.
+MOST_RANGES = 1 << 16
 
 
 def frequencies(ids: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -194,13 +196,17 @@ class TokenFile:
             done += size
 
 
-_ITEM = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+_ITEM = pa.schema([("range", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 _FILE = pa.schema([("range", pa.int64()), ("part", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
 _FILE_SQL = "range bigint, part int, path string, docs bigint, ids bigint"
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, ids): ids and end id of each document, in two bytes each where all ids fit."""
+def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, edges: list[int]) -> DataFrame:
+    """(range, doc_id, ids): ids and end id of each document, in two bytes each where all ids fit.
+
+    The range is how many of the sorted edges lie below the id; a null id is below all.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(np.array(edges, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer, spaced=False)
@@ -209,10 +215,12 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str,
             for ids, counts in encoder.batches(t.as_py() for t in batch.column(1)):
                 ends = np.cumsum(counts)
                 raw = [_narrow(np.append(ids[b:e], end_id)) for b, e in zip(ends - counts, ends, strict=True)]
-                yield pa.record_batch([pa.array(names[at : at + len(raw)], pa.int64()), pa.array(raw, pa.binary())], schema=_ITEM)
+                some = names[at : at + len(raw)]
+                place = [0 if name is None else int(np.searchsorted(sent.value, name)) for name in some]
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip((place, some, raw), _ITEM, strict=True)], schema=_ITEM)
                 at += len(raw)
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, "doc_id bigint, ids binary")
+    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, "range int, doc_id bigint, ids binary")
 
 
 def _narrow(ids: np.ndarray) -> bytes:
@@ -273,16 +281,14 @@ def write_tokens(
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    ranges = max(parts, -(-size // range_bytes))
+    ranges = min(max(parts, -(-size // range_bytes)), MOST_RANGES)
     shares = [k / ranges for k in range(1, ranges)] or [0.5]
     edges = docs.agg(F.percentile_approx(F.col(id_col).cast("bigint"), shares, 10 * len(shares) + 1000)).first()[0] or []
-    edges = F.lit(sorted(set(edges))).cast("array<bigint>")
-    # How many edges lie below the id; a null id is below all.
-    key = F.coalesce(F.size(F.filter(edges, lambda e: e < F.col("doc_id"))), F.lit(0)).cast("bigint")
     system, root = pyarrow.fs.FileSystem.from_uri(folder)
     system.create_dir(root, recursive=True)
-    coded = encode_documents(docs, tokenizer, end_id, id_col, text_col).select(key.alias("range"), "doc_id", "ids")
-    dealt = coded.repartition(parts, "range").sortWithinPartitions("range", "doc_id")
+    coded = encode_documents(docs, tokenizer, end_id, id_col, text_col, sorted(set(edges)))
+    # Every range is a partition of its own, so no task holds several of them by chance.
+    dealt = coded.repartitionById(len(shares) + 1, "range").sortWithinPartitions("range", "doc_id")
     files = stored(dealt.mapInArrow(_file_writer(folder, file_ids), _FILE_SQL), "token-files")
     # One row a file, so one task can add up the lengths.
     before = F.sum("ids").over(Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1))
