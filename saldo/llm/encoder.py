@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -24,9 +24,11 @@ _ODD = re.compile(r" (?:\s|\Z)")
 #: change no result.
 HELD_PIECES = 500_000
 HELD_IDS = 4_000_000
-#: Runs that every tokenizer of this kind keeps apart: letters old enough to be letters everywhere, common marks, and
-#: single line ends. A piece of such runs alone has the ids of its runs.
-_RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?|]+|\n(?!\n)")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Runs that every tokenizer of this kind keeps apart: letters old enough to be letters everywhere, marks (but for
+#: apostrophes and the angles of special tokens), and single line ends. A piece of such runs alone has the ids of its runs.
+_RUNS = re.compile(rf"[{_LETTERS}]+|[!-&(-/:;=?@\[-`{{-~]+|\n(?!\n)")
+_PLAIN = re.compile(rf" ?[{_LETTERS}]+")
 #: Characters of a text that are looked at together.
 SEGMENT = 1 << 20
 
@@ -82,7 +84,8 @@ class Encoder:
             self._hold(olds, held, _gather(pool, starts, sizes, at), sizes[at])
         if whole:
             ids = self.encode_words([before + word for word in whole])
-            self._hold(whole, held, np.concatenate([np.asarray(x, np.uint32) for x in ids]), np.array([len(x) for x in ids], np.int64))
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._hold(whole, held, np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts)
 
     def _meet(self, words: set[str], held: dict[str, int], before: str) -> None:
         fresh = words.difference(held)
@@ -183,21 +186,22 @@ def library_encoder(path: str, spaced: bool) -> Encoder:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    # Special tokens part a text, so that many words go through one call.
-    content, mark = next((t.content, i) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special)
-    parting = "".join(sorted(x for x in content if not x.isalnum()))[:1]
-
-    def encode_words(words: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for at in range(0, len(words), 1000):
-            some = words[at : at + 1000]
-            if any(parting in word for word in some):
-                out += [np.array(x.ids, np.uint32) for x in tokenizer.encode_batch(some, add_special_tokens=False)]
-                continue
-            ids = np.array(tokenizer.encode(content.join(some), add_special_tokens=False).ids, np.uint32)
-            out += np.split(ids, np.flatnonzero(ids == mark))
-            for k in range(len(out) - len(some) + 1, len(out)):
-                out[k] = out[k][1:]
+    # A word of plain letters is one word of the model, and its symbols are those of its letters one by one.
+    def symbols(text: str) -> str:
+        normal = tokenizer.normalizer.normalize_str(text) if tokenizer.normalizer else text
+        return "".join(piece for piece, _ in tokenizer.pre_tokenizer.pre_tokenize_str(normal))
+
+    table = {n: symbols(chr(n)) for n in range(256) if re.fullmatch(f"[{_LETTERS}]", chr(n))}
+    table[ord(" ")] = symbols(" a").removesuffix(symbols("a"))
+    tokenize, plain = tokenizer.model.tokenize, _PLAIN.fullmatch
+
+    def encode_words(words: list[str]) -> list[list[int]]:
+        out: list[list[int]] = [[t.id for t in tokenize(word.translate(table))] if plain(word) else [] for word in words]
+        others = [k for k, word in enumerate(words) if not plain(word)]
+        for at in range(0, len(others), 1000):
+            some = others[at : at + 1000]
+            for k, found in zip(some, tokenizer.encode_batch_fast([words[k] for k in some], add_special_tokens=False), strict=True):
+                out[k] = found.ids
         return out
 
     return Encoder(encode_words, spaced)
