@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saldo.llm import block_naming, bpe_automaton, language_ppm, packing, simhash_bk, site_quality, token_store, url_trees, vector_tree, warc
+from saldo.llm import (
+    ball_codes, bit_sliced_resampling, block_naming, bpe_automaton, language_ppm, line_index, packing, simhash_bk, site_quality,
+    token_store, url_trees, vector_tree, warc,
+)
 from saldo.llm.encoder import tokenizer_path
+from saldo.llm.oracle import OP11, OP12, OP13
 from saldo.sources.scratch import scratch_dir
 
 
@@ -96,6 +100,21 @@ def op10_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_tree.nearest(rows, queries)
 
 
+def op11_bit_sliced_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced_resampling.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_index.drop_common_lines(_documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = ball_codes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    digest = F.lit(books.sha256() if books else None).cast("string")
+    return ball_codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_automaton": op1_bpe_automaton,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -107,6 +126,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_site_quality": op8_site_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_vector_tree": op10_vector_tree,
+    "op11_bit_sliced_resampling": op11_bit_sliced_resampling,
+    "op12_line_index": op12_line_index,
+    "op13_ball_codes": op13_ball_codes,
 }
 
 ORACLE: dict[str, str] = {
@@ -123,4 +145,7 @@ SELECT doc_id,
 FROM plain
 WINDOW best AS (PARTITION BY body ORDER BY length(whole) DESC, doc_id)
 """,
+    "op11_bit_sliced_resampling": OP11,
+    "op12_line_index": OP12,
+    "op13_ball_codes": OP13,
 }

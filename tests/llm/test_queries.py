@@ -16,7 +16,7 @@ def test_oracle(name, spark, sf_dir):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", ["op1_bpe_automaton", "op3_language_ppm", "op6_token_store", "op8_site_quality"])
