@@ -761,11 +761,35 @@ def ledger_store_roundtrip(spark, sf_dir):
     )
 
 
+@query
+def csv_records(spark, sf_dir):
+    """Texts of many lines in one CSV file, cut into records by many tasks."""
+    folder = scratch_dir(spark, "records")
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    writer = texts.coalesce(1).write.option("header", True).option("escape", '"').option("quoteAll", True)
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/texts_202012.csv")
+    rows = csv_folder.read_csv_folder(spark, folder).table
+    return rows.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.sha2("text", 256).alias("text_sha256"), "source_file", "year", "period_month"
+    )
+
+
 @query
 def landing_ingest(spark, sf_dir):
-    """The early files taken in by the incremental job."""
+    """The files of both layouts taken in by the incremental job, a few in each batch."""
+    folder = landed_files(spark, sf_dir)
+    out, mark = (f"{scratch_dir(spark, name)}/table" for name in ("landed", "landed-mark"))
+    landing.ingest_new(spark, folder, out, mark, files_per_batch=3).awaitTermination()
+    return ingest_profile(landing.read_landed(spark, out))
+
+
+@query
+def landing_log(spark, sf_dir):
+    """What the incremental job notes of every data set: its columns, and that a second run adds none."""
     folder = landed_files(spark, sf_dir)
-    out, mark = f"{folder}/stream_out", f"{folder}/stream_mark"
-    stream = landing.landing_stream(spark, f"{folder}/early", EARLY)
-    landing.ingest_new(stream, out, mark).awaitTermination()
-    return ingest_profile(spark.read.parquet(out))
+    out, mark = (f"{scratch_dir(spark, name)}/table" for name in ("landed", "landed-mark"))
+    for _ in range(2):
+        landing.ingest_new(spark, folder, out, mark).awaitTermination()
+    log = landing.read_log(spark, out)
+    rows = landing.read_landed(spark, out).groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"))
+    return log.groupBy("source_file").agg(F.max(F.size("columns")).alias("columns")).join(rows, "source_file")

@@ -3,15 +3,17 @@
 The files of a folder differ in charset, delimiter and header. Two passes over the raw lines tell,
 per file, which charset it has and what its header is; files that agree are then read together, so
 the number of scans follows the number of layouts and not the number of files. Only file names and
-headers reach the driver, as they must for Spark to plan the reads.
+headers reach the driver, as they must for Spark to plan the reads. Files whose records span lines are cut into
+records by :mod:`saldo.sources.csv_records`, with many tasks a file.
 """
 
 from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +24,8 @@ from urllib.parse import quote, unquote
 from saldo.functions.names import plain_name, reader_names, unique_names
 from saldo.functions.periods import file_month, file_year, run_time
 from saldo.settings import NULL_TOKENS
+from saldo.sources.csv_records import CHUNK_BYTES, split_records
+from saldo.sources.scratch import discard
 
 DELIMITERS = (",", ";", "\t", "|")
 PROVENANCE = ("source_file", "source_url", "year", "ingested_at")
@@ -53,11 +57,18 @@ class FileLayout:
 
 @dataclass(frozen=True)
 class Ingest:
-    """The combined table, and for each file its original names with the ones they became."""
+    """The combined table, and for each file its original names with the ones they became.
+
+    Files whose records span lines are read from written tables; ``close`` deletes these once the table is used.
+    """
 
     table: DataFrame
     column_maps: list[tuple[str, dict[str, str]]]
     ingested_at: str
+    scratch: list[DataFrame] = field(default_factory=list)
+
+    def close(self) -> None:
+        discard(self.table.sparkSession, *self.scratch)
 
 
 def data_set_name(path: Column) -> Column:
@@ -116,10 +127,27 @@ def first_lines(lines: DataFrame) -> DataFrame:
     return head.groupBy("path").agg(F.min_by(F.col("value").cast("binary"), "row_id").alias("header"))
 
 
+def literal_path(path: str) -> str:
+    """The path with its pattern characters escaped, as readers take patterns."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def plain_path(encoded: str) -> str:
+    """A path as ``_metadata.file_path`` names it, without percent signs."""
+    return unquote(encoded).replace(":///", ":/")
+
+
 def layouts(spark: SparkSession, folder: str) -> list[FileLayout]:
     """Charset, delimiter and header of every data set in the folder, in order of name."""
     found_in = {"pathGlobFilter": "*.csv", "recursiveFileLookup": True}
-    table = spark.read.options(**found_in).text(folder)
+    found = table_layouts(spark.read.options(**found_in).text(folder), folder)
+    if not found:
+        raise FileNotFoundError(f"no CSV files in {folder}")
+    return found
+
+
+def table_layouts(table: DataFrame, folder: str) -> list[FileLayout]:
+    """The same for files read as text, of which those count that are data sets of the folder."""
     path = F.col("_metadata.file_path")
     parent = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
     # What only lies below the folder is left out before it is looked at.
@@ -130,8 +158,8 @@ def layouts(spark: SparkSession, folder: str) -> list[FileLayout]:
     )
     profile = {row["path"]: row for row in detect_encoding(lines).collect()}
     # A file without any line is listed, but no row of the table is from it.
-    with_lines = {unquote(path).replace(":///", ":/") for path in profile}
-    for path in sorted({unquote(path).replace(":///", ":/") for path in table.inputFiles()} - with_lines):
+    with_lines = {plain_path(path) for path in profile}
+    for path in sorted({plain_path(path) for path in table.inputFiles()} - with_lines):
         if data_set(path, folder) and not path.rsplit("/", 1)[-1].startswith("part-"):
             raise ValueError(f"the file {path} is empty")
     headers = {row["path"]: bytes(row["header"]) for row in first_lines(lines).collect()}
@@ -148,8 +176,6 @@ def layouts(spark: SparkSession, folder: str) -> list[FileLayout]:
         delimiter = detect_delimiter(line)
         header = split_header(line, delimiter)
         found.append(FileLayout(path, name, charset, delimiter, header, bool(seen["open_quote"])))
-    if not found:
-        raise FileNotFoundError(f"no CSV files in {folder}")
     return sorted(found, key=lambda f: (f.name, f.path))
 
 
@@ -185,17 +211,17 @@ def text_schema(width: int) -> T.StructType:
 
 
 def shape(raw: DataFrame, header: Sequence[str], charset: str, ingested_at: str) -> DataFrame:
-    """Final names, missing values and provenance for rows read with :func:`text_schema`.
+    """Final names, missing values and provenance for rows read with :func:`text_schema` beside their ``_path``.
 
     Rows with one column more than the header are checked: one that uses it is wider than the header, an error.
     """
     names = column_names(header)
     if f"_c{len(names)}" in raw.columns:
         beyond = F.col(f"_c{len(names)}")
-        wide = F.raise_error(F.concat(F.lit("a row is wider than the header in "), F.col("_metadata.file_path"), F.lit(", at: "), beyond))
+        wide = F.raise_error(F.concat(F.lit("a row is wider than the header in "), F.col("_path"), F.lit(", at: "), beyond))
         raw = raw.filter(F.when(beyond.isNotNull(), wide.cast("boolean")).otherwise(F.lit(True)))
     cells = [F.col(f"_c{i}").alias(final) for i, (_, final) in enumerate(names)]
-    df = raw.select(F.col("_metadata.file_path").alias("_path"), *cells)
+    df = raw.select("_path", *cells)
     finals = [final for _, final in names]
     if charset == WINDOWS:
         df = df.withColumns({c: F.translate(F.col(c), _C1, _C1_AS_WINDOWS) for c in finals})
@@ -221,21 +247,48 @@ def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def read_csv_folder(spark: SparkSession, folder: str, ingested_at: str | None = None) -> Ingest:
-    """All CSV files of a folder as one text table.
+def read_whole(spark: SparkSession, files: Sequence[FileLayout], multiline: bool) -> DataFrame:
+    """Raw cells beside their path, by the file reader; files of several lines a record are read by one task each."""
+    one = files[0]
+    reader = spark.read.schema(text_schema(len(one.header) + 1)).options(**reader_options(one.charset, one.delimiter, multiline))
+    return reader.csv([literal_path(f.path) for f in files]).select("*", F.col("_metadata.file_path").alias("_path"))
+
+
+def read_records(spark: SparkSession, files: Sequence[FileLayout], chunk_bytes: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Raw cells of files whose records span lines, and the written tables they are read from.
 
-    Files whose records may span lines are read whole by one task each; all others are split.
+    Every record is parsed by the same parser as a file is. Files with quotes out of place are left to the file reader.
     """
+    one = files[0]
+    records = split_records(spark, [literal_path(f.path) for f in files], one.delimiter, chunk_bytes)
+    text = F.col("record").cast("string") if one.charset == UTF8 else F.decode("record", "ISO-8859-1")
+    options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in reader_options(one.charset, one.delimiter, True).items() if k != "header"}
+    cells = F.from_csv(text, text_schema(len(one.header) + 1).simpleString()[len("struct<"):-1].replace(":", " "), options)
+    frames = [records.table.select(F.col("path").alias("_path"), cells.alias("cells")).select("cells.*", "_path")]
+    odd = {plain_path(path) for path in records.odd}
+    whole = [f for f in files if f.path.replace(":///", ":/") in odd]
+    return frames + ([read_whole(spark, whole, True)] if whole else []), records.scratch
+
+
+def read_csv_folder(spark: SparkSession, folder: str, ingested_at: str | None = None) -> Ingest:
+    """All CSV files of a folder as one text table."""
+    return read_csv_files(spark, layouts(spark, folder), ingested_at)
+
+
+def read_csv_files(spark: SparkSession, files: Sequence[FileLayout], ingested_at: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> Ingest:
+    """Files of known layout as one text table; those that agree in it are read together."""
     stamp = ingested_at or run_time()
-    files = layouts(spark, folder)
     groups: dict[tuple, list[FileLayout]] = {}
     for f in files:
         groups.setdefault(f.group, []).append(f)
-    frames = []
-    for (charset, delimiter, header, multiline), members in groups.items():
-        raw = spark.read.schema(text_schema(len(header) + 1)).options(**reader_options(charset, delimiter, multiline))
-        frames.append(shape(raw.csv([m.path for m in members]), header, charset, stamp))
+    frames, scratch = [], []
+    for (charset, _, header, multiline), members in groups.items():
+        raws = [read_whole(spark, members, False)]
+        if multiline:
+            raws, written = read_records(spark, members, chunk_bytes)
+            scratch += written
+        frames += [shape(raw, header, charset, stamp) for raw in raws]
     if len({f.schema[MONTH].dataType.simpleString() for f in frames}) > 1:
         frames = [f.withColumn(MONTH, F.col(MONTH).cast("string")) for f in frames]
     maps = [(f.name, {c: c for c in PROVENANCE} | dict(column_names(f.header))) for f in files]
-    return Ingest(union_by_name(frames), list({name: (name, m) for name, m in maps}.values()), stamp)
+    return Ingest(union_by_name(frames), list({name: (name, m) for name, m in maps}.values()), stamp, scratch)

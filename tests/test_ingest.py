@@ -138,20 +138,60 @@ def test_scratch_follows_the_session():
         scratch_dir(Session(None), "x")
 
 
-def test_incremental_ingest(spark, tmp_path):
-    raw, out, mark = (str(tmp_path / n) for n in ("raw", "out", "mark"))
-    (tmp_path / "raw").mkdir()
+def taken(rows):
+    columns = sorted(c for c in rows.columns if c != "ingested_at")
+    return columns, sorted((tuple(r) for r in rows.select(*columns).collect()), key=str)
+
+
+def test_incremental_ingest_reads_as_the_batch_reader(spark, folder, tmp_path):
+    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+
     def run():
-        stream = landing.landing_stream(spark, raw, ["Samtala0", "Raun"], delimiter=";", charset="cp1252", ingested_at="t")
-        landing.ingest_new(stream, out, mark).awaitTermination()
-        rows = spark.read.parquet(out).select("source_file", "year", "period_month", "samtala0", "raun").collect()
-        return sorted(tuple(r) for r in rows)
-    (tmp_path / "raw" / "a_202001.csv").write_bytes("Samtala0;Raun\nbær;1\n".encode("cp1252"))
-    first = run()
-    assert first == [("a_202001.csv", 2020, 1, "bær", "1")]
-    assert run() == first
-    (tmp_path / "raw" / "b_202102.csv").write_bytes(b"Samtala0;Raun\nx;NA\n")
-    assert run() == first + [("b_202102.csv", 2021, 2, "x", None)]
+        landing.ingest_new(spark, str(folder), out, mark, files_per_batch=2).awaitTermination()
+        return taken(landing.read_landed(spark, out))
+
+    want = taken(csv_folder.read_csv_folder(spark, str(folder)).table)
+    assert run() == want
+    assert run() == want
+    (folder / "g_202112.csv").write_text('period_month,raun\n"7,0","x\ny"\n')
+    assert run() == taken(csv_folder.read_csv_folder(spark, str(folder)).table)
+    log = {r["source_file"]: r for r in landing.read_log(spark, out).collect()}
+    assert sorted(log) == [f"{n}.csv" for n in ("a_202001", "b 202113", "c_1999", "d", "e_201912", "f_202002", "g_202112")]
+    assert log["g_202112.csv"]["own_month"] and log["b 202113.csv"]["columns"]["Raun.1"] == "raun_1"
+
+
+def test_a_repeated_batch_adds_nothing(spark, folder, tmp_path):
+    out = str(tmp_path / "out")
+    paths = sorted(str(p) for p in folder.glob("*.csv"))
+    for _ in range(2):
+        assert landing.commit_batch(spark, paths[:3], 0, str(folder), out, "t") == 3
+        assert landing.commit_batch(spark, paths[3:], 1, str(folder), out, "t") == 3
+    assert taken(landing.read_landed(spark, out)) == taken(csv_folder.read_csv_folder(spark, str(folder)).table)
+    assert landing.read_log(spark, out).count() == 6
+    # Only data sets of the folder itself count.
+    assert landing.commit_batch(spark, [str(folder / "old" / "z_201801.csv")], 2, str(folder), out, "t") == 0
+
+
+def test_incremental_ingest_loses_no_cells(spark, tmp_path):
+    raw, out, mark = (tmp_path / n for n in ("raw", "out", "mark"))
+    raw.mkdir()
+    (raw / "a_202001.csv").write_text("a,b\n1,2\n")
+    landing.ingest_new(spark, str(raw), str(out), str(mark)).awaitTermination()
+    (raw / "b_202001.csv").write_text("a,b\n3,4,LOST\n")
+    for _ in range(2):
+        with pytest.raises(Exception, match="wider than the header"):
+            landing.ingest_new(spark, str(raw), str(out), str(mark)).awaitTermination()
+    rows = landing.read_landed(spark, str(out))
+    assert [(r["a"], r["b"]) for r in rows.collect()] == [("1", "2")]
+    (raw / "b_202001.csv").write_text("a,b\n3,4\n")
+    landing.ingest_new(spark, str(raw), str(out), str(mark)).awaitTermination()
+    assert sorted((r["a"], r["b"]) for r in landing.read_landed(spark, str(out)).collect()) == [("1", "2"), ("3", "4")]
+
+
+def test_nothing_taken_in(spark, tmp_path):
+    assert landing.read_log(spark, str(tmp_path)).count() == 0
+    with pytest.raises(FileNotFoundError):
+        landing.read_landed(spark, str(tmp_path))
 
 
 def test_blank_lines_before_the_header_are_skipped(spark, tmp_path):
