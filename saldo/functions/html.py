@@ -1,95 +1,142 @@
-"""Text out of HTML with Spark text expressions."""
+"""What a captured page says: its name, a link, and whether it holds a phrase, from one pass over its HTML.
+
+The pages of a batch go through one state machine on the events of the standard parser, which also decodes references.
+Only the few short findings come back, so neither the page nor its text is moved on.
+"""
 
 from __future__ import annotations
 
-from html.entities import html5
-from itertools import chain
+from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from saldo.functions.text import strip_space
-
-# Parts of a page whose text is not shown: comments, declarations, scripts, styles, templates. One that is not
-# closed hides the rest of the page.
-HIDDEN = (
-    r"(?is)<!--.*?(?:-->|\z)|<![^>]*>"
-    r"|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|<template\b[^>]*>.*?(?:</template\s*>|\z)"
+# Elements whose text is not shown; one that is not closed hides the rest of the page.
+HIDDEN = frozenset(("script", "style", "template"))
+# Elements that end a heading or title which is never closed.
+BLOCK = frozenset(
+    "address article aside blockquote body div dl footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
 )
-TAG = r"(?s)</?[A-Za-z][^>]*>"
-# Elements that end a heading or title which is not closed.
-BLOCK = "address|article|aside|blockquote|body|div|dl|footer|form|h[1-6]|header|hr|main|nav|ol|p|pre|section|table|ul"
-# Old names count without a semicolon too.
-OLD_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
-REFERENCE = rf"(&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{OLD_NAMES})))"
-AMPERSAND = r"&(?:(?:amp|AMP|#0*38);?|#[xX]0*26;?)"
-# Marks where a tag was; a control character that no page shows.
-EDGE = "\x01"
-ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-# Numbers 128 to 159 stand for the characters of the Windows charset.
-WINDOWS = "".join(bytes([b]).decode("cp1252", "replace") for b in range(128, 160))
-
-
-def _character(reference: Column) -> Column:
-    """The character a reference stands for; unknown references stay as they are."""
-    names = F.create_map(*[F.lit(x) for x in chain.from_iterable((n.rstrip(";"), c) for n, c in html5.items() if n.endswith(";"))])
-    body = F.rtrim(F.substring(reference, 2, F.length(reference)), F.lit(";"))
-    is_hex = body.rlike("^#[xX][0-9a-fA-F]{1,6}$")
-    is_decimal = body.rlike("^#[0-9]{1,7}$")
-    digits = F.when(is_hex, F.conv(F.substring(body, 3, 6), 16, 10)).when(is_decimal, F.substring(body, 2, 7))
-    code = digits.try_cast("int")
-    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    windows = F.substring(F.lit(WINDOWS), code - 127, F.lit(1))
-    known = F.when(code.between(128, 159), windows).when(code.between(1, 0x10FFFF), char)
-    return F.coalesce(known.when(~body.startswith("#"), names[body]), reference)
-
-
-def decode_entities(text: Column) -> Column:
-    """Replace character references; a page has few different ones, each is replaced at once.
-
-    Long ones come first, as one may begin like another. Ampersands come last, so that ``&amp;lt;`` becomes
-    ``&lt;`` and no more.
-    """
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)))
-    others = F.array_sort(F.filter(found, lambda r: ~r.rlike(f"^{AMPERSAND}$")), lambda a, b: F.length(b) - F.length(a))
-    decoded = F.reduce(others, text, lambda acc, r: F.replace(acc, r, _character(r)))
-    return F.when(text.contains("&"), F.regexp_replace(decoded, AMPERSAND, "&")).otherwise(text)
-
-
-def visible(html: Column) -> Column:
-    """The page without comments, scripts and styles."""
-    return F.regexp_replace(html, HIDDEN, "")
-
-
-def fragment_text(fragment: Column, separator: str) -> Column:
-    """Text pieces between tags, each stripped, blank ones dropped, joined by ``separator``."""
-    marked = decode_entities(F.regexp_replace(fragment, TAG, EDGE))
-    pieces = F.transform(F.split(marked, EDGE), strip_space)
-    return F.array_join(F.filter(pieces, lambda piece: piece != ""), separator)
 
 
-def element_text(shown: Column, tag: str) -> Column:
-    """Text of the first ``tag`` element, up to its end, the next block or the end of the page; NULL when blank."""
-    inner = F.regexp_extract(shown, rf"(?is)<{tag}\b[^>]*>(.*?)(?:</{tag}\s*>|</?(?:{BLOCK})\b|\z)", 1)
-    return F.nullif(fragment_text(inner, ""), F.lit(""))
-
-
-def page_text(shown: Column) -> Column:
-    """All text of a page, pieces joined by one blank. Takes what :func:`visible` gives."""
-    return fragment_text(shown, " ")
-
-
-def entity_name(shown: Column) -> Column:
-    """The first heading, else the title, else NULL."""
-    return F.coalesce(element_text(shown, "h1"), element_text(shown, "title"))
-
+class _Element:
+    """Text of the first element of its kind: all up to its end, or up to the next block if it has no end."""
+
+    def __init__(self, tag: str):
+        self.tag = tag
+        self.state = "awaited"
+        self.pieces: list[str] = []
+        self.before_block: int | None = None
+
+    def start(self, tag: str) -> None:
+        if self.state == "open":
+            self.block(tag)
+            if tag == self.tag:
+                self.state = "cut"
+        elif self.state == "awaited" and tag == self.tag:
+            self.state = "open"
+
+    def end(self, tag: str) -> None:
+        if self.state == "open":
+            if tag == self.tag:
+                self.state = "closed"
+            else:
+                self.block(tag)
+
+    def block(self, tag: str) -> None:
+        if self.before_block is None and tag in BLOCK:
+            self.before_block = len(self.pieces)
+
+    def text(self) -> str:
+        return "".join(self.pieces if self.state == "closed" else self.pieces[: self.before_block])
+
+
+class PageReader(HTMLParser):
+    """Text pieces, first heading, first title and links of a page."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.pieces: list[str] = []
+        self.hrefs: list[str] = []
+        self.elements = [_Element("h1"), _Element("title")]
+        self._hidden: list[str] = []
+        self._run: list[str] = []
+
+    def read(self, page: str) -> PageReader:
+        self.feed(page)
+        self.close()
+        self._end_run()
+        return self
+
+    def name(self) -> str | None:
+        """The heading, else the title, else none."""
+        return next((text for element in self.elements if (text := element.text())), None)
+
+    def text(self) -> str:
+        return " ".join(self.pieces)
+
+    def _end_run(self) -> None:
+        """A run of text ends at every tag and comment; its blanks at both ends are dropped."""
+        piece = "".join(self._run).strip()
+        self._run.clear()
+        if piece:
+            self.pieces.append(piece)
+            for element in self.elements:
+                if element.state == "open":
+                    element.pieces.append(piece)
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self._end_run()
+        if tag in HIDDEN:
+            self._hidden.append(tag)
+        if self._hidden:
+            return
+        for element in self.elements:
+            element.start(tag)
+        if tag == "a":
+            self.hrefs += [value for key, value in attrs if key == "href" and value is not None][:1]
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.handle_starttag(tag, attrs)
+        self.handle_endtag(tag)
+
+    def handle_endtag(self, tag: str) -> None:
+        self._end_run()
+        if self._hidden:
+            if tag == self._hidden[-1]:
+                self._hidden.pop()
+            return
+        for element in self.elements:
+            element.end(tag)
+
+    def handle_data(self, data: str) -> None:
+        if not self._hidden:
+            self._run.append(data)
+
+    def handle_comment(self, data: str) -> None:
+        self._end_run()
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
+
+_FACTS = pa.struct([("name", pa.string()), ("href", pa.string()), ("found", pa.bool_())])
+
+
+def page_facts(html: Column, part: str | None = None, phrase: str | None = None) -> Column:
+    """``name, href, found`` of a page; all NULL for a missing one.
+
+    The name is the text of the first heading, else of the title. ``href`` is the first link whose address holds ``part``.
+    ``found`` tells whether the text of the page, pieces joined by one blank, holds the phrase in any case.
+    """
+    sought = None if phrase is None else phrase.lower()
 
-def anchors(shown: Column) -> Column:
-    """Every ``href`` of a link element, decoded, in page order."""
-    found = F.regexp_extract_all(shown, F.lit(ANCHOR), F.lit(1))
-    return F.transform(found, lambda href: decode_entities(F.regexp_replace(href, """^["']|["']$""", "")))
+    def facts(page: str) -> dict:
+        read = PageReader().read(page)
+        href = None if part is None else next((h for h in read.hrefs if part in h), None)
+        return {"name": read.name(), "href": href, "found": sought is not None and sought in read.text().lower()}
 
+    def run(pages: pa.Array) -> pa.Array:
+        return pa.array([facts(page.as_py()) if page.is_valid else None for page in pages], _FACTS)
 
-def first_href(shown: Column, part: str) -> Column:
-    """The first ``href`` that contains ``part``; else NULL."""
-    return F.get(F.filter(anchors(shown), lambda href: href.contains(part)), 0)
+    return F.arrow_udf(run, "name string, href string, found boolean")(html)

@@ -2,20 +2,28 @@
 
 Captures are two tables with the number as key: the search reply of each number and the detail
 page its first detail link led to. A number without a capture is an error row.
+
+Only pages of the asked numbers are parsed. Captures may be kept in folders by a hash of the number; then only
+the folders of asked numbers are read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saldo.functions.html import entity_name, first_href, page_text, visible
-from saldo.functions.text import contains_ci, digits_only
+from saldo.functions.html import page_facts
+from saldo.functions.text import digits_only
 from saldo.functions.urls import resolve
 from saldo.operators.joins import only_new
-from saldo.sources.scratch import folder_exists, stored
+from saldo.sources.scratch import discard, folder_exists, stored
 
 NUMBER_COLUMNS = ("vm_number", "vm_numer")
+BUCKETS = 64
+#: Numbers up to which they are sent to the captures; with more, all captures are parsed.
+MOST_SENT = 1_000_000
 
 
 def number_column(df: DataFrame) -> str:
@@ -41,8 +49,7 @@ def entity_keys(df: DataFrame, column: str | None = None, limit: int = 0) -> Dat
 
 def read_names(pages: DataFrame, *keys: str) -> DataFrame:
     """Entity name of every page, beside its key columns."""
-    shown = pages.select(*keys, visible(F.col("html")).alias("shown"))
-    return shown.select(*keys, entity_name(F.col("shown")).alias("name"))
+    return pages.select(*keys, page_facts(F.col("html")).alias("facts")).select(*keys, "facts.name")
 
 
 def read_search(captures: DataFrame, phrase: str, part: str) -> DataFrame:
@@ -50,16 +57,15 @@ def read_search(captures: DataFrame, phrase: str, part: str) -> DataFrame:
 
     Pages become a few short columns here, before any join, so HTML is never shuffled.
     """
-    shown = F.col("shown")
-    facts = captures.select("vm_number", "url", visible(F.col("html")).alias("shown")).select(
+    facts = captures.select("vm_number", "url", page_facts(F.col("html"), part, phrase).alias("facts"))
+    link = F.when(F.col("facts.href").isNotNull(), resolve(F.col("url"), F.col("facts.href")))
+    return facts.select(
         "vm_number",
         F.col("url").alias("search_url"),
-        contains_ci(page_text(shown), phrase).alias("found_nothing"),
-        first_href(shown, part).alias("href"),
-        entity_name(shown).alias("search_name"),
+        F.col("facts.found").alias("found_nothing"),
+        F.col("facts.name").alias("search_name"),
+        link.alias("detail_url"),
     )
-    link = F.when(F.col("href").isNotNull(), resolve(F.col("search_url"), F.col("href")))
-    return facts.withColumn("detail_url", link).drop("href")
 
 
 def read_detail(captures: DataFrame) -> DataFrame:
@@ -68,6 +74,38 @@ def read_detail(captures: DataFrame) -> DataFrame:
     )
 
 
+def bucket_of(number: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(number), F.lit(buckets)).cast("int")
+
+
+@dataclass(frozen=True)
+class CaptureStore:
+    """Captured pages in folders by a hash of their number."""
+
+    path: str
+    buckets: int = BUCKETS
+
+    def add(self, captures: DataFrame) -> None:
+        """Append captures ``vm_number, url, html``; each folder gets files of even size."""
+        named = captures.select("vm_number", "url", "html").withColumn("bucket", bucket_of(F.col("vm_number"), self.buckets))
+        named.hint("rebalance", F.col("bucket")).write.mode("append").partitionBy("bucket").parquet(self.path)
+
+    def of(self, keys: DataFrame) -> DataFrame:
+        """The captures of the folders in which the keys lie."""
+        spark = keys.sparkSession
+        if not folder_exists(spark, self.path):
+            return spark.createDataFrame([], "vm_number string, url string, html string")
+        # At most as many numbers as there are folders.
+        asked = [r[0] for r in keys.select(bucket_of(F.col("vm_number"), self.buckets)).distinct().collect()]
+        return spark.read.parquet(self.path).where(F.col("bucket").isin(asked)).drop("bucket")
+
+
+def captures_of(source: DataFrame | CaptureStore, keys: DataFrame, count: int) -> DataFrame:
+    """The captures to parse for so many keys: theirs alone, unless there are too many keys to send."""
+    found = source.of(keys) if isinstance(source, CaptureStore) else source
+    return found if count > MOST_SENT else found.join(F.broadcast(keys.select("vm_number")), "vm_number", "left_semi")
+
+
 def classify(
     keys: DataFrame, searches: DataFrame, details: DataFrame, phrase: str, part: str, search_address: str | None = None
 ) -> DataFrame:
@@ -97,17 +135,35 @@ def classify(
     return both.select("vm_number", status.alias("status"), name.alias("name"), url.alias("url"))
 
 
+def classify_new(
+    keys: DataFrame,
+    known: DataFrame,
+    searches: DataFrame | CaptureStore,
+    details: DataFrame | CaptureStore,
+    phrase: str,
+    part: str,
+    search_address: str | None = None,
+) -> tuple[DataFrame, int]:
+    """Entity rows of the keys that are not known, and their number. Without such keys no capture is read."""
+    fresh = stored(only_new(keys, known, "vm_number").select("vm_number"), "new-numbers")
+    count = fresh.count()
+    if not count:
+        return keys.sparkSession.createDataFrame([], ENTITY_SCHEMA), 0
+    found = [captures_of(source, fresh, count) for source in (searches, details)]
+    return classify(fresh, *found, phrase, part, search_address), count
+
+
 def resolve_new(
     keys: DataFrame,
     known: DataFrame,
-    searches: DataFrame,
-    details: DataFrame,
+    searches: DataFrame | CaptureStore,
+    details: DataFrame | CaptureStore,
     phrase: str,
     part: str,
     search_address: str | None = None,
 ) -> DataFrame:
     """Entity rows for all keys: known ones as they are, the others classified."""
-    fresh = classify(only_new(keys, known, "vm_number"), searches, details, phrase, part, search_address)
+    fresh, _ = classify_new(keys, known, searches, details, phrase, part, search_address)
     kept = known.join(keys, "vm_number", "left_semi")
     return kept.select("vm_number", "status", "name", "url").unionByName(fresh)
 
@@ -121,16 +177,17 @@ def read_entities(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_new(
-    keys: DataFrame, path: str, searches: DataFrame, details: DataFrame, phrase: str, part: str, search_address: str | None = None
+    keys: DataFrame, path: str, searches: DataFrame | CaptureStore, details: DataFrame | CaptureStore, phrase: str, part: str,
+    search_address: str | None = None,
 ) -> int:
     """Classify the numbers that the stored table lacks and append them; returns how many there were.
 
     The new rows are stored before they are appended, so the table is not read while it is written.
     """
     spark = keys.sparkSession
-    fresh = only_new(keys, read_entities(spark, path), "vm_number")
-    rows = stored(classify(fresh, searches, details, phrase, part, search_address), "new-entities")
-    count = rows.count()
+    fresh, count = classify_new(keys, read_entities(spark, path), searches, details, phrase, part, search_address)
     if count:
+        rows = stored(fresh, "new-entities")
         rows.write.mode("append").parquet(path)
+        discard(spark, rows)
     return count

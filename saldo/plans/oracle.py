@@ -221,8 +221,8 @@ named AS (
 ),
 plain AS (
   SELECT page_id, url, shown,
-         replace(replace(trim(regexp_replace(CASE WHEN trim(h1) <> '' THEN h1 ELSE title END, '<[^>]*>', '', 'g')),
-                 '&quot;', '"'), '&amp;', '&') AS name
+         regexp_replace(replace(trim(regexp_replace(CASE WHEN trim(h1) <> '' THEN h1 ELSE title END, '<[^>]*>', '', 'g')),
+                 '&quot;', '"'), '&amp;?', '&', 'g') AS name
   FROM named
 )"""
 
@@ -513,6 +513,9 @@ SELECT e.vm_number, CASE WHEN page_id < 50 THEN 'ok' ELSE status END AS status,
        CASE WHEN page_id < 50 THEN p.url ELSE e.url END AS url
 FROM entities e JOIN pages p ON CAST(p.page_id AS VARCHAR) = e.vm_number""",
     "entity_table": with_(STATUS) + "SELECT vm_number, status, name, url, CAST(0 AS INTEGER) AS added_last FROM entities",
+    "entity_captures": with_(STATUS) + """
+SELECT vm_number, status, name, url, (SELECT count(*) FILTER (WHERE page_id < 10) || ',' || count(*) FILTER (WHERE page_id >= 10) || ',0' FROM pages) AS added
+FROM entities""",
     "link_harvest": with_(LINKS) + "SELECT page_id, position, link, filename FROM harvest",
     "link_first_page": with_(LINKS) + "SELECT link, min(page_id) AS page_id FROM harvest GROUP BY link",
     "manifest_status": with_(LINKS) + """

@@ -642,6 +642,20 @@ def entity_table(spark, sf_dir):
     return entities.read_entities(spark, path).withColumn("added_last", F.lit(added[-1]))
 
 
+@query
+def entity_captures(spark, sf_dir):
+    """Captures kept in folders, of which later runs read those of new numbers only."""
+    keys, searches, details = captures(spark, sf_dir)
+    folder = scratch_dir(spark, "captures")
+    stores = [entities.CaptureStore(f"{folder}/{name}") for name in ("searches", "details")]
+    for store, pages_of in zip(stores, (searches, details)):
+        store.add(pages_of)
+    few = keys.filter(F.col("vm_number").cast("int") < 10)
+    added = [entities.append_new(k, f"{folder}/table", *stores, NO_RESULT, DETAIL_PART) for k in (few, keys, keys)]
+    counts = F.array(*[F.lit(n) for n in added])
+    return entities.read_entities(spark, f"{folder}/table").withColumn("added", F.array_join(counts.cast("array<string>"), ","))
+
+
 def harvested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All links. Store them where they are read more than once: finding them is the costly part."""
     return harvest.harvest_links(pages(spark, sf_dir), ANY_LINK)

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from saldo.operators import entities, harvest
 
 PHRASE, PART = "no match found", "/id/"
@@ -79,14 +81,15 @@ def test_manifest(spark):
 
 def test_references_and_elements_that_are_not_closed(spark):
     pages = [
-        "<h1>O&apos;Brien &#146;x &amp y &copy &notanentity; &eacute;</h1>",
+        "<h1>O&apos;Brien &#146;x &amp y &copy &bogus; &notanentity; &eacute;</h1>",
         "<title>T</title><h1>Open heading<p>text</p>",
         "<title>T</title><script>hidden <h1>no</h1>",
         "<h1>&amp;lt; &nbsp; </h1>",
     ]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "n int, html string")
     got = [r["name"] for r in entities.read_names(df, "n").orderBy("n").collect()]
-    assert got == ["O'Brien \u2019x & y \u00a9 &notanentity; \u00e9", "Open heading", "T", "&lt;"]
+    # Old names count without a semicolon, also as the start of a longer word.
+    assert got == ["O'Brien \u2019x & y \u00a9 &bogus; \u00acanentity; \u00e9", "Open heading", "T", "&lt;"]
 
 
 def test_numbers_without_a_search_have_its_address(spark):
@@ -94,3 +97,40 @@ def test_numbers_without_a_search_have_its_address(spark):
     none = spark.createDataFrame([], "vm_number string, url string, html string")
     row = entities.classify(keys, none, none, "none", "/d", "http://r/s?q={number}&x=1").first()
     assert (row["status"], row["url"]) == ("error: no search capture", "http://r/s?q=12&x=1")
+
+
+def unread(captures, *numbers):
+    """Captures of which those of some numbers fail when they are read."""
+    failing = F.when(F.col("vm_number").isin(*numbers), F.raise_error(F.lit("a known page was read"))).otherwise(F.col("html"))
+    return captures.withColumn("html", failing)
+
+
+def test_only_pages_of_new_numbers_are_read(spark, captures, tmp_path):
+    keys, searches, details = captures
+    path = str(tmp_path / "table")
+    some = keys.where("vm_number in ('1', '3')")
+    assert entities.append_new(some, path, searches, details, PHRASE, PART) == 2
+    watched = unread(searches, "1", "3"), unread(details, "1", "3")
+    assert entities.append_new(keys, path, *watched, PHRASE, PART) == 4
+    every = unread(searches, *PAGES), unread(details, *PAGES)
+    assert entities.append_new(keys, path, *every, PHRASE, PART) == 0
+    want = {tuple(r) for r in entities.classify(keys, searches, details, PHRASE, PART).collect()}
+    assert {tuple(r) for r in entities.read_entities(spark, path).collect()} == want
+
+
+@pytest.mark.parametrize("most_sent", [1_000_000, 2])
+def test_captures_in_folders(spark, captures, tmp_path, monkeypatch, most_sent):
+    monkeypatch.setattr(entities, "MOST_SENT", most_sent)
+    keys, searches, details = captures
+    stores = [entities.CaptureStore(str(tmp_path / n), 8) for n in ("s", "d")]
+    assert stores[0].of(keys).count() == 0
+    for store, rows in zip(stores, (searches, details)):
+        store.add(rows.where("vm_number < '3'"))
+        store.add(rows.where("vm_number >= '3'"))
+    one = stores[0].of(keys.where("vm_number = '4'"))
+    assert "PartitionFilters: [bucket" in one._jdf.queryExecution().toString()
+    assert one.where("vm_number = '4'").count() == 1 and one.count() < searches.count()
+    path = str(tmp_path / "table")
+    assert [entities.append_new(k, path, *stores, PHRASE, PART) for k in (keys.limit(2), keys, keys)] == [2, 4, 0]
+    want = {tuple(r) for r in entities.classify(keys, searches, details, PHRASE, PART).collect()}
+    assert {tuple(r) for r in entities.read_entities(spark, path).collect()} == want

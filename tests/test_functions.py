@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 from decimal import Decimal
+from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pytest
@@ -113,8 +115,10 @@ def test_links_are_distinct_and_in_order(spark):
     assert got == [["http://h.org/b/download/x.csv", "http://h.org/a/download/y.csv"]]
 
 
-def shown(function):
-    return lambda c: function(html.visible(c))
+def facts(spark, pages, **options):
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "n int, html string")
+    rows = df.select("n", html.page_facts(F.col("html"), **options).alias("f")).orderBy("n").select("f.*").collect()
+    return [tuple(r) for r in rows]
 
 
 def test_entity_name(spark):
@@ -124,20 +128,102 @@ def test_entity_name(spark):
         "<script>var h='<h1>no</h1>'</script><!-- <h1>no</h1> --><h1 class='x'>J&oacute;n &#254;&#xF0; &amp;lt; &unknown;</h1>",
         "<p>none</p>",
         None,
+        "<h1><div>In a block</div></h1><p>after</p>",
+        "<h1>Open<p>text<h1>Next</h1>",
+        "",
+    ]
+    assert [r[0] for r in facts(spark, given)] == [
+        "AB", "T & U", "Jón þð &lt; &unknown;", None, None, "In a block", "Open", None,
     ]
-    assert cells(spark, given, shown(html.entity_name)) == ["AB", "T & U", "Jón þð &lt; &unknown;", None, None]
 
 
 def test_page_text(spark):
     page = "<html><style>x{}</style><p> one </p>\n<p>two&nbsp;<b>three</b></p> a < b &amp; c<!-- gone --></html>"
-    assert cells(spark, [page], shown(html.page_text)) == ["one two three a < b & c"]
+    assert html.PageReader().read(page).text() == "one two three a < b & c"
+    assert [r[2] for r in facts(spark, [page, page.upper(), "x", None], phrase="Three A < B")] == [True, True, False, None]
 
 
 def test_first_href(spark):
-    page = "<a name=x>no</a><a href='/q?a=1&amp;b=2'>1</a><a class=y href=/d/unit/5>2</a><a href=\"/d/unit/6\">3</a>"
-    assert cells(spark, [page], shown(lambda c: html.first_href(c, "/d/unit/"))) == ["/d/unit/5"]
-    assert cells(spark, [page], shown(lambda c: html.first_href(c, "a=1&b"))) == ["/q?a=1&b=2"]
-    assert cells(spark, [page], shown(lambda c: html.first_href(c, "/none"))) == [None]
+    page = "<a name=x>no</a><a href='/q?a=1&amp;b=2'>1</a><a class=y href=/d/unit/5>2</a><a href=\"/d/unit/6\">3</a><a href>4</a>"
+    for part, want in (("/d/unit/", "/d/unit/5"), ("a=1&b", "/q?a=1&b=2"), ("/none", None)):
+        assert facts(spark, [page], part=part)[0][1] == want
+
+
+class Events(HTMLParser):
+    """All events of a page, with runs of text as one."""
+
+    def __init__(self):
+        super().__init__()
+        self.seen = []
+
+    def handle_starttag(self, tag, attrs):
+        self.seen.append(("start", tag, dict(reversed(attrs)).get("href") if tag == "a" else None))
+
+    def handle_endtag(self, tag):
+        self.seen.append(("end", tag))
+
+    def handle_data(self, data):
+        if self.seen and self.seen[-1][0] == "data":
+            data = self.seen.pop()[1] + data
+        self.seen.append(("data", data))
+
+    def handle_comment(self, data):
+        self.seen.append(("other",))
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
+
+def expected(page):
+    """Findings of a page by searching its list of events."""
+    parser = Events()
+    parser.feed(page)
+    parser.close()
+    shown, hidden = [], []
+    for event in parser.seen:
+        if event[0] == "start" and event[1] in html.HIDDEN:
+            hidden.append(event[1])
+        elif hidden:
+            if event == ("end", hidden[-1]):
+                hidden.pop()
+                shown.append(("other",))
+        else:
+            shown.append(event)
+
+    def words(events):
+        joined = []
+        for e in events:
+            if e[0] == "data":
+                joined.append(e[1].strip())
+        return [w for w in joined if w]
+
+    def element(tag):
+        starts = [i for i, e in enumerate(shown) if e[:2] == ("start", tag)]
+        if not starts:
+            return ""
+        rest = shown[starts[0] + 1 :]
+        ends = [i for i, e in enumerate(rest) if e == ("end", tag)]
+        again = [i for i, e in enumerate(rest) if e[:2] == ("start", tag)]
+        if ends and (not again or ends[0] < again[0]):
+            return "".join(words(rest[: ends[0]]))
+        blocks = [i for i, e in enumerate(rest) if e[0] in ("start", "end") and e[1] in html.BLOCK]
+        stop = min(blocks[:1] + again[:1], default=len(rest))
+        return "".join(words(rest[:stop]))
+
+    hrefs = [e[2] for e in shown if e[:2] == ("start", "a") and e[2] is not None]
+    return element("h1") or element("title") or None, " ".join(words(shown)), hrefs
+
+
+def test_fuzzed_pages():
+    parts = [
+        "<h1>", "</h1>", "<title>", "</title>", "<p>", "</p>", "<b>", "</b>", "<div>", "<br/>", "<a href='/x?a&amp;b'>", "<a href=y>", "</a>", "<a>",
+        "<script>", "</script>", "<style>", "</style>", "<template>", "</template>", "<!--", "-->", "<!doctype html>", "<?pi>", "&amp;", "&amp", "&#65;",
+        "&nbsp;", "&bogus;", "<", ">", "&", " ", "\n", "word", "é", "'", '"', "</", "<!",
+    ]
+    rng = random.Random(5)
+    for _ in range(3000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        read = html.PageReader().read(page)
+        assert (read.name(), read.text(), read.hrefs) == expected(page), page
 
 
 def test_wide_amounts_are_kept_and_too_wide_ones_are_errors(spark):
