@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from saldo.functions.numbers import measure as amount_of
 from saldo.operators.filters import apply_filters
-from saldo.operators.ordering import Page, page, tie_break, top_by_abs
+from saldo.operators.ordering import Page, Pager, page, spread_sort, top_by_abs
 
 
 def yearly_sum(df: DataFrame, scope: Mapping[str, object], measure: str = "raun", scale: int = 2) -> DataFrame:
@@ -54,12 +54,16 @@ def records(
     return page(_scope_rows(df, scope, columns, year), ["-year"], number, size)
 
 
+def record_pager(df: DataFrame, scope: Mapping[str, object], columns: Sequence[str], year: int | str | None = None) -> Pager:
+    """The rows in scope for going through page by page."""
+    return Pager(_scope_rows(df, scope, columns, year))
+
+
 def export_scope(
     df: DataFrame, scope: Mapping[str, object], columns: Sequence[str], year: int | str | None = None
 ) -> DataFrame:
     """All rows in scope, latest year first (a range-partitioned sort, ready to be written)."""
-    rows = _scope_rows(df, scope, columns, year)
-    return rows.orderBy(*tie_break(rows, [F.desc_nulls_last("year")]))
+    return spread_sort(_scope_rows(df, scope, columns, year), [F.desc_nulls_last("year")])
 
 
 def scope_rows(

@@ -341,6 +341,12 @@ OFFSET (SELECT greatest(CAST(ceil(count(*) / 100.0) AS BIGINT), 1) * 100 - 100 F
     "middle_page": with_(LEDGER) + f"""
 SELECT {SCOPE_LIST} FROM ledger ORDER BY {SCOPE_ORDER} LIMIT 100
 OFFSET (SELECT least(9900, greatest(CAST(ceil(count(*) / 100.0) AS BIGINT), 1) * 100 - 100) FROM ledger)""",
+    "indexed_pages": with_(LEDGER) + f""",
+placed AS (
+  SELECT {SCOPE_LIST}, CAST((row_number() OVER (ORDER BY {SCOPE_ORDER}) - 1) // 50 + 1 AS INTEGER) AS page,
+         CAST((count(*) OVER () + 49) // 50 AS INTEGER) AS pages FROM ledger
+)
+SELECT * FROM placed WHERE page IN (1, 123, pages)""",
     "scope_export": with_(LEDGER) + f"""
 SELECT {SCOPE_LIST} FROM ledger WHERE tegund0 = 'STANDARD' AND samtala0 = 'NATION_7'""",
     "scope_rows": with_(LEDGER) + f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,12 +41,17 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def _plain(path: str) -> str:
+    """A path with one way to write a local file."""
+    return re.sub("^file:/*(?=/)", "", path)
+
+
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the files of stored frames that nothing reads any more."""
     jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = shared_folder(spark)
+    root = _plain(shared_folder(spark)) + "/"
     for frame in frames:
         for folder in {name.rsplit("/", 1)[0] for name in frame.inputFiles()}:
-            if folder.startswith(root) or folder.startswith(f"file://{root}"):
+            if _plain(folder).startswith(root):
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(hadoop).delete(path, True)

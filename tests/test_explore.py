@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import os
+from urllib.parse import unquote
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +108,36 @@ def test_deep_page_of_equal_rows(spark):
     assert rows(ordering.page(df, ["a"], 20, 25).rows) == [(1,)] * 25
 
 
+def test_pages_of_one_index(spark):
+    df = spark.range(4000).select((F.col("id") % 50).alias("a"), F.lit("x").alias("row"), (-F.col("id")).alias("part"))
+    pager = ordering.Pager(df)
+    want = sorted((tuple(r) for r in df.collect()), key=lambda r: (-r[0], r[1], r[2]))
+    plans = []
+    for number in (1, 3, 40, 41, 99):
+        page = pager.page(["-a"], number, 100)
+        at = min(number, 40) - 1
+        assert rows(page.rows) == want[at * 100 : at * 100 + 100] and (page.pages, page.total) == (40, 4000)
+        plans.append(page.rows._jdf.queryExecution().executedPlan().toString())
+    assert all("Exchange" not in p.replace("Coalesce", "") and "PartitionFilters: [isnotnull(part" in p for p in plans)
+    parts = page.rows.inputFiles()
+    assert rows(pager.page(["part"], 1, 25).rows)[0][2] == -3999
+    pager.replace(df.limit(10))
+    assert not any(os.path.exists(unquote(f.removeprefix("file://"))) for f in parts)
+    assert pager.page(["-a"], 1).total == 10
+    pager.close()
+
+
+def test_equal_rows_are_spread_over_parts(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 100).alias("a"), F.lit(1).alias("row_number"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = ordering.spread_sort(df.repartition(8), [F.desc("a")])
+        sizes = [len(part) for part in out.rdd.glom().collect()]
+        assert out.columns == df.columns and sum(sizes) == 20_000 and max(sizes) < 2 * 20_000 / len(sizes)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_mixed_sort(spark):
     given = ["b", "1.200", "12,5%", "A", "", "-3", "1,2,3", "7 %", "9e2"]
     df = spark.createDataFrame([(v,) for v in given], "v string")
