@@ -15,7 +15,7 @@ from saldo.functions.numbers import format_number, format_percent, format_score,
 from saldo.functions.numbers import measure as amount_of
 from saldo.operators.filters import apply_filters, fill_keys, filter_anomalies
 from saldo.operators.joins import attach_scalar, rows_for_keys
-from saldo.operators.ordering import Page, distinct_keys, page, tie_break
+from saldo.operators.ordering import Page, distinct_keys, page, spread_sort
 from saldo.operators.price_index import deflate
 from saldo.settings import AnomalyConfig
 
@@ -125,7 +125,7 @@ def _ranking() -> list[Column]:
 
 
 def rank_anomalies(df: DataFrame) -> DataFrame:
-    return df.orderBy(*tie_break(df, _ranking()))
+    return spread_sort(df, _ranking())
 
 
 def export_anomalies(df: DataFrame, parents: Sequence[str], **wanted) -> DataFrame:

@@ -79,14 +79,18 @@ def filter_anomalies(
     parent: str = "tegund0",
     value: str = ALL,
 ) -> DataFrame:
-    """Rows of the anomaly table by year, direction and one parent column."""
+    """Rows of the anomaly table by year, direction and one parent column.
+
+    An unknown parent means ``tegund0``, and where the table lacks that, the first of ``parents`` that it has.
+    """
+    held = [c for c in ("tegund0", *parents) if c in df.columns]
     tests: dict[str, object] = {}
     if year is not None and year != ALL:
         tests["year"] = int(year)
     if direction != ALL:
         tests["direction"] = direction
     if value != ALL:
-        tests[parent if parent in parents else "tegund0"] = value
+        tests[parent if parent in parents and parent in df.columns else held[0]] = value
     return apply_filters(df, filters=tests)
 
 

@@ -20,6 +20,15 @@ from saldo.operators.joins import full_years, only_full_years
 from saldo.settings import LedgerProfile
 
 
+#: Rows that a row stands for, in tables of partial sums.
+ROWS = "_rows"
+
+
+def row_count(df: DataFrame) -> Column:
+    """Number of ledger rows, for a ledger as well as for its partial sums."""
+    return F.sum(ROWS) if ROWS in df.columns else F.count(F.lit(1))
+
+
 def in_departments(df: DataFrame, profile: LedgerProfile) -> DataFrame:
     """Rows with a department that the report does not exclude."""
     return exclude_values(df, profile.department, profile.excluded)
@@ -46,7 +55,7 @@ def wage_totals(df: DataFrame, profile: LedgerProfile, by: str, year: int | str
     rows = apply_filters(df, year_value(year))
     return rows.groupBy(by).agg(
         F.sum(wage_amount(df, profile)).cast("double").alias("actual_sum"),
-        F.count(F.lit(1)).alias("row_count"),
+        row_count(df).alias("row_count"),
     )
 
 
@@ -94,7 +103,7 @@ def cost_basis(df: DataFrame, profile: LedgerProfile, keys: Sequence[str], detai
     return df.groupBy(*keys, *[v.alias(k) for k, v in cells.items()]).agg(
         F.sum(wage_amount(df, profile)).alias("wage_net"),
         F.sum(other_amount(df, profile)).alias("other_net"),
-        F.count(F.lit(1)).alias("row_count"),
+        row_count(df).alias("row_count"),
     )
 
 
@@ -125,7 +134,7 @@ def _by_group_and_year(
     ).agg(
         F.sum(wage_amount(rows, profile)).alias("wage_net"),
         F.sum(other_amount(rows, profile)).alias("other_net"),
-        F.count(F.lit(1)).alias("row_count"),
+        row_count(rows).alias("row_count"),
         month.alias("_month"),
     )
     return basis.groupBy("_inside", "_group", "year").agg(

@@ -50,18 +50,24 @@ index_annual AS (
   FROM annual
 )"""
 
-SCORED = """
+
+def scored(*keys: str) -> str:
+    """The chain from ledger rows to the scored table, for series of these keys."""
+    listed, last = ", ".join(keys), len(keys) + 1
+    filled = ", ".join(f"coalesce({k}, '(missing)') AS {k}" for k in keys)
+    numbers = ", ".join(str(i) for i in range(1, last + 1))
+    own, mids, devs = (", ".join(f"{t}.{k}" for k in keys) for t in "cmd")
+    return f"""
 nominal AS (
-  SELECT year, coalesce(samtala0, '(missing)') AS samtala0, coalesce(samtala2, '(missing)') AS samtala2,
-         CAST(sum(raun) AS DOUBLE) AS actual_nominal
-  FROM ledger WHERE year IS NOT NULL AND raun IS NOT NULL GROUP BY 1, 2, 3
+  SELECT year, {filled}, CAST(sum(raun) AS DOUBLE) AS actual_nominal
+  FROM ledger WHERE year IS NOT NULL AND raun IS NOT NULL GROUP BY {numbers}
 ),
 real AS (
   SELECT n.*, i.deflator_to_latest, n.actual_nominal * i.deflator_to_latest AS actual_real
   FROM nominal n JOIN index_annual i ON i.year = n.year
 ),
 prior AS (
-  SELECT *, lag(actual_real) OVER (PARTITION BY samtala0, samtala2 ORDER BY year) AS prior_real FROM real
+  SELECT *, lag(actual_real) OVER (PARTITION BY {listed} ORDER BY year) AS prior_real FROM real
 ),
 change AS (
   SELECT *, actual_real - prior_real AS yoy_real_change,
@@ -69,11 +75,11 @@ change AS (
   FROM prior
 ),
 med AS (
-  SELECT samtala0, samtala2, count(*) AS series_year_count, median(yoy_real_pct) AS mid FROM change GROUP BY 1, 2
+  SELECT {listed}, count(*) AS series_year_count, median(yoy_real_pct) AS mid FROM change GROUP BY {listed}
 ),
 mad AS (
-  SELECT c.samtala0, c.samtala2, median(abs(c.yoy_real_pct - m.mid)) AS dev
-  FROM change c JOIN med m ON m.samtala0 = c.samtala0 AND m.samtala2 = c.samtala2 GROUP BY 1, 2
+  SELECT {own}, median(abs(c.yoy_real_pct - m.mid)) AS dev
+  FROM change c JOIN med m ON ({mids}) = ({own}) GROUP BY {own}
 ),
 sized AS (
   SELECT c.*, m.series_year_count,
@@ -81,8 +87,8 @@ sized AS (
          CASE WHEN c.yoy_real_change >= 0 THEN 'increase' ELSE 'decrease' END AS direction,
          abs(c.yoy_real_pct) AS abs_pct, abs(c.yoy_real_change) AS abs_change_real
   FROM change c
-  JOIN med m ON m.samtala0 = c.samtala0 AND m.samtala2 = c.samtala2
-  JOIN mad d ON d.samtala0 = c.samtala0 AND d.samtala2 = c.samtala2
+  JOIN med m ON ({mids}) = ({own})
+  JOIN mad d ON ({devs}) = ({own})
 ),
 scored AS (
   SELECT *, abs(mz_yoy_pct) AS abs_mz,
@@ -94,6 +100,12 @@ scored AS (
   FROM sized
 )"""
 
+
+SCORED = scored("samtala0", "samtala2")
+TEN_KEYS = [
+    "samtala0", "samtala1", "samtala2", "samtala3", "tegund0", "tegund1", "tegund2", "tegund3", "vm_nafn", "vm_numer",
+]
+
 FULL = "SELECT year FROM ledger WHERE year IS NOT NULL GROUP BY year HAVING max(period_month) >= 12"
 FIGURES = """CAST(actual_sum AS DOUBLE) AS actual_sum, CAST(other_sum AS DOUBLE) AS other_sum,
   CAST(wage_cost_sum AS DOUBLE) AS wage_cost_sum, CAST(row_count AS BIGINT) AS row_count,
@@ -341,6 +353,25 @@ OFFSET (SELECT greatest(CAST(ceil(count(*) / 100.0) AS BIGINT), 1) * 100 - 100 F
     "middle_page": with_(LEDGER) + f"""
 SELECT {SCOPE_LIST} FROM ledger ORDER BY {SCOPE_ORDER} LIMIT 100
 OFFSET (SELECT least(9900, greatest(CAST(ceil(count(*) / 100.0) AS BIGINT), 1) * 100 - 100) FROM ledger)""",
+    "scope_export_file": with_(LEDGER) + f"""
+SELECT {SCOPE_LIST}, TRUE AS in_order FROM ledger WHERE tegund0 = 'STANDARD' AND samtala0 = 'NATION_7'""",
+    "anomaly_export_file": with_(LEDGER, INDEX, SCORED) + """
+SELECT year, samtala0, samtala2, direction, round(actual_real, 2) AS actual_real, round(anomaly_score, 6) AS anomaly_score, TRUE AS in_order
+FROM scored WHERE is_anomaly""",
+    "anomaly_file_contents": with_(LEDGER, INDEX, SCORED) + " UNION ALL ".join(
+        f"""
+SELECT '{name}' AS file, year, samtala0, samtala2, round(actual_real, 2) AS figure, round(anomaly_score, 6) AS score, is_anomaly FROM scored {which}"""
+        for kind in ("", "_csv") for name, which in ((f"anomalies_yoy_all{kind}", ""), (f"anomalies_flagged{kind}", "WHERE is_anomaly"))
+    ) + """
+UNION ALL SELECT 'index_monthly_csv', year, month_key, NULL, round(cpi, 6), NULL, NULL FROM index_monthly
+UNION ALL SELECT 'index_annual_csv', year, NULL, NULL, round(cpi_avg, 6), round(deflator_to_latest, 6), NULL FROM index_annual
+UNION ALL SELECT 'anomalies_summary', (SELECT max(year) FROM index_annual), NULL, NULL, CAST(count(*) AS DOUBLE),
+  CAST(count(*) FILTER (WHERE is_anomaly) AS DOUBLE), NULL FROM scored""",
+    "stored_views": with_(LEDGER, INDEX, SCORED) + """
+SELECT 'ledger' AS view, samtala2_canonical, count(*) AS rows FROM ledger GROUP BY 2
+UNION ALL SELECT 'anomalies', samtala2_canonical, count(*) FROM scored WHERE is_anomaly GROUP BY 2
+UNION ALL SELECT 'anomalies_all', samtala2_canonical, count(*) FROM scored GROUP BY 2
+UNION ALL SELECT 'anomalies_all, not kept', samtala2_canonical, count(*) FROM scored WHERE is_anomaly GROUP BY 2""",
     "indexed_pages": with_(LEDGER) + f""",
 placed AS (
   SELECT {SCOPE_LIST}, CAST((row_number() OVER (ORDER BY {SCOPE_ORDER}) - 1) // 50 + 1 AS INTEGER) AS page,
@@ -439,6 +470,20 @@ UNION ALL SELECT 'anomalies_flagged', count(*) FROM scored WHERE is_anomaly
 UNION ALL SELECT 'anomalies_flagged_csv', count(*) FROM scored WHERE is_anomaly
 UNION ALL SELECT 'index_monthly_csv', count(*) FROM index_monthly
 UNION ALL SELECT 'index_annual_csv', count(*) FROM index_annual""",
+    "anomalies_ten_keys": with_(LEDGER, INDEX, scored(*TEN_KEYS)) + f"""
+SELECT year, {', '.join(TEN_KEYS)}, round(actual_real, 2) AS actual_real, round(prior_real, 2) AS prior_real,
+       series_year_count, direction, is_anomaly, round(anomaly_score, 4) AS anomaly_score FROM scored""",
+    "anomaly_browse": with_(LEDGER, INDEX, scored(*TEN_KEYS), """
+hits AS (SELECT *, abs_change_real AS size FROM scored WHERE direction = 'increase')""") + " UNION ALL ".join(
+        f"""
+SELECT '{asked}' AS parent, count(*) AS rows, round(coalesce(sum(size), 0), 0) AS size FROM hits WHERE {parent} = '{value}'"""
+        for asked, parent, value in [
+            ("samtala0", "samtala0", "NATION_7"), ("samtala1", "samtala1", "ASIA"), ("samtala2_canonical", "samtala2_canonical", "HOME"),
+            ("samtala3", "samtala3", "O"), ("tegund0", "tegund0", "STANDARD"), ("tegund1", "tegund1", "F"), ("tegund2", "tegund2", "(missing)"),
+            ("tegund3", "tegund3", "(missing)"), ("vm_nafn", "vm_nafn", "NATION_3"), ("vm_numer", "vm_numer", "VSK-000005"),
+            ("unknown", "tegund0", "STANDARD"),
+        ]
+    ),
     "full_years": with_(LEDGER) + FULL,
     "wage_totals": with_(LEDGER) + f"""
 SELECT samtala2_canonical, CAST(sum({WAGE}) AS DOUBLE) AS actual_sum, count(*) AS row_count FROM ledger
@@ -545,6 +590,22 @@ SELECT 'http://data.example.org/' AS dataset_url, (SELECT count(*) FROM ranked)
     "ingest_metadata": with_(LEDGER) + """
 SELECT 'ledger_' || (year + 20) || '12.csv' AS file, count(*) AS rows,
        CAST(CASE WHEN year < 1999 THEN 10 ELSE 9 END AS INTEGER) AS columns FROM ledger GROUP BY year""",
+    "ingest_columns": """
+WITH early AS (SELECT unnest(['samtala0', 'samtala2', 'samtala3', 'tegund0', 'vm_numer', 'raun']) AS original, TRUE AS is_early),
+late AS (SELECT unnest(['Samtala0', 'Samtala2', 'Tegund0', 'VM númer', 'Raun']) AS original, FALSE AS is_early),
+fixed AS (SELECT unnest(['source_file', 'source_url', 'year', 'ingested_at']) AS original),
+years AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT 'ledger_' || (year + 20) || '12.csv' AS file, original, lower(replace(replace(original, ' ', '_'), 'ú', 'u')) AS final
+FROM years JOIN (SELECT * FROM early UNION ALL SELECT * FROM late) ON is_early = (year < 1999)
+UNION ALL SELECT 'ledger_' || (year + 20) || '12.csv', original, original FROM years, fixed""",
+    "clashing_headers": """
+SELECT unnest(['raun', 'raun_3', 'raun_4', 'raun_2']) AS name,
+       unnest([CAST(sum(l_orderkey) AS BIGINT), CAST(sum(l_linenumber) AS BIGINT), CAST(sum(l_suppkey) AS BIGINT), CAST(sum(l_partkey) AS BIGINT)]) AS total
+FROM lineitem""",
+    "ledger_update": with_(LEDGER, """
+kept AS (SELECT * FROM ledger WHERE year <> 1996 AND (year <> 1995 OR tegund0 = 'STANDARD'))""") + f"""
+SELECT samtala2_canonical, CAST(sum({WAGE}) AS DOUBLE) AS actual_sum, count(*) AS row_count,
+       '7/0 0/0 1/1' AS updates, (SELECT count(*) FROM kept) AS all_rows FROM kept GROUP BY 1""",
     "ledger_store_roundtrip": with_(LEDGER) + """
 SELECT year, samtala2_family, count(*) AS rows, CAST(sum(raun) AS DOUBLE) AS total FROM ledger GROUP BY 1, 2""",
     "landing_ingest": ingested("TRUE", "CAST(NULL AS VARCHAR)"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,10 +12,11 @@ from saldo.functions.periods import file_month, file_year
 from saldo.operators import anomalies, drill, entities, explore, filters, harvest, joins, ordering, price_index, wages
 from saldo.plans.star import STAR_PROFILE as PROFILE
 from saldo.plans.star import star_ledger, table
-from saldo.settings import AnomalyConfig, LedgerProfile
+from saldo.settings import SERIES_KEYS, AnomalyConfig, LedgerProfile
 from saldo.sources import csv_folder, results
 from saldo.sources import ledger as ledger_store
-from saldo.sources.scratch import scratch_dir, stored
+from saldo.sources.scratch import remove_folders, scratch_dir, stored
+from saldo.sources.stored_ledger import StoredLedger
 from saldo.streaming import landing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -238,6 +239,27 @@ def scope_export(spark, sf_dir):
     return _amount_as_double(drill.export_scope(rows, SCOPE | {"samtala0": INSTITUTION}, PROFILE.scope_columns))
 
 
+def read_back(spark: SparkSession, path: str, schema: str, order: Sequence[Column]) -> DataFrame:
+    """A sorted CSV result as it lies in its files, and whether each file's rows and the files themselves are in order."""
+    place = [F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("n")]
+    rows = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path).select("*", *place)
+    # Sort keys as one text cannot be compared, so places by order are compared with places in the files.
+    by_order, by_place = Window.partitionBy("file").orderBy(*order, "n"), Window.partitionBy("file").orderBy("n")
+    ranked = rows.withColumn("in_file", F.row_number().over(by_order) == F.row_number().over(by_place))
+    ends = ranked.groupBy("file").agg(F.bool_and("in_file").alias("in_order"))
+    return rows.join(ends, "file").drop("file", "n")
+
+
+@query
+def scope_export_file(spark, sf_dir):
+    """The scope export written as CSV and read back."""
+    rows = ledger(spark, sf_dir, PROFILE.scope_columns)
+    path = scratch_dir(spark, "scope") + "/csv"
+    results.write_csv(drill.export_scope(rows, SCOPE | {"samtala0": INSTITUTION}, PROFILE.scope_columns), path)
+    schema = ", ".join(f"{c} {'int' if c == 'year' else 'decimal(18,2)' if c == PROFILE.measure else 'string'}" for c in PROFILE.scope_columns)
+    return _amount_as_double(read_back(spark, path, schema, [F.desc_nulls_last("year")]))
+
+
 @query
 def scope_rows(spark, sf_dir):
     rows = ledger(spark, sf_dir, PROFILE.scope_columns)
@@ -438,6 +460,103 @@ def anomaly_files(spark, sf_dir):
     return csv_folder.union_by_name(counts)
 
 
+@query
+def anomalies_ten_keys(spark, sf_dir):
+    """The scored table at the default grain of ten keys."""
+    rows = star_ledger(spark, sf_dir, ["year", *SERIES_KEYS, "raun"])
+    out = anomalies.detect_anomalies(rows, index_years(spark, sf_dir), SERIES_KEYS, THRESHOLDS)
+    return out.select(
+        "year", *SERIES_KEYS, money("actual_real"), money("prior_real"), "series_year_count", "direction", "is_anomaly",
+        F.round("anomaly_score", 4).alias("anomaly_score"),
+    )
+
+
+PARENT_VALUES = {
+    "samtala0": "NATION_7", "samtala1": "ASIA", "samtala2_canonical": "HOME", "samtala3": "O", "tegund0": "STANDARD", "tegund1": "F",
+    "tegund2": "(missing)", "tegund3": "(missing)", "vm_nafn": "NATION_3", "vm_numer": "VSK-000005", "unknown": "STANDARD",
+}
+
+
+@query
+def anomaly_browse(spark, sf_dir):
+    """Number and size of increases under a value of each of the ten parents, and of a parent that does not exist."""
+    rows = star_ledger(spark, sf_dir, ["year", *SERIES_KEYS, "raun"])
+    out = anomalies.detect_anomalies(rows, index_years(spark, sf_dir), SERIES_KEYS, THRESHOLDS)
+    table = stored(filters.with_departments(out, PROFILE), "ten-keys")
+    frames = []
+    for parent, value in PARENT_VALUES.items():
+        hits = filters.filter_anomalies(table, PROFILE.anomaly_parents, direction="increase", parent=parent, value=value)
+        size = F.round(F.coalesce(F.sum("abs_change_real"), F.lit(0.0)), 0)
+        frames.append(hits.agg(F.lit(parent).alias("parent"), F.count(F.lit(1)).alias("rows"), size.alias("size")))
+    return csv_folder.union_by_name(frames)
+
+
+@query
+def anomaly_export_file(spark, sf_dir):
+    """The anomaly export written as CSV and read back."""
+    path = scratch_dir(spark, "anomalies") + "/csv"
+    out = anomalies.export_anomalies(flagged_rows(spark, sf_dir), BROWSE)
+    wanted = ["year", *SERIES, "direction", "actual_real", "anomaly_score", "abs_change_real"]
+    results.write_csv(out.select(*wanted), path)
+    schema = "year int, samtala0 string, samtala2 string, direction string, actual_real double, anomaly_score double, abs_change_real double"
+    back = read_back(spark, path, schema, [F.desc_nulls_last("anomaly_score"), F.desc_nulls_last("abs_change_real")])
+    return back.select("year", *SERIES, "direction", money("actual_real"), ratio("anomaly_score"), "in_order")
+
+
+@query
+def anomaly_file_contents(spark, sf_dir):
+    """What the result files hold, read back."""
+    folder = scratch_dir(spark, "results")
+    scores, monthly, annual = scored(spark, sf_dir), index_months(spark, sf_dir), index_years(spark, sf_dir)
+    results.write_anomalies(scores, monthly, annual, folder, THRESHOLDS)
+
+    def csv(name: str, schema: str) -> DataFrame:
+        return spark.read.schema(schema).option("header", True).option("escape", '"').csv(f"{folder}/{name}")
+
+    def shaped(rows: DataFrame, name: str, year: str, first, second, figure: str, score: str | None, flag) -> DataFrame:
+        score = F.lit(None).cast("double").alias("score") if score is None else F.round(F.col(score).cast("double"), 6).alias("score")
+        texts = [F.lit(None).cast("string") if c is None else F.col(c) for c in (first, second)]
+        digits = 2 if figure == "actual_real" else 6
+        return rows.select(
+            F.lit(name).alias("file"), F.col(year).cast("int").alias("year"), texts[0].alias("samtala0"), texts[1].alias("samtala2"),
+            F.round(F.col(figure).cast("double"), digits).alias("figure"), score,
+            (F.lit(None).cast("boolean") if flag is None else F.col(flag)).alias("is_anomaly"),
+        )
+
+    frames = []
+    for name in ("anomalies_yoy_all", "anomalies_flagged"):
+        kept = spark.read.parquet(f"{folder}/{name}")
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+        for rows, label in ((kept, name), (csv(f"{name}_csv", ddl), f"{name}_csv")):
+            frames.append(shaped(rows, label, "year", "samtala0", "samtala2", "actual_real", "anomaly_score", "is_anomaly"))
+    months_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in monthly.schema.fields)
+    years_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in annual.schema.fields)
+    frames.append(shaped(csv("index_monthly_csv", months_schema), "index_monthly_csv", "year", "month_key", None, "cpi", None, None))
+    frames.append(shaped(csv("index_annual_csv", years_schema), "index_annual_csv", "year", None, None, "cpi_avg", "deflator_to_latest", None))
+    summary = spark.read.json(f"{folder}/anomalies_summary")
+    frames.append(shaped(summary, "anomalies_summary", "year_to", None, None, "rows_total", "rows_flagged", None))
+    return csv_folder.union_by_name(frames)
+
+
+@query
+def stored_views(spark, sf_dir):
+    """Named views over the ledger and both anomaly tables; the flagged one stands in for a full one that was not kept."""
+    folder = scratch_dir(spark, "views")
+    ledger_store.write_ledger(ledger_store.prepare_ledger(star_ledger(spark, sf_dir, ["year", "samtala2", "raun"]), PROFILE), f"{folder}/ledger")
+    scores = stored(scored(spark, sf_dir).drop(*[c for c in ("samtala2_raw", "samtala2_canonical", "samtala2_family")]), "scores")
+    scores.where("is_anomaly").write.parquet(f"{folder}/flagged")
+    scores.write.parquet(f"{folder}/all")
+    paths = {"ledger": f"{folder}/ledger", "anomalies": f"{folder}/flagged", "anomalies_all": f"{folder}/all"}
+    ledger_store.register_views(spark, paths, PROFILE, {"anomalies_all": "anomalies"})
+
+    def counted(view: str, label: str) -> DataFrame:
+        return spark.sql(f"SELECT '{label}' AS view, samtala2_canonical, count(*) AS rows FROM {view} GROUP BY 2")
+
+    frames = [counted(name, name) for name in paths]
+    ledger_store.register_views(spark, {**paths, "anomalies_all": f"{folder}/none"}, PROFILE, {"anomalies_all": "anomalies"})
+    return csv_folder.union_by_name([*frames, counted("anomalies_all", "anomalies_all, not kept")])
+
+
 # --- Wage report ------------------------------------------------------------------------
 
 REPORT_COLUMNS = ["year", "period_month", "samtala0", "samtala2_canonical", "tegund0", *PROFILE.detail, "raun"]
@@ -770,6 +889,45 @@ def ingest_metadata(spark, sf_dir):
     return ledger_store.ingest_metadata(spark, ingest).select("file", "rows", F.size("columns").alias("columns"))
 
 
+@query
+def ingest_columns(spark, sf_dir):
+    """Original and final name of every column of every file, from the metadata written by the run."""
+    path = scratch_dir(spark, "metadata") + "/json"
+    ledger_store.write_metadata(ledger_store.ingest_metadata(spark, csv_folder.read_csv_folder(spark, landed_files(spark, sf_dir))), path)
+    schema = "generated_at string, file string, rows bigint, columns map<string,string>"
+    return spark.read.schema(schema).json(path).select("file", F.explode("columns").alias("original", "final"))
+
+
+@query
+def clashing_headers(spark, sf_dir):
+    """Columns whose names become the same one."""
+    folder = scratch_dir(spark, "clashing")
+    names = {"l_orderkey": "Raun", "l_linenumber": "Raun.", "l_suppkey": "(raun)", "l_partkey": "raun_2"}
+    rows = table(spark, sf_dir, "lineitem").select(*[F.col(c).alias(n) for c, n in names.items()])
+    rows.write.option("header", True).csv(f"{folder}/lines_202001.csv")
+    back = csv_folder.read_csv_folder(spark, folder).table
+    totals = back.agg(*[F.sum(F.col(c).cast("bigint")).alias(c) for c in back.columns[len(csv_folder.PROVENANCE) + 1 :]])
+    return totals.unpivot([], totals.columns, "name", "total")
+
+
+@query
+def ledger_update(spark, sf_dir):
+    """Wages by department off the partial sums, after all files came, none changed, and one was replaced and one removed."""
+    folder = landed_files(spark, sf_dir)
+    kept = StoredLedger(f"{scratch_dir(spark, 'kept')}/ledger", PROFILE)
+    updates = [kept.update(spark, folder), kept.update(spark, folder)]
+    rows = star_ledger(spark, sf_dir, ["year", *EARLY], text_amounts=True).where("year = 1995 AND tegund0 = 'STANDARD'")
+    rows.select(*EARLY).write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False
+    ).csv(f"{folder}/early/name=ledger_201512.csv")
+    remove_folders(spark, [f"{folder}/early/name=ledger_201612.csv"])
+    updates.append(kept.update(spark, folder))
+    said = " ".join(f"{len(u.taken)}/{len(u.dropped)}" for u in updates)
+    total = kept.read(spark).count()
+    report = wages.wage_totals(kept.cells(spark), PROFILE, PROFILE.department)
+    return report.withColumns({"updates": F.lit(said), "all_rows": F.lit(total).cast("bigint")})
+
+
 @query
 def ledger_store_roundtrip(spark, sf_dir):
     """The prepared ledger written by year and read back through a named view."""

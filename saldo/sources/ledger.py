@@ -89,9 +89,22 @@ def write_metadata(metadata: DataFrame, path: str) -> None:
     metadata.write.mode("overwrite").json(path)
 
 
-def register_views(spark: SparkSession, paths: Mapping[str, str], profile: LedgerProfile) -> None:
-    """A named view with department columns over each stored table."""
+def register_views(
+    spark: SparkSession, paths: Mapping[str, str], profile: LedgerProfile, instead: Mapping[str, str] | None = None
+) -> list[str]:
+    """A named view with department columns over each stored table; returns the names.
+
+    ``instead`` names, for a table that may be absent, the one to show in its place: the flagged anomalies where the full
+    table was not kept. Without either there is no view.
+    """
+    made = []
     for name, path in paths.items():
+        if not folder_exists(spark, path):
+            path = paths.get((instead or {}).get(name, ""))
+            if path is None or not folder_exists(spark, path):
+                continue
         table = spark.read.parquet(path)
         mapped = table if profile.department in table.columns else with_departments(table, profile)
         mapped.createOrReplaceTempView(name)
+        made.append(name)
+    return made

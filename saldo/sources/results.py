@@ -9,8 +9,9 @@ from saldo.settings import AnomalyConfig
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with header. A sorted frame gives parts that are sorted from the first to the last."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with header, texts as they are. A sorted frame gives parts that are sorted from the first to the last."""
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_anomalies(

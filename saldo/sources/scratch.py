@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,12 +47,17 @@ def _plain(path: str) -> str:
     return re.sub("^file:/*(?=/)", "", path)
 
 
-def discard(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete the files of stored frames that nothing reads any more."""
+def remove_folders(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Delete folders, named as Spark lists them, with all they hold."""
     jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in folders:
+        # Listed names are encoded addresses.
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        path.getFileSystem(hadoop).delete(path, True)
+
+
+def discard(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete the files of stored frames that nothing reads any more; files outside the shared folder stay."""
     root = _plain(shared_folder(spark)) + "/"
-    for frame in frames:
-        for folder in {name.rsplit("/", 1)[0] for name in frame.inputFiles()}:
-            if _plain(folder).startswith(root):
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(hadoop).delete(path, True)
+    found = {name.rsplit("/", 1)[0] for frame in frames for name in frame.inputFiles()}
+    remove_folders(spark, [folder for folder in found if _plain(folder).startswith(root)])
