@@ -72,12 +72,28 @@ def _long(df: DataFrame, value: Mapping[str, Column], name: str) -> DataFrame:
     return texts.unpivot([], list(value), name, "value").filter(F.col("value").isNotNull())
 
 
+#: A column is sure to have too many values when its sketch says so many times the bound.
+SKETCH_MARGIN = 1.25
+
+
+def narrow_columns(df: DataFrame, columns: Sequence[str], most: int) -> list[str]:
+    """The columns that may have at most ``most`` values, by sketches of a few kilobytes a column and task."""
+    if not columns:
+        return []
+    estimates = [F.hll_sketch_estimate(F.hll_sketch_agg(F.col(c).cast("string"))).alias(c) for c in columns]
+    found = df.agg(*estimates).first()
+    return [c for c in columns if found[c] is not None and found[c] <= most * SKETCH_MARGIN]
+
+
 def category_profile(df: DataFrame, columns: Sequence[str], most: int = 200) -> DataFrame:
     """Distinct count of each candidate column, kept when it is above 1 and at most ``most``.
 
-    All columns are profiled in one scan; each task reduces to distinct values before the shuffle.
+    Wide columns are left out by their sketches first, so of a column of a billion values only sketches move. The others
+    are counted exactly in one scan; each task reduces to distinct values before the shuffle.
     """
-    present = [c for c in columns if c in df.columns]
+    present = narrow_columns(df, [c for c in dict.fromkeys(columns) if c in df.columns], most)
+    if not present:
+        return df.sparkSession.createDataFrame([], "category string, distinct_count bigint")
     pairs = _long(df, {c: F.col(c) for c in present}, "category").distinct()
     counts = pairs.groupBy("category").agg(F.count(F.lit(1)).alias("distinct_count"))
     return counts.filter((F.col("distinct_count") > 1) & (F.col("distinct_count") <= most)).orderBy("category")

@@ -417,6 +417,13 @@ SELECT year, samtala0, samtala2, round(prior_real, 2) AS prior_real, round(yoy_r
     ) + """
 SELECT year, n.samtala0 AS samtala0, round(CASE WHEN dev <> 0 THEN 0.6745 * (v - mid) / dev END, 6) AS z
 FROM n JOIN m ON m.samtala0 = n.samtala0 JOIN d ON d.samtala0 = n.samtala0""",
+    "robust_stats": with_(LEDGER, """
+x AS (SELECT tegund0, samtala3 AS second, 1 AS grain, CAST(raun AS DOUBLE) AS x FROM ledger
+      UNION ALL SELECT tegund0, samtala0, 2, CAST(raun AS DOUBLE) FROM ledger),
+m AS (SELECT grain, tegund0, second, median(x) AS mid FROM x GROUP BY ALL)""") + """
+SELECT x.tegund0 AS tegund0, x.second AS second, round(any_value(mid), 4) AS median, round(median(abs(x - mid)), 4) AS mad
+FROM x JOIN m ON x.grain = m.grain AND x.tegund0 = m.tegund0 AND x.second IS NOT DISTINCT FROM m.second
+GROUP BY x.grain, x.tegund0, x.second""",
     "anomalies_all": with_(LEDGER, INDEX, SCORED) + """
 SELECT year, samtala0, samtala2, samtala2_canonical, round(actual_real, 2) AS actual_real,
        round(prior_real, 2) AS prior_real, round(yoy_real_change, 2) AS yoy_real_change,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from saldo.functions import numbers
 from saldo.functions.periods import file_month, file_year
-from saldo.operators import anomalies, drill, entities, explore, filters, harvest, joins, ordering, price_index, wages
+from saldo.operators import anomalies, drill, entities, explore, filters, harvest, joins, ordering, price_index, selection, wages
 from saldo.plans.star import STAR_PROFILE as PROFILE
 from saldo.plans.star import star_ledger, table
 from saldo.settings import SERIES_KEYS, AnomalyConfig, LedgerProfile
@@ -385,6 +385,16 @@ def modified_zscore(spark, sf_dir):
     return out.select("year", "samtala0", ratio("z"))
 
 
+@query
+def robust_stats(spark, sf_dir):
+    """Median and median absolute deviation of all amounts by account group and institution, series above 300 rows narrowed down."""
+    rows = star_ledger(spark, sf_dir, ["tegund0", "samtala0", "samtala3", "raun"])
+    wide = selection.robust_stats(rows, ["tegund0", "samtala3"], "raun", long=300)
+    small = selection.robust_stats(rows, ["tegund0", "samtala0"], "raun", long=300)
+    frames = [f.select("tegund0", F.col(k).alias("second"), *[F.round(c, 4).alias(c) for c in ("median", "mad")]) for f, k in ((wide, "samtala3"), (small, "samtala0"))]
+    return csv_folder.union_by_name(frames)
+
+
 @query
 def anomalies_all(spark, sf_dir):
     return scored(spark, sf_dir).select(
