@@ -30,6 +30,9 @@ from saldo.llm.encoder import Encoder
 
 #: Rows of a batch that goes back to Spark.
 ROWS = 500
+#: What a worker remembers at most: transitions that were looked up, words, and pieces of text. They bound memory and
+#: change no result.
+HELD_ARCS, HELD_WORDS, HELD_PIECES = 2_000_000, 100_000, 450_000
 
 
 class MergeAutomaton:
@@ -122,36 +125,53 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
+class Labels:
+    """The labels of the arcs of a byte-level vocabulary: the bytes of each token."""
+
+    def __init__(self, vocab: dict[str, int], special: dict[str, int]):
+        symbols = _byte_symbols()
+        labels = {i: bytes(symbols[c] for c in t) for t, i in vocab.items()} | {i: t.encode() for t, i in special.items()}
+        parts = [labels.get(i, b"") for i in range(max(labels) + 1)]
+        self.sizes = np.array([len(p) for p in parts], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(parts), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The labels of the arcs, one after the other."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.bytes[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(total)].tobytes()
+
+
+def _specification(path: str) -> tuple[dict, dict[str, int]]:
+    """The model and the special tokens of a vocabulary file."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    return spec["model"], {x["content"]: x["id"] for x in spec["added_tokens"]}
+
+
 class ByteLevel:
     """A byte-level vocabulary file: words by the library's own splitting, ids by the automaton."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        model = spec["model"]
+        model, self.special = _specification(path)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.automaton = MergeAutomaton(model["vocab"], merges)
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.words: dict[str, list[int]] = {}
-        symbols = _byte_symbols()
-        labels = {i: bytes(symbols[c] for c in t) for t, i in model["vocab"].items()} | {i: t.encode() for t, i in self.special.items()}
-        parts = [labels.get(i, b"") for i in range(max(labels) + 1)]
-        self.label_sizes = np.array([len(p) for p in parts], np.int64)
-        self.label_starts = np.cumsum(self.label_sizes) - self.label_sizes
-        self.labels = np.frombuffer(b"".join(parts), np.uint8)
-        self.encoder = Encoder(lambda words: [self._ids(word) for word in words], spaced=True)
+        self.encoder = Encoder(lambda words: [self._ids(word) for word in words], spaced=True, held_pieces=HELD_PIECES)
 
     def _ids(self, text: str) -> list[int]:
         for content, number in self.special.items():
             if content in text:
                 parts = [self._ids(part) for part in text.split(content)]
                 return sum(([number, *part] for part in parts[1:]), parts[0])
-        if len(self.words) > 200_000:
+        if len(self.words) > HELD_WORDS:
             self.words.clear()
-        if len(self.automaton.table) > 2_000_000:
+        if len(self.automaton.table) > HELD_ARCS:
             self.automaton.table.clear()
         out: list[int] = []
         for word, _ in self.split(text):
@@ -163,13 +183,6 @@ class ByteLevel:
             out += ids
         return out
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The labels of the arcs, one after the other."""
-        sizes = self.label_sizes[ids]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.labels[np.repeat(self.label_starts[ids] - (ends - sizes), sizes) + np.arange(total)].tobytes()
-
 
 @cache
 def byte_level(path: str) -> ByteLevel:
@@ -177,39 +190,66 @@ def byte_level(path: str) -> ByteLevel:
     return ByteLevel(path)
 
 
+@cache
+def labels_of(path: str) -> Labels:
+    """Labels alone, for each worker process that decodes."""
+    model, special = _specification(path)
+    return Labels(model["vocab"], special)
+
+
 def _batches(columns: list[list], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(columns[0]), ROWS):
         yield pa.record_batch([pa.array(c[at : at + ROWS], f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Ids and token ids of documents (id, text), some at a time."""
+    encoder = byte_level(path).encoder
+    for batch in batches:
+        names, at = batch.column(0).to_pylist(), 0
+        for ids, counts in encoder.batches(t.as_py() for t in batch.column(1)):
+            edges = np.concatenate([[0], np.cumsum(counts)])
+            tokens = [ids[a:b].astype("<u4") for a, b in zip(edges, edges[1:], strict=False)]
+            yield names[at : at + len(tokens)], tokens
+            at += len(tokens)
+
+
+_IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+_BOTH = pa.schema([*_IDS, ("text", pa.string())])
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the ids of every whole text as little-endian unsigned 32-bit integers."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_level(path).encoder
-        for batch in batches:
-            names, at = batch.column(0).to_pylist(), 0
-            for ids, counts in encoder.batches(t.as_py() for t in batch.column(1)):
-                edges = np.concatenate([[0], np.cumsum(counts)])
-                raw = [ids[a:b].astype("<u4").tobytes() for a, b in zip(edges, edges[1:], strict=False)]
-                yield from _batches([names[at : at + len(raw)], raw], schema)
-                at += len(raw)
+        for names, tokens in _encoded(batches, path):
+            yield from _batches([names, [t.tobytes() for t in tokens]], _IDS)
 
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, "doc_id bigint, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, text): the text that the ids stand for, special tokens included."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = byte_level(path)
+        labels = labels_of(path)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 raw = part.column(1).to_pylist()
-                texts = [level.decode(np.frombuffer(ids or b"", "<u4")).decode("utf-8", "replace") for ids in raw]
-                yield pa.record_batch([part.column(0), pa.array(raw, pa.binary()), pa.array(texts, pa.string())], schema=schema)
+                texts = [labels.decode(np.frombuffer(ids or b"", "<u4")).decode("utf-8", "replace") for ids in raw]
+                yield pa.record_batch([part.column(0), pa.array(raw, pa.binary()), pa.array(texts, pa.string())], schema=_BOTH)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, text string")
+
+
+def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, text) as :func:`decode` after :func:`encode`, by one worker a core."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = labels_of(path)
+        for names, tokens in _encoded(batches, path):
+            texts = [labels.decode(t).decode("utf-8", "replace") for t in tokens]
+            yield from _batches([names, [t.tobytes() for t in tokens], texts], _BOTH)
+
+    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, "doc_id bigint, ids binary, text string")

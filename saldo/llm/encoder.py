@@ -43,8 +43,8 @@ def _gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.
 class Encoder:
     """Encodes texts with a function that encodes words; ``spaced`` says whether a word takes the space before it."""
 
-    def __init__(self, encode_words: EncodeWords, spaced: bool):
-        self.encode_words, self.spaced = encode_words, spaced
+    def __init__(self, encode_words: EncodeWords, spaced: bool, held_pieces: int = HELD_PIECES):
+        self.encode_words, self.spaced, self.held_pieces = encode_words, spaced, held_pieces
         self.old = ({}, {}, None, None, None)
         self._forget()
 
@@ -110,7 +110,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
-        if self.used > HELD_IDS or self.count > HELD_PIECES:
+        if self.used > HELD_IDS or self.count > self.held_pieces:
             self._forget()
         pieces: list[str] = []
         heads: list[str] = []

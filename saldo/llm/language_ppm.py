@@ -7,7 +7,8 @@ statistics are frozen after training, so the code length of every byte in every
 contexts of a language set share one table of nodes, and a text is scored by gathering from it, exactly and whole.
 Letters decide: texts are lower-cased, and whatever is no letter counts as a space.
 
-The trees are fitted on at most ``SAMPLE_DOCS`` texts of each language, drawn by a hash of the text.
+The trees are fitted on at most ``SAMPLE_DOCS`` texts and, beyond the first of them, ``SAMPLE_BYTES`` bytes of each language: the
+texts with the smallest hashes, each once however often it repeats.
 
 Cases: a null text, an empty one and one without letters are ``und`` with score 0; ties go to the first
 language by name; repeated rows are scored alike and a text of any length is scored whole; without training
@@ -23,15 +24,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saldo.llm.rows import whole_rows
 
 UNKNOWN = "und"
 ORDER = 3
-#: Training texts of a language, at most on average.
+#: Training texts of a language and their bytes, at most.
 SAMPLE_DOCS = 1500
+SAMPLE_BYTES = 64 << 20
+SPARE = 2
 #: Occurrences that make a context a node.
 LEAST_SEEN = 3
 #: Bytes that are scored at a time.
@@ -116,16 +119,37 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Trees for every language of the training rows; rows without text or language teach nothing."""
+def drawn_texts(train: DataFrame, lang_col: str, text_col: str, sample_docs: int, sample_bytes: int) -> DataFrame:
+    """(lang, text) of the drawn texts, each once.
+
+    Texts are drawn by narrow rows of language, hash and size. Hashes are spread evenly, so of a language with many texts only
+    a range of them is ordered that holds about ``SPARE`` times as many as are wanted.
+    """
     rows = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    named = rows.withColumn("hash", F.xxhash64("text"))
+    near = F.lit(False)
+    # One row a language.
+    for row in named.groupBy("lang").agg(F.approx_count_distinct("hash").alias("texts")).collect():
+        upto = min((1 << 63) - 1, (SPARE * sample_docs << 64) // max(1, row["texts"]) - (1 << 63))
+        near = near | ((F.col("lang") == row["lang"]) & (F.col("hash") <= upto))
+    in_order = Window.partitionBy("lang").orderBy("hash")
+    sizes = named.where(near).groupBy("lang", "hash").agg(F.max(F.octet_length("text")).alias("bytes"))
+    least = sizes.withColumn("n", F.row_number().over(in_order)).where(F.col("n") <= sample_docs)
+    upto = least.withColumn("upto", F.sum("bytes").over(in_order)).where((F.col("upto") <= sample_bytes) | (F.col("n") == 1))
+    # One row a language.
+    edges = {r["lang"]: r["edge"] for r in upto.groupBy("lang").agg(F.max("hash").alias("edge")).collect()}
     drawn = F.lit(False)
-    for lang, count in counts.items():
-        edge = min(1 << 30, (sample_docs << 30) // count)
-        drawn = drawn | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < edge))
-    grams = rows.where(drawn).mapInArrow(_grams, "lang string, gram bigint, count bigint")
-    found = grams.groupBy("lang", "gram").agg(F.sum("count").alias("count")).toArrow()
+    for lang, edge in edges.items():
+        drawn = drawn | ((F.col("lang") == lang) & (F.col("hash") <= edge))
+    return named.where(drawn).groupBy("lang", "hash").agg(F.any_value("text").alias("text")).select("lang", "text")
+
+
+def fit(
+    train: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES
+) -> Model:
+    """Trees for every language of the training rows; rows without text or language teach nothing."""
+    texts = drawn_texts(train, lang_col, text_col, sample_docs, sample_bytes)
+    found = texts.mapInArrow(_grams, "lang string, gram bigint, count bigint").groupBy("lang", "gram").agg(F.sum("count").alias("count")).toArrow()
     names = found.column("lang").to_pylist()
     return build(names, found.column("gram").to_numpy(), found.column("count").to_numpy(), sorted(set(names)))
 

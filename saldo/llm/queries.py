@@ -22,7 +22,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
-    decoded = bpe_automaton.decode(bpe_automaton.encode(_documents(spark, sf_dir), path), path)
+    decoded = bpe_automaton.encode_and_decode(_documents(spark, sf_dir), path)
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),

@@ -7,16 +7,20 @@ the spread within them, so a site with few documents stays near the level above.
 evidence, moved by how far its path's rate lies from the global one. Rates are sums by group, so a
 source that holds a third of the documents is reduced within each task.
 
-The classifier is fitted on at most ``SAMPLE_DOCS`` labelled documents, drawn by a hash; rates use them all.
+The classifier is fitted on at most ``SAMPLE_DOCS`` labelled texts, each once however often it repeats, drawn by a hash in
+proportion to their classes, of which each has one at least; rates use all documents. A document's own evidence is part
+of the rate of its site, as of every level.
 
 Cases: a null or empty text has features of zero; a null source is a site of its own, as is a null path; labels
-that are null teach nothing and repeated ones are averaged; rows that are repeated are scored alike; without labels
+that are null teach nothing and repeated ones are averaged; rows that are repeated are scored alike and stay or go together; without labels
 of both kinds the evidence is even and every document stays; an empty table gives an empty result; extra columns
 are not read. Whole texts are read, whatever their length.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
 from operator import eq
 
 import numpy as np
@@ -24,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saldo.llm.rows import keep_rows, text_mark
-from saldo.sources.scratch import stored
+from saldo.llm.rows import text_mark, whole_rows
+from saldo.sources.scratch import discard, stored
 
 SAMPLE_DOCS = 20_000
 #: Quality from which a document stays.
@@ -120,35 +124,51 @@ def _logit(p: Column) -> Column:
     return F.log(safe / (1 - safe))
 
 
-def score(
-    docs: DataFrame,
-    labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    label_col: str = "quality",
-    sample_docs: int = SAMPLE_DOCS,
-) -> DataFrame:
-    """doc_id, host, path, evidence, site_rate, quality and mark for every document."""
-    text = F.col(text_col)
-    read = stored(
-        docs.select(
-            F.col(id_col).alias("doc_id"), text_mark(text).alias("mark"), *site_columns(F.col(source_col)), feature_column(text).alias("features")
-        ),
-        "features",
-    )
-    truth = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.avg(label_col).alias("label"))
-    taught = stored(read.select("doc_id", "mark", "features").join(truth, "doc_id").select("mark", "features", "label"), "taught")
-    count = taught.count()
-    edge = min(1 << 30, (sample_docs << 30) // max(1, count))
-    drawn = taught.where(F.pmod("mark", F.lit(1 << 30)) < edge).orderBy("mark").select("features", "label").toArrow()
-    rows = np.array(drawn.column("features").to_pylist(), float).reshape(-1, len(FEATURES))
-    weights = fit_evidence(rows, np.array(drawn.column("label").to_pylist(), float)).tolist()
-    evidence = F.lit(weights[0])
-    for k, weight in enumerate(weights[1:]):
-        evidence = evidence + F.col("features")[k] * weight
-    seen = read.select("doc_id", "mark", "host", "path", evidence.alias("evidence"))
+@dataclass(frozen=True)
+class Judge:
+    """Weights of the evidence, rates by site, and the global rate."""
+
+    weights: list[float]
+    rates: DataFrame
+    whole: float
+
+    def evidence(self) -> Column:
+        out = F.lit(self.weights[0])
+        for k, weight in enumerate(self.weights[1:]):
+            out = out + F.col("features")[k] * weight
+        return out
+
+    def quality(self, rows: DataFrame) -> DataFrame:
+        """Rows (host, path, evidence, ...) with ``site_rate`` and ``quality``."""
+        # Spark broadcasts the rates where their size allows and splits hot sites where it does not.
+        placed = rows.join(self.rates, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")))
+        total = F.col("evidence") + _logit(F.col("site_rate")) - _logit(F.lit(self.whole))
+        quality = 1 / (1 + F.exp(-F.greatest(F.least(total, F.lit(700.0)), F.lit(-700.0))))
+        return placed.withColumn("quality", quality).drop("site_host", "site_path")
+
+
+def drawn_texts(taught: DataFrame, sample_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of at most so many of the labelled texts (mark, features, label), the classes kept."""
+    texts = stored(taught.groupBy("mark").agg(F.any_value("features").alias("features"), F.avg("label").alias("label")), "taught")
+    good = F.col("label") >= 0.5
+    sizes = {r["good"]: r["count"] for r in texts.groupBy(good.alias("good")).count().collect()}
+    parts = []
+    for kind, size in sizes.items():
+        share = max(1, sample_docs * size // sum(sizes.values()))
+        parts.append(texts.where(good == F.lit(kind)).orderBy(F.xxhash64("mark"), "mark").limit(share))
+    if not parts:
+        return np.zeros((0, len(FEATURES))), np.zeros(0)
+    drawn = reduce(DataFrame.unionByName, parts).orderBy("mark").select("features", "label").toArrow()
+    return np.array(drawn.column("features").to_pylist(), float).reshape(-1, len(FEATURES)), np.array(drawn.column("label").to_pylist(), float)
+
+
+def fit(read: DataFrame, labels: DataFrame, label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> Judge:
+    """The judge of documents that were read as (doc_id, mark, host, path, features), from labels (doc_id, label_col)."""
+    truth = labels.where(F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.avg(label_col).alias("label"))
+    taught = read.select("doc_id", "mark", "features").join(truth, "doc_id").select("mark", "features", "label")
+    weights = fit_evidence(*drawn_texts(taught, sample_docs)).tolist()
     good = 1 / (1 + F.exp(-F.col("evidence")))
+    seen = read.select("host", "path", Judge(weights, read, 0.5).evidence().alias("evidence"))
     paths = stored(
         seen.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(good).alias("good"), F.sum(good * good).alias("squares")), "paths"
     )
@@ -166,13 +186,43 @@ def score(
         ),
         "path-rates",
     )
-    # Spark broadcasts the rates where their size allows and splits hot sites where it does not.
-    placed = seen.join(rates, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")))
-    total = F.col("evidence") + _logit(F.col("site_rate")) - _logit(F.lit(whole))
-    quality = 1 / (1 + F.exp(-F.greatest(F.least(total, F.lit(700.0)), F.lit(-700.0))))
-    return placed.select("doc_id", "host", "path", "evidence", "site_rate", quality.alias("quality"), "mark")
+    discard(read.sparkSession, paths, hosts, above, below)
+    return Judge(weights, rates, whole)
+
+
+def read_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, mark, host, path, features) of every document, stored."""
+    text = F.col(text_col)
+    named = docs.select(
+        F.col(id_col).alias("doc_id"), text_mark(text).alias("mark"), *site_columns(F.col(source_col)), feature_column(text).alias("features")
+    )
+    return stored(named, "features")
+
+
+def score(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    label_col: str = "quality",
+    sample_docs: int = SAMPLE_DOCS,
+) -> DataFrame:
+    """doc_id, host, path, evidence, site_rate, quality and mark for every document."""
+    read = read_documents(docs, id_col, text_col, source_col)
+    judge = fit(read, labels.withColumnRenamed(id_col, "doc_id"), label_col, sample_docs)
+    found = judge.quality(read.select("doc_id", "mark", "host", "path", judge.evidence().alias("evidence")))
+    return found.select("doc_id", "host", "path", "evidence", "site_rate", "quality", "mark")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, least: float = LEAST_QUALITY) -> DataFrame:
-    """The documents of at least that quality; the columns stay as they are."""
-    return keep_rows(docs, score(docs, labels).where(F.col("quality") >= least).select("doc_id", "mark").distinct())
+    """The documents of at least that quality; the columns stay as they are.
+
+    Every row is judged by itself and carried whole, so rows that repeat stay or go together.
+    """
+    read = read_documents(docs)
+    judge = fit(read, labels)
+    discard(docs.sparkSession, read)
+    rows = docs.select(whole_rows(docs).alias("doc"), *site_columns(F.col("source")), feature_column(F.col("text")).alias("features"))
+    judged = judge.quality(rows.select("doc", "host", "path", judge.evidence().alias("evidence")))
+    return judged.where(F.col("quality") >= least).select("doc.*")

@@ -241,17 +241,27 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").alias("target_uri"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     sha = F.concat_ws("-", F.sha1("payload"), F.octet_length("payload"))
-    # Of rows that repeat one id with one payload, one is the response; which one makes no difference.
-    groups = rows.where((F.octet_length("payload") >= least_bytes) & F.col("page_id").isNotNull()).groupBy(sha.alias("sha"))
-    repeated = stored(groups.agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "keep"), "repeated-payloads")
+    groups = rows.where((F.octet_length("payload") >= least_bytes) & F.col("page_id").isNotNull()).groupBy(sha.alias("sha"), "page_id")
+    last = groups.count().groupBy("sha").agg(
+        F.max("page_id").alias("keep"), F.sum("count").alias("n"), F.max_by("count", "page_id").alias("twins")
+    )
+    repeated = stored(last.where("n > 1").select("sha", "keep", "twins"), "repeated-payloads")
     marked = rows.withColumn("sha", sha).join(repeated, "sha", "left")
     again = F.col("keep").isNotNull() & F.col("page_id").isNotNull() & (F.col("keep") != F.col("page_id"))
-    return marked.select(
+    twin = F.coalesce((F.col("twins") > 1) & (F.col("keep") == F.col("page_id")), F.lit(False))
+    decided = marked.withColumn("again", again)
+    if not repeated.where("twins > 1").isEmpty():
+        # Rows that share the largest id of a payload are stored with a number, of which the smallest names the response.
+        same = stored(marked.where(twin).withColumn("row", F.monotonically_increasing_id()), "repeated-pages")
+        first = same.groupBy("sha").agg(F.min("row").alias("first"))
+        told = same.join(first, "sha").withColumn("again", F.col("row") != F.col("first"))
+        decided = decided.where(~twin).unionByName(told.select(*decided.columns))
+    return decided.select(
         "page_id",
         "target_uri",
         "payload",
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, F.col("keep")).alias("refers_to"),
+        F.when(F.col("again"), "revisit").otherwise("response").alias("record_type"),
+        F.when(F.col("again"), F.col("keep")).alias("refers_to"),
     )
 
 

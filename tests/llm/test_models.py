@@ -90,10 +90,82 @@ def test_site_quality(spark, documents):
     kept = site_quality.keep_quality(documents(rows), known)
     assert kept.columns == documents([]).columns and {r.doc_id for r in kept.collect()} >= {i for i, g in labels if g}
     none = known.where("false")
-    assert site_quality.keep_quality(documents(rows), none).count() == len(rows) - (rows[-1] == rows[-2])
+    assert site_quality.keep_quality(documents(rows), none).count() == len(rows)
+    again = rows[:3] * 4 + rows[-2:]
+    assert site_quality.keep_quality(documents(again), none).count() == len(again)
     assert site_quality.score(documents([]), known).collect() == []
 
 
+def pseudo_documents(groups):
+    """Shrinkage of sites (n, good, squares, centre), from the formulas."""
+    total, sites = sum(n for n, *_ in groups), len(groups)
+    if sites < 2 or total <= sites:
+        return site_quality.MOST_SHRINKAGE
+    between = sum(n * (g / n - c) ** 2 for n, g, _, c in groups)
+    within = sum(q - n * (g / n) ** 2 for n, g, q, _ in groups)
+    noise = max(within, 0) / (total - sites)
+    spread = (between - (sites - 1) * noise) / max(1, total - sum(n * n for n, *_ in groups) / total)
+    even = sum(c * (1 - c) for *_, c in groups) / sites
+    if spread <= 0:
+        return site_quality.MOST_SHRINKAGE
+    return min(max(even / spread - 1, site_quality.LEAST_SHRINKAGE), site_quality.MOST_SHRINKAGE)
+
+
+def test_site_rates_by_brute_force(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    docs = docs.withColumn("source", F.concat("source", F.lit("/"), (F.col("doc_id") % 3).cast("string")))
+    rows = site_quality.score(docs, labels).collect()
+
+    def sums(keys):
+        out = {}
+        for r in rows:
+            good = 1 / (1 + np.exp(-r.evidence))
+            n, g, q = out.get(keys(r), (0, 0.0, 0.0))
+            out[keys(r)] = (n + 1, g + good, q + good * good)
+        return out
+
+    hosts, paths = sums(lambda r: r.host), sums(lambda r: (r.host, r.path))
+    whole = sum(g for _, g, _ in hosts.values()) / len(rows)
+    strength = pseudo_documents([(*v, whole) for v in hosts.values()])
+    of_host = {h: (strength * whole + g) / (strength + n) for h, (n, g, _) in hosts.items()}
+    strength = pseudo_documents([(*v, of_host[k[0]]) for k, v in paths.items()])
+    logit = lambda p: np.log(p / (1 - p))
+    for r in rows:
+        n, g, _ = paths[(r.host, r.path)]
+        rate = (strength * of_host[r.host] + g) / (strength + n)
+        assert np.isclose(r.site_rate, rate) and np.isclose(r.quality, 1 / (1 + np.exp(-(r.evidence + logit(rate) - logit(whole)))))
+    assert len(paths) > len(hosts) > 1
+
+
+def test_samples_stay_within_their_bounds(spark, documents):
+    rng = random.Random(9)
+    texts = [(i, " ".join(rng.choices(WORDS["aa"], k=20)) + f" {i}", "aa") for i in range(300)] + [(i, f"{' '.join(rng.choices(WORDS['bb'], k=20))} {i}", "bb") for i in range(300)]
+    copies = [(10_000 + i, "kato mira selo", "aa") for i in range(5400)]
+    docs = documents(texts + copies + [(1, "x" * 5000, "aa")])
+    for most, size, want in ((50, 1 << 30, {"aa": 50, "bb": 50}), (1000, 1 << 30, {"aa": 302, "bb": 300}), (1000, 1, {"aa": 1, "bb": 1})):
+        drawn = language_ppm.drawn_texts(docs, "lang", "text", most, size)
+        assert {r["lang"]: r["count"] for r in drawn.groupBy("lang").count().collect()} == want
+    model = language_ppm.fit(docs, sample_docs=60)
+    found = {r.doc_id: r.lang_pred for r in language_ppm.identify(documents([(1, WORDS["aa"][0] + " " + WORDS["aa"][1]), (2, WORDS["bb"][0] + " " + WORDS["bb"][1])]), model).collect()}
+    assert found == {1: "aa", 2: "bb"}
+    labels = spark.createDataFrame([(i, int(i >= 290)) for i, *_ in texts[:300]] + [(i, 0) for i, *_ in copies], "doc_id bigint, quality int")
+    read = site_quality.read_documents(documents(texts[:300] + copies))
+    taught = read.select("doc_id", "mark", "features").join(labels.withColumnRenamed("quality", "label"), "doc_id").select("mark", "features", F.col("label").cast("double").alias("label"))
+    for most in (5, 50, 400):
+        rows, kinds = site_quality.drawn_texts(taught, most)
+        assert len(rows) == len(kinds) <= min(most + 1, 301) and set(kinds) == {0.0, 1.0}
+
+
+def test_pages_that_repeat_their_id(spark):
+    rows = [(1, "u", "same"), (1, "u", "same"), (1, "v", "same"), (0, "w", "same"), (2, "x", "own"), (None, "y", "same"), (3, "z", None), (3, "z", None)]
+    out = warc.plan_records(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    told = sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in out)
+    assert told == sorted(
+        [("1", "response", "None"), ("1", "revisit", "1"), ("1", "revisit", "1"), ("0", "revisit", "1"), ("2", "response", "None")]
+        + [("None", "response", "None"), ("3", "response", "None"), ("3", "revisit", "3")]
+    )
+
+
 def test_shrinkage_follows_the_spread(spark):
     def groups(rates, n):
         return spark.createDataFrame([(f"h{i}", n, n * r, n * r) for i, r in enumerate(rates)], "host string, n bigint, good double, squares double")

@@ -87,6 +87,7 @@ def test_encode_and_decode_documents(documents):
     tokenizer = library(BYTE)
     got = bpe_automaton.decode(bpe_automaton.encode(documents(rows), BYTE), BYTE).collect()
     assert len(got) == len(rows)
+    assert sorted(map(str, bpe_automaton.encode_and_decode(documents(rows), BYTE).collect())) == sorted(map(str, got))
     for row in got:
         text = dict(rows[3:]).get(row.doc_id) or ""
         ids = tokenizer.encode(text, add_special_tokens=False).ids
