@@ -377,7 +377,7 @@ placed AS (
   SELECT {SCOPE_LIST}, CAST((row_number() OVER (ORDER BY {SCOPE_ORDER}) - 1) // 50 + 1 AS INTEGER) AS page,
          CAST((count(*) OVER () + 49) // 50 AS INTEGER) AS pages FROM ledger
 )
-SELECT * FROM placed WHERE page IN (1, 123, pages)""",
+SELECT placed.* FROM placed JOIN (SELECT unnest([1, 123, 1000000000]) AS asked) ON page = least(asked, pages)""",
     "scope_export": with_(LEDGER) + f"""
 SELECT {SCOPE_LIST} FROM ledger WHERE tegund0 = 'STANDARD' AND samtala0 = 'NATION_7'""",
     "scope_rows": with_(LEDGER) + f"""
