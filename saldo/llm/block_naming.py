@@ -5,8 +5,9 @@ blocks are dealt out by content, sorted within each partition, and numbered in t
 then paired, and the distinct pairs sorted and numbered again, until every document has one name. Names stand
 for contents one to one, so two documents share a name exactly when their texts are equal; no hash decides.
 
-Copies are combined before anything moves: each task sends a block once, with the list of places where it saw
-it, so a text that fills a third of the corpus reaches its partition as a few rows.
+Copies are combined before anything moves: each task keeps a block once, with the list of places where it saw
+it. Only the contents are dealt out to be named, once for each task; the names go back by task and local number, so
+the places of a text that fills a third of the corpus are told their name by as many tasks as found it.
 
 Cases: a null text counts as empty; an empty text is one empty block; a null id keeps its row and yields to
 any other id; rows that are repeated in full are members of one group and one of them stays; an empty table
@@ -35,7 +36,7 @@ _REF = pa.struct(
     [("row", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("pos", pa.int32()), ("blocks", pa.int32())]
     + [("points", pa.int64()), ("sha256", pa.string())]
 )
-_BLOCK = pa.schema([("content", pa.binary()), ("refs", pa.list_(_REF))])
+_BLOCK = pa.schema([("block", pa.int64()), ("content", pa.binary()), ("refs", pa.list_(_REF))])
 _REF_SQL = (
     "array<struct<row: bigint, doc_id: bigint, mark: bigint, pos: int, blocks: int, points: bigint, sha256: string>>"
 )
@@ -43,18 +44,21 @@ _REF_SQL = (
 
 def _cut(block_bytes: int, held_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
+        row = block = TaskContext.get().partitionId() << 40
         held: dict[bytes, list[tuple]] = {}
         size = 0
 
         def sent():
+            nonlocal block
             keys = list(held)
             # Few megabytes a batch, so that neither side holds much at once.
             step = max(1, (4 << 20) * len(keys) // max(1, size))
             for at in range(0, len(keys), step):
                 part = keys[at : at + step]
                 refs = [[dict(zip(_REF.names, ref, strict=True)) for ref in held[key]] for key in part]
-                yield pa.record_batch([pa.array(part, pa.binary()), pa.array(refs, _BLOCK.field(1).type)], schema=_BLOCK)
+                numbers = pa.array(range(block, block + len(part)), pa.int64())
+                yield pa.record_batch([numbers, pa.array(part, pa.binary()), pa.array(refs, _BLOCK.field(2).type)], schema=_BLOCK)
+                block += len(part)
 
         for batch in batches:
             ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -87,24 +91,30 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last = None
     for batch in batches:
         names = []
-        for content in batch.column(0):
+        for content in batch.column(1):
             content = content.as_py()
             if content != last:
                 name += 1
                 last = content
             names.append(name)
-        yield pa.record_batch([pa.array(names, pa.int64()), batch.column(1)], names=["name", "refs"])
+        yield pa.record_batch([batch.column(0), pa.array(names, pa.int64())], names=["block", "name"])
 
 
 def name_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, held_bytes: int) -> DataFrame:
-    """(row, doc_id, mark, pos, blocks, points, sha256, name) for every block of every document."""
+    """(row, doc_id, mark, pos, blocks, points, sha256, name) for every block of every document, stored."""
+    spark = docs.sparkSession
     cut = docs.select(F.col(id_col).cast("bigint"), text_mark(F.col(text_col)), F.col(text_col)).mapInArrow(
-        _cut(block_bytes, held_bytes), f"content binary, refs {_REF_SQL}"
+        _cut(block_bytes, held_bytes), f"block bigint, content binary, refs {_REF_SQL}"
     )
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut.repartition(parts, "content").sortWithinPartitions("content")
-    named = dealt.mapInArrow(_number, f"name bigint, refs {_REF_SQL}")
-    return named.select("name", F.explode("refs").alias("ref")).select("ref.*", "name")
+    held = stored(cut, "cut-blocks")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = held.select("block", "content").repartition(parts, "content").sortWithinPartitions("content")
+    names = stored(dealt.mapInArrow(_number, "block bigint, name bigint"), "block-names")
+    # A block number is one task's, and its list of places is bounded by what that task holds.
+    told = held.select("block", "refs").join(names, "block").select("name", F.explode("refs").alias("ref"))
+    out = stored(told.select("ref.*", "name"), "blocks")
+    discard(spark, held, names)
+    return out
 
 
 def identities(
@@ -116,7 +126,7 @@ def identities(
 ) -> DataFrame:
     """One row per document: row, doc_id, mark, points, sha256, level, name; (level, name) is its identity."""
     spark = docs.sparkSession
-    blocks = stored(name_blocks(docs, id_col, text_col, block_bytes, held_bytes), "blocks")
+    blocks = name_blocks(docs, id_col, text_col, block_bytes, held_bytes)
     most = blocks.agg(F.max("blocks")).first()[0] or 1
     head = blocks.where("pos = 0").select("row", "doc_id", "mark", "points", "sha256", "blocks", "name")
     out = head.where("blocks = 1").select("row", "doc_id", "mark", "points", "sha256", F.lit(0).alias("level"), "name")
