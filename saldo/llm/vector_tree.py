@@ -1,35 +1,40 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first traversal.
 
-The tree is fitted on at most ``SAMPLE`` unit vectors, drawn by a hash; every vector is then put into the leaf that it
-reaches by going to the nearest child. A query walks the tree with a priority queue: it takes the branch whose
-centre is nearest, leaves the other branches in the queue, and opens leaves until it has seen enough of them. How many are
-enough is calibrated: for ``TRIALS`` drawn vectors the true neighbours among all rows are computed, and the number of
-leaves is widened until they hold the wanted share of them.
+The upper tree is fitted on at most ``SAMPLE`` unit vectors, drawn by a hash; every vector is then put into the leaf that
+it reaches by going to the nearest child. A leaf that is still crowded is split again by a tree of its own, fitted in one task
+on about ``NODE_SAMPLE`` of its vectors, level by level, so leaves grow in number with the table and not in size. A query
+walks the tree with a priority queue: it takes the branch whose centre is nearest, leaves the other branches in the
+queue, and opens leaves until it has seen enough of them; on a lower level each opened leaf goes on with its own queue from
+the priority it had, and the first of all the query's leaves are kept. How many are enough is calibrated level by level:
+for ``TRIALS`` drawn vectors the true neighbours among all rows are computed, and the number of leaves is widened until
+they hold the wanted share of them.
 
 Of equal vectors only the smallest ids can be among the nearest, one more than asked for: the others are
-left out of the leaves, and equal query vectors are searched once. Leaves that follow each other share a cell, and a
-crowded leaf is cut into several cells, so that a cell holds about ``CELL_ROWS`` vectors; its queries are cut likewise, so
-that no task holds a crowded leaf. A query that opens a leaf looks at its cells as a whole and keeps its nearest of each
-cell. The tree and one row of figures for each leaf go to all tasks; both are bounded by ``SAMPLE``.
+left out of the leaves, and equal query vectors are searched once. A query meets the rows of the leaves it opens and no
+others. Leaves that cannot be split are cut by a hash of the id, and so are the queries of a much opened leaf, so no task
+holds a crowded one. Only the upper tree, bounded by ``SAMPLE``, is sent to all tasks; lower trees are rows of a table that
+are joined to the vectors and queries in their leaf.
 
 Cases: vectors that are null, empty or zero, or hold null or non-finite numbers, take no part, nor do those of
-another length than most; ties go to the smaller id; null ids take no part; repeated rows count as candidates of one
-id each; with fewer candidates than asked for all are returned; an empty table gives an empty result; other columns
-are not read. Components are compared in double precision.
+another length than most; ties go to the smaller id; null ids take no part; of rows with one id that with the
+smallest bytes counts; with fewer candidates than asked for all are returned; an empty table gives an empty result; other
+columns are not read. Components are compared in double precision.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from saldo.sources.scratch import stored
+from saldo.sources.scratch import discard, stored
 
 SAMPLE = 20_000
 BRANCHES = 8
@@ -39,8 +44,16 @@ LEAF_SAMPLE = 64
 LEAF_ROWS = 400
 TRIALS = 200
 RECALL = 0.97
-#: Vectors and queries that meet in one cell, about.
+#: A leaf of more than this many times its wanted rows is split again.
+CROWDED = 4
+#: Vectors of a crowded leaf that its own tree is fitted on, about, and rows that one task puts into its leaves.
+NODE_SAMPLE, PLACE_ROWS = 4_096, 50_000
+#: Levels below the upper tree; each multiplies the leaves by up to a hundred.
+LOWER_LEVELS = 3
+#: Vectors and queries that meet in one task, about.
 CELL_ROWS, CELL_QUERIES = 4_000, 2_000
+#: A node is its level and the leaf numbers on its way, in bits of these widths.
+_LEVEL_BITS, _LEAF_BITS = 58, 13
 
 
 @dataclass
@@ -76,12 +89,13 @@ class Tree:
                     todo.append(child)
         return out
 
-    def best_first(self, unit: np.ndarray, leaves: int) -> list[int]:
-        """The leaves in the order in which a query opens them."""
+    def best_first(self, unit: np.ndarray, leaves: int | None = None, start: float = 0.0) -> list[tuple[int, float]]:
+        """(leaf, priority) in the order in which a query opens them; a priority is never below an earlier one."""
         gap = ((self.centres - unit) ** 2).sum(1)
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < leaves:
-            _, at = heapq.heappop(queue)
+        queue, out, most = [(start, 0)], [], start
+        while queue and (leaves is None or len(out) < leaves):
+            priority, at = heapq.heappop(queue)
+            most = max(most, priority)
             while self.count[at]:
                 children = range(self.first[at], self.first[at] + self.count[at])
                 nearest = min(children, key=lambda c: gap[c])
@@ -89,7 +103,7 @@ class Tree:
                     if child != nearest:
                         heapq.heappush(queue, (float(gap[child]), child))
                 at = nearest
-            out.append(self.leaf[at])
+            out.append((self.leaf[at], most))
         return out
 
 
@@ -198,55 +212,44 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each id of queries (query_id) its nearest rows but itself."""
     spark: SparkSession = rows.sparkSession
-    vectors = stored(usable_vectors(rows, id_col, vector_col).dropDuplicates(["vec_id"]), "vectors")
+    usable = usable_vectors(rows, id_col, vector_col)
+    vectors = stored(usable.groupBy("vec_id").agg(F.min("vec").alias("vec")), "vectors")
     total = vectors.count()
     edge = min(1 << 30, (sample << 30) // max(1, total))
     drawn = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < edge).orderBy("vec_id").toArrow()
     units = _units(_matrix(drawn.column("vec")))
-    leaf_sample = max(LEAF_SAMPLE if len(units) > 4 * LEAF_SAMPLE else 8, leaf_rows * len(units) // max(1, total))
-    tree = fit_tree(units, leaf_sample)
+    tree = fit_tree(units, _leaf_sample(len(units), total, leaf_rows))
     sent = spark.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 leaf = sent.value.assign(_units(_matrix(batch.column(1))))
-                yield pa.record_batch([pa.array(leaf), batch.column(0), batch.column(1)], names=["leaf", "vec_id", "vec"])
+                yield pa.record_batch([pa.array(leaf), batch.column(0), batch.column(1)], names=["node", "vec_id", "vec"])
 
     alike = Window.partitionBy("vec").orderBy("vec_id")
     several = vectors.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k + 1).select("vec_id", "vec")
-    placed = stored(several.mapInArrow(place, "leaf bigint, vec_id bigint, vec binary"), "placed")
-    visits = _calibrated(placed, drawn, tree, k, recall)
+    placed, lower = _split(stored(several.mapInArrow(place, _PLACED), "placed"), leaf_rows)
+    visits = _calibrated(placed, drawn, sent, lower, k, recall)
 
     asked = stored(queries.select("query_id").distinct().join(vectors.withColumnRenamed("vec_id", "query_id"), "query_id"), "queries")
     heads = stored(asked.groupBy("vec").agg(F.min("query_id").alias("head")), "query-heads")
-
-    # One row for each leaf, so the number of leaves bounds what is collected and sent.
-    cells = spark.sparkContext.broadcast(_cells({r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}, CELL_ROWS))
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for head, raw, unit in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _units(_matrix(batch.column(1))), strict=True):
-                opened = [cells.value[leaf] for leaf in sent.value.best_first(unit, visits) if leaf in cells.value]
-                looked = sorted({cell for first, count in opened for cell in range(first, first + count)})
-                yield pa.record_batch(
-                    [pa.array(looked, pa.int64()), pa.array([head] * len(looked), pa.int64()), pa.array([raw] * len(looked), pa.binary())],
-                    names=["cell", "head", "vec"],
-                )
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places = [cells.value[leaf] for leaf in batch.column(0).to_pylist()]
-            # Within a crowded leaf the id decides, as any even deal would do.
-            at = [first + vec_id % count for (first, count), vec_id in zip(places, batch.column(1).to_pylist(), strict=True)]
-            yield pa.record_batch([pa.array(at, pa.int64()), batch.column(1), batch.column(2)], names=["cell", "vec_id", "vec"])
-
-    walks = stored(heads.select("head", "vec").mapInArrow(walk, "cell bigint, head bigint, vec binary"), "walks")
-    parts = walks.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).alias("parts"))
-    settled = placed.mapInArrow(settle, "cell bigint, vec_id bigint, vec binary")
-    left = settled.join(parts, "cell").select("cell", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), "vec_id", "vec")
-    right = walks.join(parts, "cell").select("cell", F.pmod(F.xxhash64("head"), "parts").alias("part"), "head", "vec")
-    keys = ("cell", "part")
+    opened = _open(heads.select("head", "vec"), sent, visits[0])
+    opened = stored(opened, "opened") if lower else opened
+    for trees, most in zip(lower, visits[1:], strict=True):
+        opened = _first(_descend(opened, trees, most), most)
+    walks = stored(opened.select("node", "head", "vec"), "walks")
+
+    # A leaf that could not be split is cut into several, and so are the queries of a leaf that many open.
+    sizes = placed.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("cuts"))
+    parts = stored(walks.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).alias("parts")).join(sizes, "node"), "cells")
+    left = placed.join(parts, "node").select(
+        "node", F.pmod(F.xxhash64("vec_id"), "cuts").alias("cut"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), "vec_id", "vec"
+    )
+    right = walks.join(parts, "node").select(
+        "node", F.explode(F.expr("sequence(0L, cuts - 1)")).alias("cut"), F.pmod(F.xxhash64("head"), "parts").alias("part"), "head", "vec"
+    )
+    keys = ("node", "cut", "part")
 
     def meet(key: tuple, held: pa.Table, asked: pa.Table) -> pa.Table:
         ids, heads = held.column("vec_id").to_numpy(), asked.column("head").to_numpy()
@@ -260,6 +263,7 @@ def nearest(
     order = [F.desc("score"), F.asc("vec_id")]
     close = pairs.withColumn("n", F.row_number().over(Window.partitionBy("head").orderBy(*order))).where(F.col("n") <= k + 1)
     hits = stored(close.select("head", F.struct("vec_id", "score").alias("hit")).groupBy("head").agg(F.collect_list("hit").alias("hits")), "hits")
+    discard(spark, vectors, placed, walks, parts, *lower)
     # Both sides come from files, so that a vector which many queries share is split at run time.
     named = asked.join(heads, "vec").select("query_id", "head").join(hits, "head")
     mine = F.filter("hits", lambda h: h["vec_id"] != F.col("query_id"))
@@ -268,47 +272,147 @@ def nearest(
     return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "hit.vec_id", "hit.score")
 
 
-def _cells(rows: dict[int, int], size: int) -> dict[int, tuple[int, int]]:
-    """For each leaf its first cell and how many it has; small leaves that follow each other share one."""
-    out, cell, room = {}, 0, size
-    for leaf in sorted(rows):
-        count = -(-rows[leaf] // size)
-        if count > 1:
-            cell += room < size
-            out[leaf], cell, room = (cell, count), cell + count, size
-            continue
-        if rows[leaf] > room:
-            cell, room = cell + 1, size
-        out[leaf], room = (cell, 1), room - rows[leaf]
-    return out
+_PLACED = "node bigint, vec_id bigint, vec binary"
+_OPENED = "head bigint, vec binary, node bigint, priority double, place int"
+
+
+def _leaf_sample(drawn: int, rows: int, leaf_rows: int) -> int:
+    """Sampled vectors below which a node is a leaf, so that a leaf holds about leaf_rows of all rows."""
+    return max(LEAF_SAMPLE if drawn > 4 * LEAF_SAMPLE else 8, leaf_rows * drawn // max(1, rows))
+
+
+def _level(node) -> Column:
+    return F.shiftright(node, _LEVEL_BITS)
+
+
+def _ancestor(node: int, level: int) -> int:
+    """The node on the way to another at a level, or the node itself if it lies above."""
+    own, path = node >> _LEVEL_BITS, node & (1 << _LEVEL_BITS) - 1
+    return node if own <= level else level << _LEVEL_BITS | path >> _LEAF_BITS * (own - level)
+
+
+def _below(node: int, leaf: np.ndarray) -> np.ndarray:
+    """The nodes of the leaves of a node's own tree."""
+    level, path = node >> _LEVEL_BITS, node & (1 << _LEVEL_BITS) - 1
+    return ((level + 1) << _LEVEL_BITS | path << _LEAF_BITS) + np.asarray(leaf, np.int64)
+
+
+def _split(placed: DataFrame, leaf_rows: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The vectors in leaves that are not crowded, and the trees (node, tree, parts) of each lower level."""
+    spark, lower = placed.sparkSession, []
+
+    def fit(key: tuple, held: pa.Table) -> pa.Table:
+        held = held.sort_by("vec_id").slice(0, 1 << _LEAF_BITS)
+        units = _units(_matrix(held.column("vec")))
+        tree = fit_tree(units, _leaf_sample(len(units), held.column("rows")[0].as_py(), leaf_rows))
+        parts = -(-held.column("rows")[0].as_py() // PLACE_ROWS)
+        found = [(key[0].as_py(), pickle.dumps(tree), parts)] if tree.leaves() > 1 else []
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else ([], [], []), (pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["node", "tree", "parts"])
+
+    def place(key: tuple, held: pa.Table, trees: pa.Table) -> pa.Table:
+        if not trees.num_rows or not held.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["node", "vec_id", "vec"])
+        leaf = pickle.loads(trees.column("tree")[0].as_py()).assign(_units(_matrix(held.column("vec"))))
+        return pa.table([pa.array(_below(key[0].as_py(), leaf)), held.column("vec_id"), held.column("vec")], names=["node", "vec_id", "vec"])
+
+    for level in range(1, LOWER_LEVELS + 1):
+        # A node of an earlier level that no tree could split is not tried again.
+        sizes = placed.where(_level("node") == level - 1).groupBy("node").agg(F.count(F.lit(1)).alias("rows"))
+        crowded = stored(sizes.where(F.col("rows") > CROWDED * leaf_rows), "crowded-nodes")
+        if crowded.isEmpty():
+            discard(spark, crowded)
+            break
+        share = F.pmod(F.xxhash64(F.lit(level), "vec_id"), F.lit(1 << 30)) * F.col("rows").cast("double") < float(NODE_SAMPLE << 30)
+        drawn = placed.join(crowded, "node").where(share).groupBy("node")
+        trees = stored(drawn.applyInArrow(fit, "node bigint, tree binary, parts bigint"), "node-trees")
+        dealt = placed.join(trees.select("node", "parts"), "node").select("node", F.pmod(F.xxhash64("vec_id"), "parts").alias("part"), "vec_id", "vec")
+        copies = trees.select("node", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), "tree")
+        moved = dealt.groupBy("node", "part").cogroup(copies.groupBy("node", "part")).applyInArrow(place, _PLACED)
+        further = stored(placed.join(trees.select("node"), "node", "left_anti").select("node", "vec_id", "vec").unionByName(moved), "placed")
+        discard(spark, placed, crowded)
+        placed = further
+        lower.append(trees)
+    return placed, lower
+
+
+def _open(heads: DataFrame, sent, visits: int | None) -> DataFrame:
+    """The first leaves (all for None) of the upper tree for each query: head, vec, node, priority, place."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for head, raw, unit in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _units(_matrix(batch.column(1))), strict=True):
+                yield pa.RecordBatch.from_pydict(_leaves([head], [raw], [unit], [0.0], sent.value, visits, lambda leaf: leaf))
+
+    return heads.mapInArrow(walk, _OPENED)
+
+
+def _leaves(heads: list, raws: list, units, starts: list[float], tree: Tree, visits: int | None, named) -> dict[str, pa.Array]:
+    """Columns of _OPENED: for each query the leaves of a tree in the order it opens them."""
+    rows = [(h, r, n, p, at) for h, r, u, s in zip(heads, raws, units, starts, strict=True) for at, (n, p) in enumerate(tree.best_first(u, visits, s))]
+    head, raw, leaf, priority, place = zip(*rows, strict=True) if rows else ([],) * 5
+    return {
+        "head": pa.array(head, pa.int64()),
+        "vec": pa.array(raw, pa.binary()),
+        "node": pa.array(named(np.array(leaf, np.int64)), pa.int64()),
+        "priority": pa.array(priority, pa.float64()),
+        "place": pa.array(place, pa.int32()),
+    }
+
+
+def _descend(opened: DataFrame, trees: DataFrame, visits: int | None) -> DataFrame:
+    """Nodes with a tree of their own give way to its leaves; each tree's queue starts at the node's priority."""
+    parts = stored(opened.join(trees.select("node"), "node").groupBy("node").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).alias("parts")), "opened-nodes")
+    left = opened.join(parts, "node").select("node", F.pmod(F.xxhash64("head"), "parts").alias("part"), "head", "vec", "priority")
+    again = parts.select("node", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
+    right = trees.select("node", "tree").join(again, "node").select("node", "part", "tree")
+
+    def walk(key: tuple, held: pa.Table, trees: pa.Table) -> pa.Table:
+        tree = pickle.loads(trees.column("tree")[0].as_py())
+        raw = held.column("vec").to_pylist()
+        units = _units(_matrix(held.column("vec")))
+        return pa.table(_leaves(held.column("head").to_pylist(), raw, units, held.column("priority").to_pylist(), tree, visits, lambda leaf: _below(key[0].as_py(), leaf)))
+
+    final = opened.join(trees.select("node"), "node", "left_anti").select("head", "vec", "node", "priority", "place")
+    return final.unionByName(left.groupBy("node", "part").cogroup(right.groupBy("node", "part")).applyInArrow(walk, _OPENED))
+
+
+def _first(opened: DataFrame, visits: int | None) -> DataFrame:
+    """The first leaves of each query over all the trees it walked, numbered anew."""
+    order = Window.partitionBy("head").orderBy("priority", "place", "node")
+    ranked = opened.withColumn("place", F.row_number().over(order) - 1)
+    return stored(ranked if visits is None else ranked.where(F.col("place") < visits), "opened")
 
 
-def _calibrated(placed: DataFrame, drawn: pa.Table, tree: Tree, k: int, recall: float) -> int:
-    """Leaves that hold the wanted share of the true neighbours of the first drawn vectors."""
+def _calibrated(placed: DataFrame, drawn: pa.Table, sent, lower: list[DataFrame], k: int, recall: float) -> list[int]:
+    """For each level the leaves that hold the wanted share of the true neighbours of the first drawn vectors."""
+    spark = placed.sparkSession
     trials = drawn.slice(0, TRIALS)
     ids, asked = trials.column("vec_id").to_numpy(), _matrix(trials.column("vec"))
     if not len(ids):
-        return 1
+        return [1] * (1 + len(lower))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                leaf, names = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                node, names = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 found = list(_best(asked, names, _matrix(batch.column(2)), k + 1))
                 rows, at = [r for r, _, _ in found], [a for _, a, _ in found]
                 yield pa.record_batch(
-                    [pa.array(rows, pa.int64()), pa.array(leaf[at], pa.int64()), pa.array(names[at], pa.int64()), pa.array([s for _, _, s in found], pa.float64())],
-                    names=["trial", "leaf", "vec_id", "score"],
+                    [pa.array(rows, pa.int64()), pa.array(node[at], pa.int64()), pa.array(names[at], pa.int64()), pa.array([s for _, _, s in found], pa.float64())],
+                    names=["trial", "node", "vec_id", "score"],
                 )
 
-    found = placed.mapInArrow(search, "trial bigint, leaf bigint, vec_id bigint, score double")
+    found = placed.mapInArrow(search, "trial bigint, node bigint, vec_id bigint, score double")
     window = Window.partitionBy("trial").orderBy(F.desc("score"), "vec_id")
-    truth = found.withColumn("n", F.row_number().over(window)).where(F.col("n") <= k + 1).select("trial", "leaf", "vec_id").collect()
-    places = []
-    order = [{leaf: n for n, leaf in enumerate(tree.best_first(unit, tree.leaves()))} for unit in _units(asked)]
-    for row in truth:
-        if row["vec_id"] != ids[row["trial"]]:
-            places.append(order[row["trial"]][row["leaf"]])
-    if not places:
-        return 1
-    return int(np.sort(places)[min(len(places) - 1, int(np.ceil(recall * len(places))) - 1)]) + 1
+    truth = found.withColumn("n", F.row_number().over(window)).where(F.col("n") <= k + 1).select("trial", "node", "vec_id").collect()
+    truth = [(int(ids[r["trial"]]), r["node"]) for r in truth if r["vec_id"] != ids[r["trial"]]]
+    heads = spark.createDataFrame(trials.rename_columns(["head", "vec"]))
+    share, visits, opened = recall ** (1 / (1 + len(lower))), [], None
+    for level in range(1 + len(lower)):
+        wanted = Counter((head, _ancestor(node, level)) for head, node in truth)
+        everything = stored(_open(heads, sent, None), "opened") if opened is None else _first(_descend(opened, lower[level - 1], None), None)
+        pairs = spark.createDataFrame(list(wanted), "head bigint, node bigint") if wanted else None
+        places = [] if pairs is None else sorted(r["place"] for r in everything.join(pairs, ["head", "node"]).select("head", "node", "place").collect() for _ in range(wanted[r["head"], r["node"]]))
+        visits.append(places[min(len(places), int(np.ceil(share * len(places)))) - 1] + 1 if places else 1)
+        opened = everything.where(F.col("place") < visits[-1])
+    return visits

@@ -274,3 +274,44 @@ def test_nearest_vectors(spark, vectors):
     few = vectors(rows[:3])
     assert len(vector_tree.nearest(few, asked, k=5).where("query_id = 0").collect()) == 2
     assert vector_tree.nearest(vectors([]), asked).collect() == []
+
+
+def test_crowded_leaves_are_split_and_queries_open_few_rows(spark, vectors, monkeypatch):
+    rng = np.random.default_rng(2)
+    middles = rng.normal(size=(60, 12))
+    # A third of all rows lies about one middle.
+    which = np.where(rng.random(4000) < 1 / 3, 0, rng.integers(0, 60, 4000))
+    base = (middles[which] + 0.2 * rng.normal(size=(4000, 12))).round(6)
+    rows = list(enumerate(base.tolist()))
+    for name, value in (("NODE_SAMPLE", 200), ("PLACE_ROWS", 150), ("CELL_QUERIES", 15), ("LEAF_SAMPLE", 16)):
+        monkeypatch.setattr(vector_tree, name, value)
+    met = []
+    plain = vector_tree._split
+
+    def split(placed, leaf_rows):
+        out = plain(placed, leaf_rows)
+        sizes = [r["count"] for r in out[0].groupBy("node").count().collect()]
+        met.append((len(out[1]), sum(sizes), max(sizes)))
+        return out
+
+    monkeypatch.setattr(vector_tree, "_split", split)
+    queries = list(range(0, 4000, 50))
+    asked = spark.createDataFrame([(q,) for q in queries], "query_id bigint")
+    got = vector_tree.nearest(vectors(rows), asked, k=5, sample=64, leaf_rows=20).collect()
+    levels, held, largest = met[0]
+    assert levels >= 1 and held == 4000 and largest <= 400
+    units = base / np.sqrt((base * base).sum(1, keepdims=True))
+    near = units[queries] @ units.T
+    near[np.arange(len(queries)), queries] = -2
+    truth = {q: set(row.tolist()) for q, row in zip(queries, np.argsort(-near, axis=1)[:, :5], strict=True)}
+    mine = {q: set() for q in queries}
+    for r in got:
+        mine[r.query_id].add(r.vec_id)
+    assert np.mean([len(mine[q] & truth[q]) / 5 for q in queries]) >= 0.9
+
+
+def test_nodes_name_their_way():
+    node = int(vector_tree._below(int(vector_tree._below(77, np.array([5]))[0]), np.array([8000]))[0])
+    assert vector_tree._ancestor(node, 0) == 77
+    assert vector_tree._ancestor(node, 1) == int(vector_tree._below(77, np.array([5]))[0])
+    assert vector_tree._ancestor(node, 2) == node and vector_tree._ancestor(77, 3) == 77
