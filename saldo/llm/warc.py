@@ -7,13 +7,19 @@ is not wanted is passed over by its length. Payloads are deflated one by one beh
 Of equal payloads one record is a response and the others revisit it: they repeat its HTTP headers, length and
 digest, but not its payload.
 
+Archives as others write them are read too: ``.warc.gz`` with a gzip member for each record, record names that are no
+UUIDs, and digests taken before or after the content coding; other digests than SHA-1 are passed on unchecked. The option
+``gzip`` writes such files. In them a payload that is not wanted is inflated, but not decoded.
+
 Writers leave files under passing names, and the driver renames those of the tasks that were committed, so tasks
-that run again leave no half or double records. Folders are named by URIs of a store that all machines share.
+that run again leave no half or double records. Folders are named by URIs of a store that all machines share, as
+pyarrow opens them; ``s3a`` and ``s3n`` are read as ``s3``, and another scheme that it does not know is an error.
 
 Cases: a null html is an empty payload; a null URL leaves its header out; a page without an id is a response of its
 own; repeated rows with one id are one response and revisits of it; an empty table gives an archive without records;
 other columns are not read; payloads of any length are kept whole. A payload that does not have its digest
-raises an error.
+raises an error, and so does a file in the folder that is no archive; names that begin with a dot or an underscore
+are passed over, as Spark does.
 """
 
 from __future__ import annotations
@@ -21,6 +27,8 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -54,7 +62,10 @@ def page_of(name: str | None) -> int | None:
     """The page's id in a record name."""
     if not name:
         return None
-    number = uuid.UUID(name.strip("<>").removeprefix("urn:uuid:")).int
+    try:
+        number = uuid.UUID(name.strip("<>").removeprefix("urn:uuid:")).int
+    except ValueError:
+        return None
     low = number & _LOW
     return (low - (1 << 64) if low >> 63 else low) if number >> 64 == _SPACE else None
 
@@ -63,10 +74,12 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def write_record(page_id: int | None, uri: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """The bytes of a response or revisit record."""
-    http = [b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Encoding: gzip", b"X-Payload-Length: %d" % len(payload)]
-    body = b"" if revisit else gzip.compress(payload, 1, mtime=0)
+def write_record(page_id: int | None, uri: str | None, payload: bytes, refers_to: int | None, revisit: bool, member: bool = False) -> bytes:
+    """The bytes of a response or revisit record; as a member of a gzip file its payload is not coded once more."""
+    http = [b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"X-Payload-Length: %d" % len(payload)]
+    if not member:
+        http.insert(2, b"Content-Encoding: gzip")
+    body = b"" if revisit else payload if member else gzip.compress(payload, 1, mtime=0)
     block = b"\r\n".join(http) + b"\r\n\r\n" + body
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}"]
     if uri is not None:
@@ -77,7 +90,8 @@ def write_record(page_id: int | None, uri: str | None, payload: bytes, refers_to
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         head.append(f"WARC-Refers-To: {record_id(refers_to)}")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    record = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return gzip.compress(record, 1, mtime=0) if member else record
 
 
 def _headers(source) -> dict[str, str]:
@@ -98,7 +112,7 @@ def read_records(source, wanted, payloads: bool) -> Iterator[tuple]:
         head = _headers(source)
         end = source.tell() + int(head["content-length"])
         kind, name = head.get("warc-type"), head.get("warc-record-id")
-        sha = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
+        sha = re.sub("^sha-?1:", "", head.get("warc-payload-digest", ""), flags=re.IGNORECASE) or None
         row = (name, kind, head.get("warc-target-uri"), page_of(name), sha, page_of(head.get("warc-refers-to")))
         if not wanted(row):
             source.seek(end)
@@ -109,16 +123,24 @@ def read_records(source, wanted, payloads: bool) -> Iterator[tuple]:
             http = _headers(source)
             length = int(http["x-payload-length"]) if "x-payload-length" in http else None
             if payloads and kind == "response":
-                payload = source.read(end - source.tell())
-                if http.get("content-encoding") == "gzip":
-                    payload = gzip.decompress(payload)
-                if sha and digest(payload) != sha:
+                sent = source.read(end - source.tell())
+                payload = gzip.decompress(sent) if sent and http.get("content-encoding", "").lower() in ("gzip", "x-gzip") else sent
+                if sha and ":" not in sha and sha not in (digest(payload), digest(sent)):
                     raise ValueError(f"payload of {name} does not have its digest")
                 length = len(payload)
         source.seek(end)
         yield (*row[:5], length, row[5], payload)
 
 
+def open_store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The store and the path in it that a URI names."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
+def _Buffered(raw) -> io.BufferedReader:
+    return io.BufferedReader(raw, 1 << 18)
+
+
 @dataclass
 class WarcFile(InputPartition):
     path: str
@@ -151,9 +173,11 @@ class WarcReader(DataSourceReader):
                 yield test
 
     def partitions(self) -> list[InputPartition]:
-        system, root = pyarrow.fs.FileSystem.from_uri(self.folder)
+        system, root = open_store(self.folder)
         found = system.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True))
-        names = sorted(f.base_name for f in found if f.is_file and f.extension == "warc")
+        names = sorted(f.base_name for f in found if f.is_file and f.base_name[0] not in "._")
+        if other := [name for name in names if not name.endswith((".warc", ".warc.gz"))]:
+            raise ValueError(f"no archives: {other[:5]}")
         return [WarcFile(f"{self.folder}/{name}") for name in names] or [WarcFile("")]
 
     def read(self, partition: WarcFile) -> Iterator[tuple]:
@@ -164,24 +188,24 @@ class WarcReader(DataSourceReader):
         def wanted(row: tuple) -> bool:
             return all(row[place] is not None if values is None else row[place] in values for place, values in tests)
 
-        system, name = pyarrow.fs.FileSystem.from_uri(partition.path)
+        system, name = open_store(partition.path)
         with system.open_input_file(name) as raw, _Buffered(raw) as source:
-            yield from read_records(source, wanted, self.payloads)
-
-
-def _Buffered(raw):
-    import io
-
-    return io.BufferedReader(raw, 1 << 18)
+            if name.endswith(".gz"):
+                # Members follow each other as one stream.
+                with gzip.GzipFile(fileobj=source) as plain, _Buffered(plain) as inflated:
+                    yield from read_records(inflated, wanted, self.payloads)
+            else:
+                yield from read_records(source, wanted, self.payloads)
 
 
 class WarcWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str], columns: list[str]):
         self.folder, self.columns = options["path"], columns
         self.file_bytes = int(options.get("fileBytes", FILE_BYTES))
+        self.member = options.get("gzip", "false") == "true"
 
     def write(self, iterator) -> Written:
-        system, root = pyarrow.fs.FileSystem.from_uri(self.folder)
+        system, root = open_store(self.folder)
         system.create_dir(root, recursive=True)
         task, files, out, size = uuid.uuid4().hex, [], None, 0
         try:
@@ -189,9 +213,9 @@ class WarcWriter(DataSourceWriter):
                 if out is None or size > self.file_bytes:
                     if out is not None:
                         out.close()
-                    files.append(f".pages-{task}-{len(files):05d}.warc")
-                    out, size = system.open_output_stream(f"{root}/{files[-1]}"), 0
-                record = write_record(row["page_id"], row["target_uri"], bytes(row["payload"] or b""), row["refers_to"], row["record_type"] == "revisit")
+                    files.append(f".pages-{task}-{len(files):05d}.warc{'.gz' if self.member else ''}")
+                    out, size = system.open_output_stream(f"{root}/{files[-1]}", compression=None), 0
+                record = write_record(row["page_id"], row["target_uri"], bytes(row["payload"] or b""), row["refers_to"], row["record_type"] == "revisit", self.member)
                 out.write(record)
                 size += len(record)
         finally:
@@ -200,14 +224,14 @@ class WarcWriter(DataSourceWriter):
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, root = pyarrow.fs.FileSystem.from_uri(self.folder)
+        system, root = open_store(self.folder)
         system.create_dir(root, recursive=True)
         for message in messages:
             for name in message.files if message else []:
                 system.move(f"{root}/{name}", f"{root}/{name[1:]}")
 
     def abort(self, messages: list[Written | None]) -> None:
-        system, root = pyarrow.fs.FileSystem.from_uri(self.folder)
+        system, root = open_store(self.folder)
         for message in messages:
             for name in message.files if message else []:
                 system.delete_file(f"{root}/{name}")
@@ -265,10 +289,10 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     )
 
 
-def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
-    """Archive pages (page_id, url, html) below a folder."""
+def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES, gzipped: bool = False) -> None:
+    """Archive pages (page_id, url, html) below a folder, as ``.warc`` or as ``.warc.gz``."""
     register(pages.sparkSession)
-    plan_records(pages, least_bytes).write.format("warc").option("fileBytes", file_bytes).mode("append").save(folder)
+    plan_records(pages, least_bytes).write.format("warc").option("fileBytes", file_bytes).option("gzip", str(gzipped).lower()).mode("append").save(folder)
 
 
 def read_warc(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:

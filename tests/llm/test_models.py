@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -315,3 +318,53 @@ def test_nodes_name_their_way():
     assert vector_tree._ancestor(node, 0) == 77
     assert vector_tree._ancestor(node, 1) == int(vector_tree._below(77, np.array([5]))[0])
     assert vector_tree._ancestor(node, 2) == node and vector_tree._ancestor(77, 3) == 77
+
+
+def test_archives_of_gzip_members(spark):
+    pages = [(1, "http://a/", "<p>one</p>"), (2, None, "<p>one</p>"), (5, "u", None), (4, "u", ""), (-3, "u", "é" * 9000), (None, "u", "<p>one</p>")]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    folders = [scratch_dir(spark, "warc"), scratch_dir(spark, "warc")]
+    tables = []
+    for folder, gzipped in zip(folders, (False, True), strict=True):
+        warc.write_warc(frame, folder, file_bytes=200, gzipped=gzipped)
+        rows = warc.read_warc(spark, folder).drop("record_id").collect()
+        tables.append(sorted((r.page_id is None, r.page_id, r.record_type, r.target_uri or "", r.payload_digest, r.payload_length, r.refers_to or 0, bytes(r.payload or b"")) for r in rows))
+    assert tables[0] == tables[1]
+    names = os.listdir(re.sub("^file:/*", "/", folders[1]))
+    assert names and all(name.endswith(".warc.gz") for name in names)
+    only = warc.read_warc(spark, folders[1]).where("record_type = 'response' AND page_id = -3").collect()
+    assert [bytes(r.payload) for r in only] == [("é" * 9000).encode()]
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    page = b"<p>hello</p>"
+    coded = gzip.compress(page)
+
+    def record(kind, name, payload, extra, http):
+        block = http + payload
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {name}\r\n{extra}Content-Length: {len(block)}\r\n\r\n".encode()
+        return gzip.compress(head + block + b"\r\n\r\n")
+
+    served = b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n"
+    told = "Content-Type: application/http; msgtype=response\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(
+        record("warcinfo", "<http://x/1>", b"software: other\r\n", "Content-Type: application/warc-fields\r\n", b"")
+        + record("response", "<urn:uuid:00000000-0000-0000-0000-000000000001>", coded, told + f"WARC-Payload-Digest: sha1:{warc.digest(coded)}\r\n", served)
+        + record("response", "<urn:uuid:00000000-0000-0000-0000-000000000002>", coded, told + f"WARC-Payload-Digest: SHA1:{warc.digest(page)}\r\n", served)
+        + record("response", "<x>", page, told + "WARC-Payload-Digest: sha256:unknown\r\n", b"HTTP/1.1 200 OK\r\n\r\n")
+    )
+    (tmp_path / "_SUCCESS").write_bytes(b"")
+    rows = warc.read_warc(spark, f"file://{tmp_path}").collect()
+    assert [r.record_type for r in rows] == ["warcinfo", "response", "response", "response"]
+    assert [r.page_id for r in rows] == [None] * 4
+    assert [bytes(r.payload) for r in rows[1:]] == [page] * 3
+    (tmp_path / "notes.txt").write_text("no archive")
+    with pytest.raises(Exception, match="no archives"):
+        warc.read_warc(spark, f"file://{tmp_path}").collect()
+
+
+def test_store_names():
+    system, path = warc.open_store("file:///tmp/x")
+    assert path == "/tmp/x" and system.type_name == "local"
+    with pytest.raises(Exception, match="(?i)unrecognized"):
+        warc.open_store("dbfs:/x")
