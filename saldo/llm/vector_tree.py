@@ -11,8 +11,8 @@ they hold the wanted share of them.
 
 Of equal vectors only the smallest ids can be among the nearest, one more than asked for: the others are
 left out of the leaves, and equal query vectors are searched once. A query meets the rows of the leaves it opens and no
-others. Leaves that cannot be split are cut by a hash of the id, and so are the queries of a much opened leaf, so no task
-holds a crowded one. Only the upper tree, bounded by ``SAMPLE``, is sent to all tasks; lower trees are rows of a table that
+others; leaves that follow each other do so in one task. Leaves that cannot be split are cut by a hash of the id, and so are
+the queries that open much the same, so no task holds a crowded one. Only the upper tree, bounded by ``SAMPLE``, is sent to all tasks; lower trees are rows of a table that
 are joined to the vectors and queries in their leaf.
 
 Cases: vectors that are null, empty or zero, or hold null or non-finite numbers, take no part, nor do those of
@@ -238,31 +238,43 @@ def nearest(
     opened = stored(opened, "opened") if lower else opened
     for trees, most in zip(lower, visits[1:], strict=True):
         opened = _first(_descend(opened, trees, most), most)
-    walks = stored(opened.select("node", "head", "vec"), "walks")
-
-    # A leaf that could not be split is cut into several, and so are the queries of a leaf that many open.
-    sizes = placed.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("cuts"))
-    parts = stored(walks.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).alias("parts")).join(sizes, "node"), "cells")
-    left = placed.join(parts, "node").select(
-        "node", F.pmod(F.xxhash64("vec_id"), "cuts").alias("cut"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), "vec_id", "vec"
+    # Leaves that follow each other meet their queries in one task, so that a query sends one list of hits for them.
+    sizes = placed.groupBy("node").agg(F.count(F.lit(1)).alias("rows"))
+    leaves = sizes.agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")).first()
+    cell = F.expr(f"node div {max(1, CELL_ROWS * leaves['n'] // max(1, leaves['rows'] or 0))}").alias("cell")
+    walks = stored(opened.select(cell, "head", "node").groupBy("cell", "head").agg(F.collect_list("node").alias("nodes")).join(heads, "head"), "walks")
+    # A leaf that could not be split is cut into several, and so are the queries of a cell that many open.
+    cuts = sizes.groupBy(cell).agg(F.ceil(F.sum("rows") / CELL_ROWS).alias("cuts"))
+    parts = stored(walks.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).alias("parts")).join(cuts, "cell"), "cells")
+    left = placed.withColumn("cell", cell).join(parts, "cell").select(
+        "cell", F.pmod(F.xxhash64("vec_id"), "cuts").alias("cut"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), "node", "vec_id", "vec"
     )
-    right = walks.join(parts, "node").select(
-        "node", F.explode(F.expr("sequence(0L, cuts - 1)")).alias("cut"), F.pmod(F.xxhash64("head"), "parts").alias("part"), "head", "vec"
+    right = walks.join(parts, "cell").select(
+        "cell", F.explode(F.expr("sequence(0L, cuts - 1)")).alias("cut"), F.pmod(F.xxhash64("head"), "parts").alias("part"), "head", "vec", "nodes"
     )
-    keys = ("node", "cut", "part")
+    keys = ("cell", "cut", "part")
+    hit_type = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
 
     def meet(key: tuple, held: pa.Table, asked: pa.Table) -> pa.Table:
-        ids, heads = held.column("vec_id").to_numpy(), asked.column("head").to_numpy()
-        found = list(_best(_matrix(asked.column("vec")), ids, _matrix(held.column("vec")), k + 1))
-        return pa.table(
-            [pa.array(heads[[r for r, _, _ in found]], pa.int64()), pa.array(ids[[a for _, a, _ in found]], pa.int64()), pa.array([s for _, _, s in found], pa.float64())],
-            names=["head", "vec_id", "score"],
-        )
-
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "head bigint, vec_id bigint, score double")
-    order = [F.desc("score"), F.asc("vec_id")]
-    close = pairs.withColumn("n", F.row_number().over(Window.partitionBy("head").orderBy(*order))).where(F.col("n") <= k + 1)
-    hits = stored(close.select("head", F.struct("vec_id", "score").alias("hit")).groupBy("head").agg(F.collect_list("hit").alias("hits")), "hits")
+        """The nearest of each query among the rows of the leaves it opened."""
+        node, ids, vectors = held.column("node").to_numpy(), held.column("vec_id").to_numpy(), _matrix(held.column("vec"))
+        heads, queries = asked.column("head").to_pylist(), _matrix(asked.column("vec"))
+        openers: dict[int, list[int]] = {}
+        for query, nodes in enumerate(asked.column("nodes").to_pylist()):
+            for opened in nodes:
+                openers.setdefault(opened, []).append(query)
+        hits: list[list[tuple[float, int]]] = [[] for _ in heads]
+        for leaf in np.unique(node).tolist():
+            rows, some = np.flatnonzero(node == leaf), openers.get(leaf, [])
+            if some:
+                for r, a, s in _best(queries[some], ids[rows], vectors[rows], k + 1):
+                    hits[some[r]].append((-s, int(ids[rows[a]])))
+        found = [(head, [{"vec_id": n, "score": -far} for far, n in sorted(mine)[: k + 1]]) for head, mine in zip(heads, hits, strict=True) if mine]
+        return pa.table([pa.array([h for h, _ in found], pa.int64()), pa.array([f for _, f in found], hit_type)], names=["head", "hits"])
+
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "head bigint, hits array<struct<vec_id: bigint, score: double>>")
+    every = F.transform(F.flatten(F.collect_list("hits")), lambda h: F.struct((-h["score"]).alias("far"), h["vec_id"].alias("vec_id"), h["score"].alias("score")))
+    hits = stored(met.groupBy("head").agg(F.slice(F.array_sort(every), 1, k + 1).alias("hits")), "hits")
     discard(spark, vectors, placed, walks, parts, *lower)
     # Both sides come from files, so that a vector which many queries share is split at run time.
     named = asked.join(heads, "vec").select("query_id", "head").join(hits, "head")
