@@ -11,11 +11,13 @@ Documents are dealt into ranges of their id, and each range becomes one file or
 A block is ``BLOCK`` ids over ``LANES`` interleaved lanes with a 64-bit state each. Blocks are independent: a
 checkpoint is all that is needed to decode its block, alone or many at a time, and its checksum is compared.
 Sections other than the words are deflated. Files are written under a passing name and renamed when whole, so
-a task that runs again or twice leaves the same file.
+a task that runs again or twice leaves the same file. Readers take spans of a file: a task begins at the block its
+first document begins in, so several tasks decode one file.
 
 Cases: a null text is an empty one, whose ids are the end id alone; null ids come first, in one order with the
-others; repeated rows are kept; a text of any length spans blocks; an empty table gives no files and an empty
-result; other columns are not read. A damaged file raises an error.
+others; repeated rows are kept; null ids and an id of many rows have ranges by their number (by doubles, so an id beyond
+2**53 has one); a text of any length spans blocks; an empty table gives no files and an empty result; other
+columns are not read. A damaged file raises an error. Folders are opened as in ``stores``.
 """
 
 from __future__ import annotations
@@ -28,11 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from saldo.llm.encoder import library_encoder
+from saldo.llm.stores import open_store
 from saldo.sources.scratch import stored
 
 MAGIC = b"TOKRANS1"
@@ -44,6 +46,8 @@ END_ID = 2
 #: Bytes of text for each range of ids, and ids beyond which a range starts another file.
 RANGE_BYTES = 64 << 20
 FILE_IDS = 4 << 20
+#: Ids of a file that a task reads at once: the documents that begin among them.
+SPAN_IDS = 32 * BLOCK
 #: Ranges at the most, as their edges go to all tasks; beyond it a range has more bytes and so more files.
 MOST_RANGES = 1 << 16
 
@@ -92,7 +96,8 @@ def decode_blocks(words: np.ndarray, starts: np.ndarray, states: np.ndarray, sha
     """The places (blocks, steps, lanes) that encode_blocks coded."""
     freq = shares.astype(np.uint64)
     base = np.cumsum(freq) - freq
-    symbol = np.repeat(np.arange(len(shares)), shares)
+    # A narrow table stays in the processor's cache.
+    symbol = np.repeat(np.arange(len(shares), dtype=np.uint16 if len(shares) < 1 << 16 else np.uint32), shares)
     out = np.empty((len(states), steps, states.shape[1]), np.int64)
     state, at = states.copy(), starts.astype(np.int64)
     words = np.append(words, np.uint32(0)).astype(np.uint64)
@@ -179,21 +184,31 @@ class TokenFile:
                 raise ValueError(f"checksum of block {k}")
         return ids
 
-    def documents(self, some_blocks: int = 16) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(doc_id, ids before it in the file, ids) in order, with few blocks decoded at a time."""
-        held, at, done, block = np.zeros(0, np.uint32), 0, 0, 0
-        for doc_id, null, size in zip(*(self.parts[n].tolist() for n in ("doc_ids", "doc_nulls", "doc_sizes")), strict=True):
-            waiting = [held[at:]] if len(held) - at < size else None
-            if waiting:
-                have = len(held) - at
+    def documents(self, begin: int = 0, end: int | None = None, some_blocks: int = 32) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(doc_id, ids before it in the file, ids) in order, with few blocks decoded at a time.
+
+        With begin and end, only of the documents whose first id stands from the one place up to the other.
+        """
+        sizes, width = self.parts["doc_sizes"], self.header["block"]
+        starts = np.cumsum(sizes) - sizes
+        one = int(np.searchsorted(starts, begin))
+        two = len(starts) if end is None else int(np.searchsorted(starts, end))
+        if one == two:
+            return
+        block, at = divmod(int(starts[one]), width)
+        last = -(-int(starts[two - 1] + sizes[two - 1]) // width)
+        held = np.zeros(0, np.uint32)
+        for doc_id, null, start, size in zip(*(x[one:two].tolist() for x in (self.parts["doc_ids"], self.parts["doc_nulls"], starts, sizes)), strict=True):
+            if at + size > len(held):
+                pieces, have = [held[at:]], len(held) - at
                 while have < size:
-                    waiting.append(self.blocks(block, min(block + some_blocks, self.header["blocks"])))
-                    block = min(block + some_blocks, self.header["blocks"])
-                    have += len(waiting[-1])
-                held, at = np.concatenate(waiting), 0
-            yield (None if null else doc_id), done, held[at : at + size]
+                    pieces.append(self.blocks(block, min(block + some_blocks, last)))
+                    block = min(block + some_blocks, last)
+                    have += len(pieces[-1])
+                # Before the first document of a span, its block has ids of the one before.
+                held, at = np.concatenate(pieces), max(0, at - len(held))
+            yield (None if null else doc_id), start, held[at : at + size]
             at += size
-            done += size
 
 
 _ITEM = pa.schema([("range", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
@@ -201,24 +216,36 @@ _FILE = pa.schema([("range", pa.int64()), ("part", pa.int32()), ("path", pa.stri
 _FILE_SQL = "range bigint, part int, path string, docs bigint, ids bigint"
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, edges: list[int]) -> DataFrame:
-    """(range, doc_id, ids): ids and end id of each document, in two bytes each where all ids fit.
+def places(names: list[int | None], edges: np.ndarray, null_ranges: int, turn: int) -> np.ndarray:
+    """The range of each id: after those of null ids, how many of the sorted edges lie below it.
 
-    The range is how many of the sorted edges lie below the id; a null id is below all.
+    An id that is several edges has as many ranges, and null ids have theirs; a row takes one by a hash of its place in
+    the task, counted from ``turn`` on, so a task that runs again deals alike.
     """
+    ids = np.array([name or 0 for name in names], np.int64)
+    null = np.array([name is None for name in names], bool)
+    low = np.searchsorted(edges, ids, "left")
+    room = np.where(null, null_ranges, np.searchsorted(edges, ids, "right") - low)
+    drawn = (np.arange(turn, turn + len(ids)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+    return np.where(null, 0, null_ranges + low) + drawn % np.maximum(1, room)
+
+
+def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, edges: list[int], null_ranges: int) -> DataFrame:
+    """(range, doc_id, ids): ids and end id of each document, in two bytes each where all ids fit."""
     sent = docs.sparkSession.sparkContext.broadcast(np.array(edges, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(tokenizer, spaced=False)
+        encoder, turn = library_encoder(tokenizer, spaced=False), 0
         for batch in batches:
             names, at = batch.column(0).to_pylist(), 0
             for ids, counts in encoder.batches(t.as_py() for t in batch.column(1)):
                 ends = np.cumsum(counts)
                 raw = [_narrow(np.append(ids[b:e], end_id)) for b, e in zip(ends - counts, ends, strict=True)]
                 some = names[at : at + len(raw)]
-                place = [0 if name is None else int(np.searchsorted(sent.value, name)) for name in some]
+                place = places(some, sent.value, null_ranges, turn)
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip((place, some, raw), _ITEM, strict=True)], schema=_ITEM)
                 at += len(raw)
+                turn += len(raw)
 
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, "range int, doc_id bigint, ids binary")
 
@@ -235,7 +262,7 @@ def _wide(raw: bytes) -> np.ndarray:
 
 def _file_writer(folder: str, file_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = pyarrow.fs.FileSystem.from_uri(folder)
+        system, root = open_store(folder)
         key, part, names, held, size = None, 0, [], [], 0
 
         def closed():
@@ -280,33 +307,34 @@ def write_tokens(
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    ranges = min(max(parts, -(-size // range_bytes)), MOST_RANGES)
+    size, rows, nulls = docs.agg(F.sum(F.octet_length(text_col)), F.count(F.lit(1)), F.count_if(F.col(id_col).isNull())).first()
+    ranges = min(max(parts, -(-(size or 0) // range_bytes)), MOST_RANGES)
     shares = [k / ranges for k in range(1, ranges)] or [0.5]
     edges = docs.agg(F.percentile_approx(F.col(id_col).cast("bigint"), shares, 10 * len(shares) + 1000)).first()[0] or []
-    system, root = pyarrow.fs.FileSystem.from_uri(folder)
+    system, root = open_store(folder)
     system.create_dir(root, recursive=True)
-    coded = encode_documents(docs, tokenizer, end_id, id_col, text_col, sorted(set(edges)))
+    null_ranges = ranges * nulls // max(1, rows)
+    coded = encode_documents(docs, tokenizer, end_id, id_col, text_col, sorted(edges), null_ranges)
     # Every range is a partition of its own, so no task holds several of them by chance.
-    dealt = coded.repartitionById(len(shares) + 1, "range").sortWithinPartitions("range", "doc_id")
+    dealt = coded.repartitionById(null_ranges + len(shares) + 1, "range").sortWithinPartitions("range", "doc_id")
     files = stored(dealt.mapInArrow(_file_writer(folder, file_ids), _FILE_SQL), "token-files")
     # One row a file, so one task can add up the lengths.
     before = F.sum("ids").over(Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1))
     return files.withColumn("first", F.coalesce(before, F.lit(0)))
 
 
-def read_tokens(spark: SparkSession, manifest: DataFrame, rows: int = 500) -> DataFrame:
+def read_tokens(spark: SparkSession, manifest: DataFrame, rows: int = 500, span_ids: int = SPAN_IDS) -> DataFrame:
     """(doc_id, start, ids): every document of the files, ids as little-endian unsigned 32-bit integers."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                system, name = pyarrow.fs.FileSystem.from_uri(path)
+            for path, first, span, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                system, name = open_store(path)
                 out: list[tuple] = []
                 size = 0
                 with system.open_input_file(name) as source:
-                    for doc_id, start, ids in TokenFile(source).documents():
+                    for doc_id, start, ids in TokenFile(source).documents(span * span_ids, None if last else (span + 1) * span_ids):
                         out.append((doc_id, first + start, ids.astype("<u4").tobytes()))
                         size += len(ids)
                         if len(out) == rows or size > 1 << 20:
@@ -315,7 +343,9 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, rows: int = 500) -> Da
                 if out:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    files = stored(manifest.select("path", "first"), "token-places")
+    last = F.greatest(F.lit(0), F.ceil(F.col("ids") / span_ids).cast("int") - 1)
+    spans = manifest.select("path", "first", F.explode(F.sequence(F.lit(0), last)).alias("span"), last.alias("last"))
+    files = stored(spans.withColumn("last", F.col("span") == F.col("last")), "token-places")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The files are dealt out one by one: a few rows of names stand for much data.
+    # The spans are dealt out one by one: a few rows of names stand for much data.
     return files.repartition(max(1, parts)).mapInArrow(run, "doc_id bigint, start bigint, ids binary")

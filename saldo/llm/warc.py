@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
+from saldo.llm.stores import open_store
 from saldo.sources.scratch import stored
 
 SCHEMA = (
@@ -132,11 +133,6 @@ def read_records(source, wanted, payloads: bool) -> Iterator[tuple]:
         yield (*row[:5], length, row[5], payload)
 
 
-def open_store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The store and the path in it that a URI names."""
-    return pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
-
-
 def _Buffered(raw) -> io.BufferedReader:
     return io.BufferedReader(raw, 1 << 18)
 

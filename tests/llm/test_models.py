@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from saldo.llm import language_ppm, site_quality, url_trees, vector_tree, warc
+from saldo.llm import language_ppm, site_quality, stores, url_trees, vector_tree, warc
 from saldo.sources.scratch import scratch_dir
 
 WORDS = {"aa": ["kato", "mira", "selo", "vanu"], "bb": ["schlund", "grecht", "pfort", "wurz"]}
@@ -364,7 +364,7 @@ def test_archives_of_other_writers(spark, tmp_path):
 
 
 def test_store_names():
-    system, path = warc.open_store("file:///tmp/x")
+    system, path = stores.open_store("file:///tmp/x")
     assert path == "/tmp/x" and system.type_name == "local"
     with pytest.raises(Exception, match="(?i)unrecognized"):
-        warc.open_store("dbfs:/x")
+        stores.open_store("dbfs:/x")

@@ -165,6 +165,40 @@ def test_token_file_round_trip(n):
         assert np.array_equal(token_store.TokenFile(io.BytesIO(raw)).blocks(1, 2), ids[token_store.BLOCK : 2 * token_store.BLOCK])
 
 
+@pytest.mark.parametrize("span", [1, 1000, token_store.BLOCK, 150_000])
+def test_spans_of_a_token_file_are_its_documents(span):
+    rng = np.random.default_rng(span)
+    sizes = np.concatenate([rng.integers(0, 2000, 150), [0, 140_000, 0, 0, 1, token_store.BLOCK], rng.integers(0, 50, 20)])
+    ids = rng.integers(0, 999, sizes.sum()).astype(np.uint32)
+    file = token_store.TokenFile(io.BytesIO(token_store.pack_file(list(range(len(sizes))), ids, sizes)))
+    ends = np.cumsum(sizes)
+    spans = range(-(-len(ids) // span)) if span > 1 else range(3)
+    found = [d for k in spans for d in file.documents(k * span, None if k + 1 == -(-len(ids) // span) else (k + 1) * span, some_blocks=2)]
+    assert [d for d, _, _ in found] == (list(range(len(sizes))) if span > 1 else [d for d in range(len(sizes)) if ends[d] - sizes[d] < 3])
+    for d, start, some in found:
+        assert start == ends[d] - sizes[d] and np.array_equal(some, ids[start : ends[d]])
+
+
+def test_hot_ids_have_ranges_by_their_number():
+    edges = np.array([2, 7, 7, 7, 9])
+    names = [None, 7, 1, None, 7, 7, 7, None, 2, 8, 9, 10] * 20
+    got = token_store.places(names, edges, 3, 5).tolist()
+    taken = {n: {p for m, p in zip(names, got, strict=True) if m == n} for n in set(names)}
+    assert taken == {None: {0, 1, 2}, 1: {3}, 2: {3}, 7: {4, 5, 6}, 8: {7}, 9: {7}, 10: {8}}
+    assert token_store.places([None, 4], np.array([], np.int64), 0, 9).tolist() == [0, 0]
+
+
+def test_no_file_holds_all_rows_of_a_hot_id(spark, documents):
+    rows = [(None, f"none {i}") for i in range(200)] + [(77, f"hot {i}") for i in range(200)] + [(i, f"text {i}") for i in range(200)]
+    manifest = token_store.write_tokens(documents(rows).repartition(3), scratch_dir(spark, "t"), WORD, range_bytes=400)
+    assert max(r.docs for r in manifest.collect()) <= 200
+    got = sorted(token_store.read_tokens(spark, manifest, span_ids=7).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+    tokenizer = library(WORD)
+    assert sorted(r.ids for r in got) == sorted(np.array(tokenizer.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes() for _, t in rows)
+    assert [r.start for r in got] == [0, *np.cumsum([len(r.ids) // 4 for r in got])[:-1].tolist()]
+
+
 def test_damaged_token_file_is_an_error():
     raw = bytearray(token_store.pack_file([1], np.arange(70_000, dtype=np.uint32) % 999, np.array([70_000])))
     raw[len(raw) // 4] ^= 1
