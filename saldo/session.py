@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -26,3 +32,21 @@ def builder(app: str) -> SparkSession.Builder:
     for key, value in SETTINGS.items():
         out = out.config(key, value)
     return out
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the library to the executors, once for each context, where it is not installed on them.
+
+    The archive is made in a folder of the driver; Spark hands it out.
+    """
+    context = spark.sparkContext
+    if any(name.endswith("/saldo.zip") for name in context.listFiles):
+        return
+    # Executors fetch it from the driver when they first need it, so it stays as long as the driver.
+    folder = tempfile.mkdtemp(prefix="run-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "saldo.zip")
+    with zipfile.PyZipFile(path, "w") as archive:
+        # Compiled modules, as workers cannot keep what they compile from an archive.
+        archive.writepy(os.path.dirname(os.path.abspath(__file__)))
+    context.addPyFile(path)

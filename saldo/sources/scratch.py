@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders named inside the innermost ``passing_folders``.
+_NAMED: ContextVar[list[str] | None] = ContextVar("named", default=None)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
@@ -22,7 +28,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder name below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    named = _NAMED.get()
+    if named is not None:
+        named.append(folder)
+    return folder
+
+
+@contextmanager
+def passing_folders(spark: SparkSession) -> Iterator[None]:
+    """Deletes the folders that are named inside, when the block ends or fails.
+
+    Operators return frames that read their intermediate tables later on; written inside this block to a folder
+    named outside of it, a result needs them no longer.
+    """
+    token = _NAMED.set([])
+    try:
+        yield
+    finally:
+        jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+        for folder in _NAMED.get() or []:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)
+        _NAMED.reset(token)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
