@@ -1,4 +1,12 @@
-"""From raw documents to packed training sequences, one operator a stage."""
+"""From raw documents to packed training sequences, one operator a stage.
+
+Cases: a null, empty or letterless text has no language and goes with the first stage; a null id or source is a value like
+any other; without labels of both kinds every document passes the quality stage; of rows with equal texts or of one
+component the one with the smallest id stays, a null id yielding to any other; rows repeated in full go through the
+first two stages alike and the third keeps one; texts of any length are read whole and cut into sequences by the last
+stage only; an empty table gives an empty result; extra columns of documents are carried along up to the last stage, whatever
+their names. The order of rows is not kept.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from saldo.llm import block_naming, language_ppm, packing, simhash_bk, site_quality
 from saldo.llm.encoder import tokenizer_path
-from saldo.sources.scratch import scratch_dir
+from saldo.sources.scratch import passing_folders, remove_folders, scratch_dir
 from shared_folder import name_shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -48,11 +56,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet and read again by the next."""
+    """The stages over documents, each written as Parquet and read again by the next.
+
+    What a stage stored on its way is deleted when it is written, and its table when the next stage is.
+    """
     name_shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []
     for name, stage in STAGES:
         path = f"{scratch_dir(spark, name)}/table"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with passing_folders(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        remove_folders(spark, before)
+        docs, before = spark.read.parquet(path), [path]
     return docs

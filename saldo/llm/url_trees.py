@@ -8,7 +8,8 @@ are bad. The trees are fitted on at most ``SAMPLE_URLS`` labelled URLs, drawn by
 Cases: a null URL and one without ``://`` have an empty host and path, fit no rule and are judged like any other;
 repeated URLs are judged alike and taught once; labels that are null teach nothing; without labels of both
 kinds the judge follows the only kind there is, or allows where there is none; an empty table gives an empty result;
-extra columns are not read; URLs of any length are read whole.
+extra columns are not read and stay, but those called host, path, rule, verdict or bad_probability are replaced by the
+results, and none may begin with ``__``; URLs of any length are read whole.
 """
 
 from __future__ import annotations
