@@ -13,6 +13,8 @@ from functools import cache
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: For each word its ids, as a list or an array.
 EncodeWords = Callable[[list[str]], list]
@@ -106,29 +108,30 @@ class Encoder:
         self.count += n
 
     def _cut(self, text: str) -> list[str]:
-        return _CUT.split(text) if self.spaced and _ODD.search(text) else text.split(" ")
+        return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
         if self.used > HELD_IDS or self.count > self.held_pieces:
             self._forget()
+        if not self.spaced:
+            return self._encode_distinct(texts)
         pieces: list[str] = []
         heads: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for at, text in enumerate(texts):
             cut = self._cut(text)
             counts[at] = len(cut)
-            if self.spaced:
-                heads.append(cut[0])
+            heads.append(cut[0])
             pieces += cut
         places = np.fromiter(map(self.rest.get, pieces, repeat(-1)), np.int64, len(pieces))
         missed = np.flatnonzero(places < 0).tolist()
         if missed:
             words = [pieces[k] for k in missed]
             fresh = set(words).difference(self.rest)
-            self._learn(list(fresh), self.rest, " " if self.spaced else "")
+            self._learn(list(fresh), self.rest, " ")
             places[missed] = [self.rest[word] for word in words]
-        if self.spaced and texts:
+        if texts:
             fresh = set(heads).difference(self.first)
             if fresh:
                 self._learn(list(fresh), self.first, "")
@@ -136,6 +139,22 @@ class Encoder:
         edges = np.concatenate([[0], np.cumsum(self.sizes[places])])[np.concatenate([[0], np.cumsum(counts)])]
         return _gather(self.pool, self.starts, self.sizes, places), np.diff(edges)
 
+    def _encode_distinct(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """encode() where every space is a cut: Arrow finds the distinct pieces, so each is looked up once."""
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        places = np.fromiter(map(self.rest.get, words, repeat(-1)), np.int64, len(words))
+        missed = np.flatnonzero(places < 0).tolist()
+        if missed:
+            fresh = [words[k] for k in missed]
+            self._learn(fresh, self.rest, "")
+            places[missed] = [self.rest[word] for word in fresh]
+        places = places[coded.indices.to_numpy()]
+        ends = np.cumsum(pc.list_value_length(cut).to_numpy())
+        edges = np.concatenate([[0], np.cumsum(self.sizes[places])])[np.concatenate([[0], ends]).astype(np.int64)]
+        return _gather(self.pool, self.starts, self.sizes, places), np.diff(edges)
+
     def encode_long(self, text: str) -> np.ndarray:
         """The ids of one text of any length, looked at in segments that end at a cut."""
         out, start, lead = [], 0, ""
