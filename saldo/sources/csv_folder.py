@@ -1,6 +1,6 @@
 """A folder of unlike CSV files as one all-text table with provenance.
 
-The files of a folder differ in charset, delimiter and header. Two passes over the raw lines tell,
+The files of a folder differ in charset, delimiter and header. One pass over the raw lines tells,
 per file, which charset it has and what its header is; files that agree are then read together, so
 the number of scans follows the number of layouts and not the number of files. Only file names and
 headers reach the driver, as they must for Spark to plan the reads. Files whose records span lines are cut into
@@ -102,10 +102,12 @@ def split_header(header_line: str, delimiter: str) -> tuple[str, ...]:
     return tuple(next(csv.reader(io.StringIO(header_line), delimiter=delimiter), []))
 
 
-def detect_encoding(lines: DataFrame) -> DataFrame:
-    """Charset per file, and whether some line leaves a quote open.
+def file_profiles(lines: DataFrame) -> DataFrame:
+    """What each file's charset follows from, whether some line leaves a quote open, and its first line that is not blank.
 
-    UTF-8 when every line is valid UTF-8; else windows-1252 unless a byte is undefined in it.
+    The charset is UTF-8 when every line is valid UTF-8; else windows-1252 unless a byte is undefined in it. The first line is
+    the smallest row id of the block that starts the file, as bytes. The kinds of lines that a file has are collected as a set,
+    so that Spark aggregates in a map with one entry a file; without it the texts in the aggregate would have every line sorted.
     """
     text = F.col("value")
     valid = F.is_valid_utf8(text)
@@ -113,18 +115,18 @@ def detect_encoding(lines: DataFrame) -> DataFrame:
     as_latin = F.decode(text.cast("binary"), "ISO-8859-1")
     undefined = F.when(plain, F.lit(False)).otherwise(as_latin.rlike(f"[{_C1_UNDEFINED}]"))
     quotes = F.octet_length(text) - F.octet_length(F.replace(text, F.lit('"'), F.lit("")))
-    return lines.groupBy("path").agg(
-        F.bool_and(valid).alias("utf8"),
-        F.bool_or(undefined).alias("undefined"),
-        F.bool_or(quotes % 2 == 1).alias("open_quote"),
+    kind = F.when(~valid, 1).otherwise(0) + F.when(undefined, 2).otherwise(0) + F.when(quotes % 2 == 1, 4).otherwise(0)
+    blank = F.btrim("value", F.lit(BYTE_ORDER_MARK + " \t\r")) == ""
+    row_id = F.monotonically_increasing_id()
+    marked = lines.select("path", "value", kind.alias("kind"), F.when((F.col("block_start") == 0) & ~blank, row_id).alias("row_id"))
+    seen = marked.groupBy("path").agg(
+        F.collect_set("kind").alias("kinds"), F.min_by(F.col("value").cast("binary"), "row_id").alias("header")
     )
 
+    def some(bit: int) -> Column:
+        return F.exists("kinds", lambda k: k.bitwiseAND(F.lit(bit)) != 0)
 
-def first_lines(lines: DataFrame) -> DataFrame:
-    """First line of each file that is not blank, as bytes: the smallest row id of the block that starts the file."""
-    blank = F.btrim("value", F.lit(BYTE_ORDER_MARK + " \t\r")) == ""
-    head = lines.filter((F.col("block_start") == 0) & ~blank).withColumn("row_id", F.monotonically_increasing_id())
-    return head.groupBy("path").agg(F.min_by(F.col("value").cast("binary"), "row_id").alias("header"))
+    return seen.select("path", (~some(1)).alias("utf8"), some(2).alias("undefined"), some(4).alias("open_quote"), "header")
 
 
 def literal_path(path: str) -> str:
@@ -156,23 +158,22 @@ def table_layouts(table: DataFrame, folder: str) -> list[FileLayout]:
         table.filter(own)
         .select(path.alias("path"), F.col("_metadata.file_block_start").alias("block_start"), "value")
     )
-    profile = {row["path"]: row for row in detect_encoding(lines).collect()}
+    profile = {row["path"]: row for row in file_profiles(lines).collect()}
     # A file without any line is listed, but no row of the table is from it.
     with_lines = {plain_path(path) for path in profile}
     for path in sorted({plain_path(path) for path in table.inputFiles()} - with_lines):
         if data_set(path, folder) and not path.rsplit("/", 1)[-1].startswith("part-"):
             raise ValueError(f"the file {path} is empty")
-    headers = {row["path"]: bytes(row["header"]) for row in first_lines(lines).collect()}
     found = []
     for encoded, seen in profile.items():
         path = unquote(encoded)
         name = data_set(path, folder)
         if name is None:
             continue
-        if encoded not in headers:
+        if seen["header"] is None:
             raise ValueError(f"the file {path} has no header")
         charset = UTF8 if seen["utf8"] else LATIN if seen["undefined"] else WINDOWS
-        line = headers[encoded].decode(charset).removeprefix(BYTE_ORDER_MARK).rstrip("\r")
+        line = bytes(seen["header"]).decode(charset).removeprefix(BYTE_ORDER_MARK).rstrip("\r")
         delimiter = detect_delimiter(line)
         header = split_header(line, delimiter)
         found.append(FileLayout(path, name, charset, delimiter, header, bool(seen["open_quote"])))

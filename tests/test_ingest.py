@@ -44,6 +44,31 @@ def test_layouts(spark, folder):
     }
 
 
+def test_layouts_take_one_scan_and_sort_no_lines(spark, folder, monkeypatch):
+    plans = []
+    frame = type(spark.range(1))
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or collect(df))
+    assert len(csv_folder.layouts(spark, str(folder))) == 6
+    assert len(plans) == 1 and "Sort" not in plans[0], plans
+
+
+def test_layouts_of_many_small_files_in_one_task(spark, tmp_path):
+    """More files in a task than Spark holds in a map before it sorts."""
+    for i in range(400):
+        blank = "\n \t\n" if i % 3 == 0 else ""
+        (tmp_path / f"f{i:03d}.csv").write_bytes(f"{blank}h{i},é\nx,1\n{'\"' if i % 5 == 0 else ''}z,2\n".encode("cp1252" if i % 2 else "utf-8"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        found = csv_folder.layouts(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    got = [(f.name, f.charset, f.header, f.multiline) for f in found]
+    assert got == [(f"f{i:03d}.csv", "cp1252" if i % 2 else "utf-8", (f"h{i}", "é"), i % 5 == 0) for i in range(400)]
+
+
 def test_read_csv_folder(spark, folder):
     ingest = csv_folder.read_csv_folder(spark, str(folder), "now")
     df = ingest.table
