@@ -15,7 +15,7 @@ from saldo.plans.star import star_ledger, table
 from saldo.settings import SERIES_KEYS, AnomalyConfig, LedgerProfile
 from saldo.sources import csv_folder, results
 from saldo.sources import ledger as ledger_store
-from saldo.sources.scratch import remove_folders, scratch_dir, stored
+from saldo.sources.scratch import open_files, remove_folders, scratch_dir, stored
 from saldo.sources.stored_ledger import StoredLedger
 from saldo.streaming import landing
 
@@ -858,7 +858,8 @@ def landed_files(spark: SparkSession, sf_dir: str) -> str:
 
     def land(df: DataFrame, part: str, **options) -> None:
         writer = df.write.partitionBy("name").option("header", True).option("ignoreLeadingWhiteSpace", False)
-        writer.option("ignoreTrailingWhiteSpace", False).options(**options).csv(f"{folder}/{part}")
+        with open_files(spark):
+            writer.option("ignoreTrailingWhiteSpace", False).options(**options).csv(f"{folder}/{part}")
 
     land(early, "early", sep=",")
     land(late, "late", sep=";", encoding="ISO-8859-1")

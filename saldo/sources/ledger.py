@@ -11,7 +11,7 @@ from saldo.functions.numbers import measure as amount_of
 from saldo.operators.filters import with_departments
 from saldo.settings import LedgerProfile
 from saldo.sources.csv_folder import Ingest
-from saldo.sources.scratch import folder_exists
+from saldo.sources.scratch import folder_exists, open_files
 
 MANIFEST_SCHEMA = """
     dataset_url string, retrieved_at string, count bigint,
@@ -68,7 +68,8 @@ def prepare_ledger(df: DataFrame, profile: LedgerProfile) -> DataFrame:
 
 def write_ledger(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Parquet by year. The rebalance evens out file sizes, splitting years that hold many rows."""
-    df.hint("rebalance", F.col("year")).write.mode(mode).partitionBy("year").parquet(path)
+    with open_files(df.sparkSession):
+        df.hint("rebalance", F.col("year")).write.mode(mode).partitionBy("year").parquet(path)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:

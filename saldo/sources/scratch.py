@@ -64,6 +64,25 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Files that a task which writes by partition keeps open; together they hold rows of that task only.
+OPEN_FILES = 32
+
+
+@contextmanager
+def open_files(spark: SparkSession, number: int = OPEN_FILES) -> Iterator[None]:
+    """Inside, tasks that write by partition keep so many files open, and sort rows only from one more partition on.
+
+    Otherwise Spark sorts all rows of a task by partition first, in memory many times the size of the rows as shuffled.
+    """
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(number))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def folder_exists(spark: SparkSession, path: str) -> bool:
     """Whether the path is there, in whatever store it names."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -20,7 +20,7 @@ from saldo.functions.numbers import to_month
 from saldo.operators.wages import ROWS
 from saldo.settings import LedgerProfile
 from saldo.sources import csv_folder, ledger
-from saldo.sources.scratch import folder_exists, remove_folders
+from saldo.sources.scratch import folder_exists, open_files, remove_folders
 
 FILE = "source_file"
 LOG_SCHEMA = "path string, length bigint, modified timestamp, source_file string"
@@ -111,7 +111,8 @@ class StoredLedger:
     def _replace(self, rows: DataFrame, name: str, keys: Sequence[str]) -> None:
         """Write rows over the partitions that they belong to; the others stay."""
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy(*keys).parquet(self._table(name))
+        with open_files(rows.sparkSession):
+            writer.partitionBy(*keys).parquet(self._table(name))
 
     def _of(self, spark: SparkSession, name: str, files: Iterable[str]) -> DataFrame:
         return spark.read.option("mergeSchema", True).parquet(self._table(name)).where(F.col(FILE).isin(sorted(files)))

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from saldo.functions.periods import run_time
 from saldo.sources import csv_folder
 from saldo.sources.csv_folder import MONTH, PROVENANCE
-from saldo.sources.scratch import folder_exists
+from saldo.sources.scratch import folder_exists, open_files
 
 BATCH = "batch"
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -45,7 +45,8 @@ def commit_batch(
     rows = ingest.table.withColumn(MONTH, F.col(MONTH).cast("string")).withColumn(BATCH, F.lit(batch))
     spread = rows.hint("rebalance", F.col("year"))
     writer = spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("year", BATCH).parquet(f"{ledger}/rows")
+    with open_files(spark):
+        writer.partitionBy("year", BATCH).parquet(f"{ledger}/rows")
     names = {f.path: dict(csv_folder.column_names(f.header)) for f in files}
     entries = [
         (batch, f.name, f.path, ingest.ingested_at, MONTH in names[f.path].values(), {c: c for c in PROVENANCE} | names[f.path])

@@ -5,10 +5,15 @@ from __future__ import annotations
 import os
 import subprocess
 import sys
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from saldo.sources.scratch import folder_exists, passing_folders, scratch_dir, stored
+from saldo.plans.star import STAR_PROFILE
+from saldo.sources import ledger
+from saldo.sources.scratch import folder_exists, open_files, passing_folders, scratch_dir, stored
+from saldo.sources.stored_ledger import StoredLedger
 
 
 def test_passing_folders_go_with_the_block(spark):
@@ -34,6 +39,31 @@ def test_passing_folders_go_when_the_block_fails(spark):
     assert stored(spark.range(3), "later").count() == 3
 
 
+SETTING = "spark.sql.maxConcurrentOutputFileWriters"
+
+
+def test_ledgers_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    before, seen = spark.conf.get(SETTING), []
+    rows = spark.range(9000).select((F.col("id") % 45 + 1980).cast("int").alias("year"), F.lit("x").alias("source_file"), "id")
+    writer = type(rows.write)
+    write = writer.parquet
+    monkeypatch.setattr(writer, "parquet", lambda self, *a, **k: seen.append(int(spark.conf.get(SETTING))) or write(self, *a, **k))
+    ledger.write_ledger(rows, str(tmp_path / "ledger"))
+    StoredLedger(str(tmp_path / "kept"), STAR_PROFILE)._replace(rows, "rows", ["year", "source_file"])
+    assert len(seen) == 2 and min(seen) > 1 and spark.conf.get(SETTING) == before
+    # More years than files that a task keeps open.
+    for path in (tmp_path / "ledger", tmp_path / "kept" / "rows"):
+        assert Counter(map(tuple, spark.read.parquet(str(path)).select("year", "id").collect())) == Counter((i % 45 + 1980, i) for i in range(9000))
+
+
+def test_open_files_are_set_back_when_a_write_fails(spark):
+    before = spark.conf.get(SETTING)
+    with pytest.raises(ValueError, match="stop"), open_files(spark, 7):
+        assert spark.conf.get(SETTING) == "7"
+        raise ValueError("stop")
+    assert spark.conf.get(SETTING) == before
+
+
 def test_workers_started_elsewhere_find_the_library(tmp_path):
     """A process of its own, as the workers of this one are started in the folder of the library."""
     home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
