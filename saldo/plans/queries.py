@@ -844,6 +844,8 @@ def manifest_roundtrip(spark, sf_dir):
 # --- Ingest -----------------------------------------------------------------------------
 
 EARLY = ["samtala0", "samtala2", "samtala3", "tegund0", "vm_numer", "raun"]
+#: Bytes of stored texts for each part of a CSV file.
+CSV_PART_BYTES = 256 << 20
 LATE = {"Samtala0": "samtala0", "Samtala2": "samtala2", "Tegund0": "tegund0", "VM númer": "vm_numer", "Raun": "raun"}
 
 
@@ -955,10 +957,12 @@ def ledger_store_roundtrip(spark, sf_dir):
 
 @query
 def csv_records(spark, sf_dir):
-    """Texts of many lines in one CSV file, cut into records by many tasks."""
+    """Texts of many lines in one CSV file, a large one in parts of bounded size, each cut into records by many tasks."""
     folder = scratch_dir(spark, "records")
     texts = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    writer = texts.coalesce(1).write.option("header", True).option("escape", '"').option("quoteAll", True)
+    # A part is larger than what a task reads of it, so that records are cut between tasks, but no task writes all texts.
+    held = ledger_store.list_files(spark, f"{sf_dir}/documents.parquet").agg(F.sum("bytes")).first()[0] or 0
+    writer = texts.coalesce(max(1, -(-held // CSV_PART_BYTES))).write.option("header", True).option("escape", '"').option("quoteAll", True)
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/texts_202012.csv")
     rows = csv_folder.read_csv_folder(spark, folder).table
     return rows.select(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from saldo.plans import queries
 from saldo.sources import csv_folder, csv_records
 
 
@@ -94,3 +97,19 @@ def test_names_with_pattern_characters(spark, tmp_path):
     ingest = csv_folder.read_csv_folder(spark, str(tmp_path))
     assert sorted((r["source_file"], r["h"]) for r in ingest.table.collect()) == [("a[1]*{x}_202005.csv", "a\nb"), ("b?_202005.csv", "c")]
     ingest.close()
+
+
+def test_the_query_writes_its_texts_by_many_tasks(spark, tmp_path, monkeypatch):
+    texts = [f'a "{i}",\n\nb;\n{"line\n" * (i % 50)}' for i in range(2000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("source", F.lit("s"))
+    rows.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(queries, "CSV_PART_BYTES", 1000, raising=False)
+    folders = []
+    read = csv_folder.read_csv_folder
+    monkeypatch.setattr(csv_folder, "read_csv_folder", lambda spark, folder: folders.append(folder) or read(spark, folder))
+    got = {r["doc_id"]: r for r in queries.csv_records(spark, str(tmp_path)).collect()}
+    assert {i: r["text_sha256"] for i, r in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
+    assert {(r["source_file"], r["year"], r["period_month"]) for r in got.values()} == {("texts_202012.csv", 2020, 12)}
+    parts = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(folders[0])
+    sizes = [r["length"] for r in parts.select("length").collect()]
+    assert len(sizes) > 1 and max(sizes) < 0.6 * sum(sizes)
