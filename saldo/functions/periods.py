@@ -11,17 +11,26 @@ YEAR_PATTERN = r"((?:19|20)\d{2})"
 PERIOD_PATTERN = r"(20\d{2})(\d{2})"
 
 
-def file_year(name: Column) -> Column:
-    """The year in a file name: the first ``20YYMM`` wins over the first plain year."""
-    period = F.regexp_extract(name, PERIOD_PATTERN, 1)
+def file_period(name: Column) -> Column:
+    """The first ``20YYMM`` in a file name, else an empty text."""
+    return F.regexp_extract(name, PERIOD_PATTERN, 0)
+
+
+def file_year(name: Column, period: Column | None = None) -> Column:
+    """The year in a file name: the first ``20YYMM`` wins over the first plain year.
+
+    ``period`` is the :func:`file_period` of the name, where a column holds it already.
+    """
+    period = file_period(name) if period is None else period
+    # The plain year is looked for in names without a period only.
     plain = F.regexp_extract(name, YEAR_PATTERN, 1)
-    return F.when(period != "", period).when(plain != "", plain).cast("int")
+    return F.when(period != "", F.substring(period, 1, 4)).otherwise(F.when(plain != "", plain)).cast("int")
 
 
-def file_month(name: Column) -> Column:
+def file_month(name: Column, period: Column | None = None) -> Column:
     """The month of the first ``20YYMM`` in a file name, if it is one of 1 to 12."""
-    month = F.regexp_extract(name, PERIOD_PATTERN, 2)
-    number = F.when(month != "", month).cast("int")
+    period = file_period(name) if period is None else period
+    number = F.when(period != "", F.substring(period, 5, 2)).cast("int")
     return F.when(number.between(1, 12), number)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from urllib.parse import quote, unquote
 
 from saldo.functions.names import plain_name, reader_names, unique_names
-from saldo.functions.periods import file_month, file_year, run_time
+from saldo.functions.periods import file_month, file_period, file_year, run_time
 from saldo.settings import NULL_TOKENS
 from saldo.sources.csv_records import CHUNK_BYTES, split_records
 from saldo.sources.scratch import discard
@@ -194,17 +194,23 @@ def column_names(header: Sequence[str]) -> list[tuple[str, str]]:
 
 def add_provenance(df: DataFrame, ingested_at: str, path: str = "_path") -> DataFrame:
     """Source file, year and month from its name, and the time of the run."""
-    name = data_set_name(F.col(path))
+    name, period = data_set_name(F.col(path)), "_period"
     fixed = df.select(
         name.alias("source_file"),
         F.lit(None).cast("string").alias("source_url"),
         F.lit(ingested_at).alias("ingested_at"),
         *[c for c in df.columns if c != path],
-    )
-    added = {"year": file_year(F.col("source_file"))}
+    ).withColumn(period, file_period(F.col("source_file")))
+    # One search in the name of each row serves the year and the month.
+    added = {"year": file_year(F.col("source_file"), F.col(period))}
     if MONTH not in df.columns:
-        added[MONTH] = file_month(F.col("source_file"))
-    return fixed.withColumns(added)
+        added[MONTH] = file_month(F.col("source_file"), F.col(period))
+    return fixed.withColumns(added).drop(period)
+
+
+def as_windows(cell: Column) -> Column:
+    """A cell read as latin-1 in the charset windows-1252. Cells of ASCII alone, which most are, stay without a look at each character."""
+    return F.when(F.octet_length(cell) == F.char_length(cell), cell).otherwise(F.translate(cell, _C1, _C1_AS_WINDOWS))
 
 
 def text_schema(width: int) -> T.StructType:
@@ -225,7 +231,7 @@ def shape(raw: DataFrame, header: Sequence[str], charset: str, ingested_at: str)
     df = raw.select("_path", *cells)
     finals = [final for _, final in names]
     if charset == WINDOWS:
-        df = df.withColumns({c: F.translate(F.col(c), _C1, _C1_AS_WINDOWS) for c in finals})
+        df = df.withColumns({c: as_windows(F.col(c)) for c in finals})
     df = add_provenance(null_tokens(df, finals), ingested_at)
     tail = [c for c in (MONTH,) if c not in finals]
     return df.select(*PROVENANCE, *tail, *finals)

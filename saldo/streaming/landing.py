@@ -19,6 +19,8 @@ from saldo.sources.csv_folder import MONTH, PROVENANCE
 from saldo.sources.scratch import folder_exists, open_files
 
 BATCH = "batch"
+#: Mean size of the files of a batch from which on their rows are written by the tasks that read them.
+LARGE_FILE = 1 << 20
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 LOG_SCHEMA = "batch bigint, source_file string, path string, ingested_at string, own_month boolean, columns map<string,string>"
 
@@ -29,6 +31,12 @@ def landed_files(spark: SparkSession, folder: str, files_per_batch: int = 1000)
     return reader.option("maxFilesPerTrigger", files_per_batch).load(folder).select("path")
 
 
+def held_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Size of the files together; none is opened."""
+    found = spark.read.format("binaryFile").schema(FILE_SCHEMA).load([csv_folder.literal_path(p) for p in paths])
+    return found.agg(F.sum("length")).first()[0] or 0
+
+
 def commit_batch(
     spark: SparkSession, paths: list[str], batch: int, folder: str, ledger: str, ingested_at: str | None = None
 ) -> int:
@@ -43,7 +51,10 @@ def commit_batch(
     ingest = csv_folder.read_csv_files(spark, files, ingested_at)
     # One type for all batches: a file may have a month of its own, which is text.
     rows = ingest.table.withColumn(MONTH, F.col(MONTH).cast("string")).withColumn(BATCH, F.lit(batch))
-    spread = rows.hint("rebalance", F.col("year"))
+    # A file has one year, so a task writes as many files as it reads at the most; the rows of small files, and records that
+    # were cut from their files, are brought together by year first.
+    large = not ingest.scratch and held_bytes(spark, [f.path for f in files]) >= LARGE_FILE * len(files)
+    spread = rows if large else rows.hint("rebalance", F.col("year"))
     writer = spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     with open_files(spark):
         writer.partitionBy("year", BATCH).parquet(f"{ledger}/rows")

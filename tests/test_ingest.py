@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -255,3 +256,46 @@ def test_manifest_is_written_and_may_be_missing(spark, tmp_path):
 def test_list_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("12345")
     assert [tuple(r) for r in ledger.list_files(spark, str(tmp_path)).collect()] == [("a.csv", 5)]
+
+
+def test_rows_of_large_files_are_written_by_the_tasks_that_read_them(spark, tmp_path, monkeypatch):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    for year in (2020, 2021):
+        (raw / f"a_{year}01.csv").write_text("a,b\n" + "".join(f"{k},{year}\n" for k in range(2000)))
+    paths = sorted(str(p) for p in raw.glob("*.csv"))
+
+    def written(name, least):
+        monkeypatch.setattr(landing, "LARGE_FILE", least)
+        out = str(tmp_path / name)
+        assert landing.commit_batch(spark, paths, 0, str(raw), out, "t") == 2
+        return taken(landing.read_landed(spark, out)), sorted(p.parent.parent.name for p in (tmp_path / name / "rows").rglob("*.parquet"))
+
+    assert landing.held_bytes(spark, paths) == sum(os.path.getsize(p) for p in paths)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "8000")
+    try:
+        read, pieces = written("large", 1 << 10)
+        moved, merged = written("small", 1 << 20)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert read == moved == taken(csv_folder.read_csv_folder(spark, str(raw)).table)
+    # Each file is read in three pieces, which are written as they are; small files are brought together by year.
+    assert pieces == ["year=2020"] * 3 + ["year=2021"] * 3
+    assert merged == ["year=2020", "year=2021"]
+
+
+def test_the_name_is_searched_once_a_row(spark, tmp_path):
+    (tmp_path / "x_202005.csv").write_text("samtala0,raun\na,1\n")
+    table = csv_folder.read_csv_folder(spark, str(tmp_path)).table
+    assert [(r["year"], r["period_month"]) for r in table.collect()] == [(2020, 5)]
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(20\d{2})(\d{2})") == 1
+
+
+def test_cells_of_windows_charset(spark):
+    cells = ["plain", "", None, "þýð", "a\x80b\x99", "\x81", "€"]
+    rows = spark.createDataFrame([(c,) for c in cells], "c string").select(csv_folder.as_windows(F.col("c")).alias("c"))
+    assert [r["c"] for r in rows.collect()] == ["plain", "", None, "þýð", "a€b™", "\x81", "€"]
